@@ -1,0 +1 @@
+"""Left empty on purpose: the workload is one batch per day, with no streams."""
