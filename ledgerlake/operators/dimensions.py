@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake import fixed_values as fv
 from ledgerlake.functions import draws, ids
@@ -69,18 +70,17 @@ def customers(ordinals: DataFrame) -> DataFrame:
     )
 
 
-def products_by_category(products_: DataFrame, key: str, range_bits: int | None = None) -> DataFrame:
+def products_by_category(products_: DataFrame, key: str, **bits: int) -> DataFrame:
     """Group products by category: each gets its position in its category.
 
     A list per category would put the largest category into one row. Positions are
     the same grouping spread over rows, and a lookup joins on (category, position).
     `key` is a unique integer column giving the order.
     """
-    extra = {} if range_bits is None else {"range_bits": range_bits}
-    return with_ordinal(products_, key, by=["category"], name="category_position", **extra)
+    return with_ordinal(products_, key, by=["category"], name="category_position", **bits)
 
 
-def category_sizes(products_: DataFrame):
+def category_sizes(products_: DataFrame) -> Column:
     """Scalar subquery: the categories in name order with their product counts.
 
     One element per category, so its size is that of the category list.
@@ -89,3 +89,13 @@ def category_sizes(products_: DataFrame):
     return sizes.agg(
         F.sort_array(F.collect_list(F.struct("category", "products"))).alias("sizes")
     ).scalar()
+
+
+def with_keys(products_: DataFrame, customers_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored dimensions with the numbers in their ids, for drawing sales from them."""
+    product_key = ids.number_of(F.col("product_id"), fv.PRODUCT_PREFIX, T.LongType(), required=True)
+    customer_key = ids.number_of(F.col("customer_id"), fv.CUSTOMER_PREFIX, T.LongType(), required=True)
+    return (
+        products_.withColumn("product_key", product_key),
+        customers_.withColumn("customer_key", customer_key),
+    )

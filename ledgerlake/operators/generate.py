@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlake import fixed_values as fv
 from ledgerlake import schemas
@@ -24,48 +23,54 @@ def sale_numbers(spark: SparkSession, rows: int, high_water: int) -> DataFrame:
 
 
 def draw_sales(
-    numbers: DataFrame, day: dt.date, products: DataFrame, customers: DataFrame, salt: str | None = None
+    numbers: DataFrame, day: dt.date, products: DataFrame, customers: DataFrame
 ) -> DataFrame:
     """One sale per order number.
 
     A product is drawn in two stages, first a category and then a product of it, so
-    that a product's weight is 1 / (categories * products in its category). `products`
-    needs (product_id, product_name, category, category_position) and `customers`
-    (customer_id, customer_name, city, customer_ordinal), both numbered from 0.
+    that a product's weight is 1 / (categories * products in its category). The
+    dimensions carry a unique integer `product_key` and `customer_key`.
     """
-    seed = draws.digest(salt or day.isoformat(), F.col("order_number"))
-    categories = dimensions.category_sizes(products)
     customer_count = customers.agg(F.count(F.lit(1)).alias("customers")).scalar()
-    drawn = numbers.withColumn("_seed", seed).withColumn("_categories", categories)
-    chosen = F.element_at(
-        "_categories",
-        (draws.draw(F.col("_seed"), "category") % F.size("_categories") + 1).cast("int"),
+    seeded = numbers.select(
+        "order_number",
+        draws.digest(day.isoformat(), F.col("order_number")).alias("_seed"),
+        dimensions.category_sizes(products).alias("_categories"),
+    )
+
+    def drawn(name: str) -> Column:
+        return draws.draw(F.col("_seed"), name)
+
+    category = F.element_at(
+        "_categories", (drawn("category") % F.size("_categories") + 1).cast("int")
     )
-    drawn = drawn.withColumn("_chosen", chosen).select(
+    chosen = seeded.withColumn("_chosen", category).select(
         "order_number",
         F.col("_chosen.category").alias("category"),
-        (draws.draw(F.col("_seed"), "product") % F.col("_chosen.products")).alias("category_position"),
-        (draws.draw(F.col("_seed"), "customer") % customer_count).alias("customer_ordinal"),
-        draws.between(draws.draw(F.col("_seed"), "quantity"), fv.QUANTITY).cast("int").alias("quantity"),
-        (draws.between(draws.draw(F.col("_seed"), "price"), fv.PRICE_CENTS) / 100).alias("price"),
-        draws.pick(draws.draw(F.col("_seed"), "payment_type"), fv.PAYMENT_TYPES).alias("payment_type"),
+        (drawn("product") % F.col("_chosen.products")).alias("category_position"),
+        (drawn("customer") % customer_count).alias("customer_ordinal"),
+        draws.between(drawn("quantity"), fv.QUANTITY).cast("int").alias("quantity"),
+        (draws.between(drawn("price"), fv.PRICE_CENTS) / 100).alias("price"),
+        draws.pick(drawn("payment_type"), fv.PAYMENT_TYPES).alias("payment_type"),
     )
-    return denormalize(drawn, products, customers).select(
+    return denormalize(chosen, products, customers).select(
         ids.order_id(F.col("order_number")).alias("order_id"),
         F.lit(day).cast("date").alias("order_date"),
         *schemas.RAW.names[2:],
     )
 
 
-def denormalize(drawn: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
+def denormalize(chosen: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Copy product and customer attributes onto each sale.
 
     Both lookups find exactly one row, so left joins keep every sale. No side is
     hinted: Spark broadcasts a dimension only when its size allows, and otherwise
     splits hot products or customers at run time.
     """
-    return drawn.join(products, ["category", "category_position"], "left").join(
-        customers, "customer_ordinal", "left"
+    by_position = dimensions.products_by_category(products, "product_key")
+    by_ordinal = with_ordinal(customers, "customer_key", name="customer_ordinal")
+    return chosen.join(by_position, ["category", "category_position"], "left").join(
+        by_ordinal, "customer_ordinal", "left"
     )
 
 
@@ -84,16 +89,3 @@ def sales_day(
     """A day's raw batch. Repeating it with the same mark gives the same rows."""
     numbers = sale_numbers(spark, batch_size(day) if rows is None else rows, high_water)
     return draw_sales(numbers, day, products, customers)
-
-
-def number_dimensions(products: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Number stored dimensions by the number in their ids, ready to draw from."""
-    product_number = ids.number_of(F.col("product_id"), fv.PRODUCT_PREFIX, T.LongType(), required=True)
-    customer_number = ids.number_of(F.col("customer_id"), fv.CUSTOMER_PREFIX, T.LongType(), required=True)
-    numbered_products = dimensions.products_by_category(
-        products.withColumn("_number", product_number), "_number"
-    ).drop("_number")
-    numbered_customers = with_ordinal(
-        customers.withColumn("_number", customer_number), "_number", name="customer_ordinal"
-    ).drop("_number")
-    return numbered_products, numbered_customers

@@ -7,46 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ledgerlake.functions import ids
 
-# Keys per range. A task numbers the rows of one range, so with a unique key no
-# task ever sorts more rows than this, however many rows a group has.
+# Rows are numbered in ranges of 2**RANGE_BITS keys, and ranges are added up in
+# blocks of 2**BLOCK_BITS ranges. With a unique key neither can hold more rows than
+# that, however many rows a group has.
 RANGE_BITS = 20
+BLOCK_BITS = 10
 
 
 def with_ordinal(
     df: DataFrame, key: str, by: Sequence[str] = (), name: str = "ordinal",
-    range_bits: int = RANGE_BITS,
+    range_bits: int = RANGE_BITS, block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add 0, 1, 2, ... in order of `key`, a unique integer column, within each `by` group.
 
     A window over a whole group would send the group to one task. Instead the key
-    is cut into fixed ranges: rows are numbered inside their range, and every range
-    starts where the counts of the ranges before it end. Those counts come from a
-    scan of the key alone, pre-aggregated in each task, and are running-summed in
-    two steps (ranges, then blocks of ranges) so that no step sees all ranges at
-    once. The rows themselves are shuffled once; the join on the range finds them
-    already partitioned and sorted. `by` columns must not be null.
+    is cut into fixed ranges: rows are numbered inside their range, and a range
+    starts where the counts of the ranges before it end. The rows are shuffled
+    once; the join that adds the start finds them partitioned and sorted already.
+    Neither `key` nor `by` may be null.
     """
     by = list(by)
     ranged = df.withColumn("_range", F.shiftright(F.col(key).cast("bigint"), range_bits))
-    counts = (
-        ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_block", F.shiftright("_range", range_bits))
-    )
-    before_range = _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range"))
-    before_block = _sum_before("_rows", W.partitionBy(*by).orderBy("_block"))
-    block_starts = (
-        counts.groupBy(*by, "_block").agg(F.sum("_rows").alias("_rows"))
-        .select(*by, "_block", before_block.alias("_block_start"))
-    )
-    starts = (
-        counts.select(*by, "_range", "_block", before_range.alias("_in_block"))
-        .join(block_starts, [*by, "_block"])
-        .select(*by, "_range", (F.col("_block_start") + F.col("_in_block")).alias("_start"))
-    )
     within = F.row_number().over(W.partitionBy(*by, "_range").orderBy(key)) - 1
+    starts = _range_starts(ranged, by, block_bits)
     return (
         ranged.withColumn("_within", within)
         .join(starts, [*by, "_range"])
@@ -54,7 +41,29 @@ def with_ordinal(
     )
 
 
-def _sum_before(column: str, window) -> Column:
+def _range_starts(ranged: DataFrame, by: list[str], block_bits: int) -> DataFrame:
+    """Rows before each range, from one scan of the key, counted in each task first.
+
+    Running sums inside a block are followed by running sums over blocks. For the
+    second a block is one row that carries its ranges, so it sees one row for every
+    2**(range_bits + block_bits) keys.
+    """
+    block = F.shiftright("_range", block_bits).alias("_block")
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    in_block = counts.select(
+        *by, "_range", block, "_rows"
+    ).withColumn("_before", _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range")))
+    blocks = in_block.groupBy(*by, "_block").agg(
+        F.sum("_rows").alias("_rows"),
+        F.collect_list(F.struct("_range", "_before")).alias("_ranges"),
+    ).withColumn("_block_start", _sum_before("_rows", W.partitionBy(*by).orderBy("_block")))
+    return blocks.select(*by, "_block_start", F.explode("_ranges").alias("_r")).select(
+        *by, F.col("_r._range").alias("_range"),
+        (F.col("_block_start") + F.col("_r._before")).alias("_start"),
+    )
+
+
+def _sum_before(column: str, window: WindowSpec) -> Column:
     running = F.sum(column).over(window.rowsBetween(W.unboundedPreceding, W.currentRow))
     return running - F.col(column)
 

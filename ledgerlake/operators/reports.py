@@ -60,5 +60,9 @@ def top_products(per_product: DataFrame, k: int) -> DataFrame:
 
 
 def customer_sales(measured: DataFrame) -> DataFrame:
+    return with_average(rollup(measured, ["customer_id"]))
+
+
+def with_average(rolled_up: DataFrame) -> DataFrame:
     average = F.col("revenue").cast("double") / F.col("sales")
-    return rollup(measured, ["customer_id"]).withColumn("average_value", average)
+    return rolled_up.withColumn("average_value", average)

@@ -40,27 +40,18 @@ def unit_price() -> Column:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sale takes from its order line alone."""
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        ids.order_id(F.col("l_orderkey")).alias("order_id"),
-        ids.product_id(F.col("l_partkey")).alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
+        "l_orderkey", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"),
         unit_price().alias("price"),
     )
 
 
-def orders(spark: SparkSession, sf_dir: str, with_customers: bool) -> DataFrame:
-    """Order headers, with customer attributes when they are needed."""
-    headers = table(spark, sf_dir, "orders").select(
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("c_custkey"),
         F.col("o_orderdate").cast("date").alias("order_date"),
-        ids.customer_id(F.col("o_custkey")).alias("customer_id"),
         F.col("o_orderpriority").alias("payment_type"),
     )
-    if with_customers:
-        headers = headers.join(customers(spark, sf_dir), "c_custkey", "left")
-    return headers.drop("c_custkey")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,16 +77,26 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_raw(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = tuple(schemas.RAW.names)
 ) -> DataFrame:
-    """Sales in the raw shape. Keys of the order tables may be asked for by name too."""
+    """Sales in the raw shape. Keys of the order tables may be asked for by name too.
+
+    The text ids are made from the keys after the joins, so that the shuffles carry
+    numbers.
+    """
+    made = {
+        "order_id": ids.order_id(F.col("l_orderkey")),
+        "product_id": ids.product_id(F.col("l_partkey")),
+        "customer_id": ids.customer_id(F.col("c_custkey")),
+    }
     wanted = set(columns)
     sold = lines(spark, sf_dir)
     if wanted & ORDER_COLUMNS:
-        sold = sold.join(
-            orders(spark, sf_dir, bool(wanted & CUSTOMER_COLUMNS)), "l_orderkey", "left"
-        )
+        headers = orders(spark, sf_dir)
+        if wanted & CUSTOMER_COLUMNS:
+            headers = headers.join(customers(spark, sf_dir), "c_custkey", "left")
+        sold = sold.join(headers, "l_orderkey", "left")
     if wanted & PART_COLUMNS:
         sold = sold.join(products(spark, sf_dir), "l_partkey", "left")
-    return sold.select(*columns)
+    return sold.select(*(made[c].alias(c) if c in made else c for c in columns))
 
 
 def with_defects(df: DataFrame) -> DataFrame:
@@ -124,7 +125,15 @@ def measured_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffle of its own on this side.
     """
     per_order = reports.rollup(measured_lines(spark, sf_dir), ["l_orderkey"])
-    return per_order.join(orders(spark, sf_dir, with_customers=False), "l_orderkey", "left")
+    return per_order.join(orders(spark, sf_dir), "l_orderkey", "left")
+
+
+def measured_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures per customer, summed on the number; the id is written once per customer."""
+    per_customer = reports.rollup(measured_orders(spark, sf_dir), ["c_custkey"])
+    return per_customer.select(
+        ids.customer_id(F.col("c_custkey")).alias("customer_id"), *reports.MEASURES
+    )
 
 
 def measured_products(spark: SparkSession, sf_dir: str) -> DataFrame:

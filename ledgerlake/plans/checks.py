@@ -235,8 +235,9 @@ def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_partkey")
     return bridge.products(spark, sf_dir).select(
-        "l_partkey", ids.product_id(F.col("l_partkey")).alias("product_id"), "product_name", "category"
+        key.alias("product_key"), ids.product_id(key).alias("product_id"), "product_name", "category"
     )
 
 
@@ -248,8 +249,8 @@ def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def products_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimensions.products_by_category(
-        part_products(spark, sf_dir), "l_partkey"
-    ).drop("l_partkey")
+        part_products(spark, sf_dir), "product_key"
+    ).drop("product_key")
 
 
 @query(f"""
@@ -292,13 +293,13 @@ def products_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN buyer ON customer_ordinal = d_customer % (SELECT count(*) FROM customer)
 """)
 def gen_sales_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buyers = bridge.customers(spark, sf_dir)
-    buyers = ordinals.with_ordinal(buyers, "c_custkey", name="customer_ordinal").select(
-        ids.customer_id(F.col("c_custkey")).alias("customer_id"), "customer_name", "city",
-        "customer_ordinal",
+    """A batch with one sale per order, drawn from the part and customer tables."""
+    key = F.col("c_custkey")
+    buyers = bridge.customers(spark, sf_dir).select(
+        key.alias("customer_key"), ids.customer_id(key).alias("customer_id"), "customer_name", "city"
     )
     numbers = bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_number"))
-    return generate.draw_sales(numbers, RUN_DATE, products_by_category(spark, sf_dir), buyers)
+    return generate.draw_sales(numbers, RUN_DATE, part_products(spark, sf_dir), buyers)
 
 
 @query("""
@@ -387,7 +388,7 @@ def scan_processed_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PROCESSED} SELECT * FROM processed")
 def scan_processed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace.fresh(spark)
-    table.append(processed(spark, sf_dir), path, keys=table.DAY_KEYS)
+    table.append(processed(spark, sf_dir), path)
     return comparable(table.scan(spark, path))
 
 
@@ -564,7 +565,7 @@ def preview_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SALES} SELECT count(*) AS rows_to_load FROM sales_raw")
 def count_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact.count(processed(spark, sf_dir))
+    return fact.count(enriched_lines(spark, sf_dir))
 
 
 # Reports.
@@ -612,4 +613,4 @@ def report_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, CAST(revenue AS DOUBLE) / sales AS average_value FROM spent
 """)
 def report_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.customer_sales(bridge.measured_orders(spark, sf_dir))
+    return reports.with_average(bridge.measured_customers(spark, sf_dir))

@@ -19,6 +19,18 @@ SETTINGS = {
     "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "1",
 }
 
+SHUFFLE_PARTITION_BYTES = 128 * 1024**2
+MOST_SHUFFLE_PARTITIONS = 100_000
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Shuffle partitions for an input. Run-time re-planning joins partitions that
+    prove small but cannot make more of them, so their number starts high enough
+    that none outgrows an executor."""
+    wanted = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
+    return {"spark.sql.shuffle.partitions": str(min(max(wanted, 200), MOST_SHUFFLE_PARTITIONS))}
+
+
 TABLE_FORMATS = {
     "parquet": {},
     "delta": {

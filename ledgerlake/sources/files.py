@@ -15,6 +15,11 @@ from ledgerlake.errors import MissingInput
 from ledgerlake.functions import params
 
 
+# Quotes are doubled inside quoted text, as other CSV writers do. Empty text and null
+# look alike in such a file, and both read back as null.
+CSV = {"header": True, "dateFormat": fv.DATE_FORMAT, "escape": '"'}
+
+
 def loading(load, what) -> DataFrame:
     """Run a load, naming the input when it is not there."""
     try:
@@ -39,7 +44,7 @@ def read_csv(
     against it while scanning, and a value that is not of its type stops the job.
     `infer` reads types from the data instead, at the cost of another pass.
     """
-    reader = spark.read.option("header", True).option("dateFormat", fv.DATE_FORMAT)
+    reader = spark.read.options(**CSV)
     if infer:
         return loading(lambda: reader.option("inferSchema", True).csv(paths), paths)
     header = loading(lambda: reader.csv(paths), paths).columns
@@ -52,10 +57,7 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str) -> None:
     """One batch as a directory of CSV parts, each with the header."""
-    (
-        df.write.mode("overwrite").option("header", True)
-        .option("dateFormat", fv.DATE_FORMAT).csv(path)
-    )
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def land_raw(df: DataFrame, zone: str, day: dt.date) -> str:

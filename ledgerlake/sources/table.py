@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas
@@ -41,26 +41,22 @@ def replace_day(
 
     Only directories that receive rows are replaced. A row of another day would
     wipe that day, so rows whose date is not `day`, or is unreadable, are kept out
-    and go to the day's directory under `quarantine`. Rows are counted by the write
-    itself, not by a pass of their own. A batch with nothing for the day leaves the
-    stored day as it was and raises.
+    and go to the day's directory under `quarantine`. The counts that decide this
+    are an aggregate over the date alone, exact also when tasks are repeated. A
+    batch with nothing for the day leaves the stored day as it was and raises.
     """
     on_day = F.coalesce(F.col("order_date") == F.lit(day), F.lit(False))
-    seen = Observation()
-    observed = df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count_if(~on_day).alias("off_day")
-    )
+    rows, off_day = df.agg(F.count(F.lit(1)), F.count_if(~on_day)).first()
+    if off_day:
+        df.filter(~on_day).write.mode("overwrite").parquet(f"{quarantine}/{day.isoformat()}")
+    if rows == off_day:
+        raise EmptyBatch(f"no rows dated {day} in the batch")
     (
-        _by_partition(observed.filter(on_day), DAY_KEYS)
+        _by_partition(df.filter(on_day), DAY_KEYS)
         .write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*DAY_KEYS).save(path)
     )
-    counts = seen.get
-    if counts["off_day"]:
-        df.filter(~on_day).write.mode("overwrite").parquet(f"{quarantine}/{day.isoformat()}")
-    if counts["rows"] == counts["off_day"]:
-        raise EmptyBatch(f"no rows dated {day} in the batch")
-    return DayWrite(counts["rows"], counts["off_day"])
+    return DayWrite(rows, off_day)
 
 
 def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
