@@ -30,7 +30,8 @@ def number_of(
     """The number behind the prefix. An id of another shape, or a number too large
     for the type, stops the job rather than turning null. A null id stays null
     unless the column is required."""
-    number = F.regexp_extract(identifier, rf"^{prefix}([0-9]+)$", 1).try_cast(to)
+    digits = F.substring(identifier, len(prefix) + 1, 2**31 - 1)
+    number = F.when(identifier.rlike(rf"^{prefix}[0-9]+\z"), digits.try_cast(to))
     bad = F.raise_error(
         F.concat(F.lit(f"not a {prefix} id of type {to.simpleString()}: "),
                  F.coalesce(identifier, F.lit("null")))

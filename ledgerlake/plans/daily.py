@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ledgerlake import fixed_values as fv
 from ledgerlake import schemas
 from ledgerlake.errors import EmptyPublish, MissingInput
-from ledgerlake.functions import ids, params
+from ledgerlake.functions import params
 from ledgerlake.operators import dimensions, fact, generate, ingest, quality
 from ledgerlake.operators.enrich import enrich
 from ledgerlake.sources import files, table
@@ -31,6 +31,7 @@ class Zones:
     """Where a lake keeps its data; any paths Spark can reach."""
 
     dimensions: str
+    order_numbers: str
     source: str
     raw: str
     processed: str
@@ -41,7 +42,8 @@ class Zones:
     def under(cls, root: str, fmt: str = "parquet") -> Zones:
         root = root.rstrip("/")
         return cls(
-            dimensions=f"{root}/dimensions", source=f"{root}/source", raw=f"{root}/raw",
+            dimensions=f"{root}/dimensions", order_numbers=f"{root}/order_numbers",
+            source=f"{root}/source", raw=f"{root}/raw",
             processed=f"{root}/processed/sales", quarantine=f"{root}/quarantine/sales", fmt=fmt,
         )
 
@@ -62,17 +64,31 @@ def build_dimensions(spark: SparkSession, zones: Zones) -> None:
     files.write_json(customers, f"{zones.dimensions}/customers")
 
 
-def last_order_number(spark: SparkSession, zones: Zones, day: dt.date) -> int:
-    """The highest number given out before a day, so that repeating the day gives
-    it the same numbers. Reads one column of the stored days before it."""
+def reserve_order_numbers(spark: SparkSession, zones: Zones, day: dt.date, rows: int) -> int:
+    """Give a day its order numbers; returns the mark they follow.
+
+    A day that is repeated at the same size gets the numbers it had. Otherwise they
+    start after the highest number ever given out, also when days are run out of
+    order. The record is one small row per day, so the stored sales are not read.
+    Days are reserved one at a time, as runs are.
+    """
+    mark = fv.LAST_ORDER_NUMBER
     try:
-        stored = table.scan(spark, zones.processed, zones.fmt)
+        taken = files.read_json(spark, zones.order_numbers, schemas.ORDER_RANGE)
     except MissingInput:
-        return fv.LAST_ORDER_NUMBER
-    before = stored.filter(F.col("order_date") < F.lit(day))
-    number = ids.number_of(F.col("order_id"), fv.ORDER_PREFIX, T.LongType())
-    highest = before.agg(F.max(number)).first()[0]
-    return fv.LAST_ORDER_NUMBER if highest is None else highest
+        taken = None
+    if taken is not None:
+        size = F.col("last_number") - F.col("first_number") + 1
+        own = F.when((F.col("run_date") == F.lit(day)) & (size == rows), F.col("first_number"))
+        first, highest = taken.agg(F.max(own), F.max("last_number")).first()
+        if first is not None:
+            return first - 1
+        mark = highest
+    reserved = spark.range(1).select(
+        F.lit(mark + 1).alias("first_number"), F.lit(mark + rows).alias("last_number")
+    )
+    files.write_json(reserved, f"{zones.order_numbers}/run_date={day}")
+    return mark
 
 
 def generate_day(
@@ -82,7 +98,8 @@ def generate_day(
         files.read_json(spark, f"{zones.dimensions}/products", schemas.PRODUCT),
         files.read_json(spark, f"{zones.dimensions}/customers", schemas.CUSTOMER),
     )
-    mark = last_order_number(spark, zones, day)
+    rows = generate.batch_size(day) if rows is None else rows
+    mark = reserve_order_numbers(spark, zones, day, rows)
     batch = generate.sales_day(spark, day, products, customers, mark, rows)
     return files.land_raw(batch, zones.source, day)
 

@@ -33,6 +33,13 @@ RAW = T.StructType([
     T.StructField("payment_type", T.StringType()),
 ])
 
+# Order numbers given to a day, one row per day.
+ORDER_RANGE = T.StructType([
+    T.StructField("first_number", T.LongType()),
+    T.StructField("last_number", T.LongType()),
+    T.StructField("run_date", T.DateType()),
+])
+
 STAMPS = T.StructType([
     T.StructField("ingestion_date", T.DateType()),
     T.StructField("source_system", T.StringType()),

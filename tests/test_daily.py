@@ -51,6 +51,18 @@ def test_days_run_and_rerun(spark, lake, tmp_path):
         assert sorted(spark.read.parquet(target.path).collect()) == before
 
 
+def test_order_numbers_never_meet(spark, lake):
+    def reserve(day, rows):
+        return daily.reserve_order_numbers(spark, lake, dt.date(2026, 1, day), rows)
+
+    assert reserve(27, 10) == 197_681
+    assert reserve(29, 5) == 197_691
+    assert reserve(28, 7) == 197_696  # late, so after the day that follows it
+    assert [reserve(27, 10), reserve(29, 5), reserve(28, 7)] == [197_681, 197_691, 197_696]
+    assert reserve(27, 11) == 197_703  # a larger batch does not fit its old numbers
+    assert reserve(30, 1) == 197_714
+
+
 def test_default_batch_size(spark, lake, tmp_path):
     summary = daily.run_day(spark, FIRST, lake, Target(f"{tmp_path}/fact"))
     assert 5000 <= summary.rows_published <= 7000
