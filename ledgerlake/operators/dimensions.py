@@ -85,7 +85,9 @@ def category_sizes(products_: DataFrame) -> Column:
 
     One element per category, so its size is that of the category list.
     """
-    sizes = products_.groupBy("category").agg(F.count(F.lit(1)).alias("products"))
+    sizes = products_.filter(F.col("category").isNotNull()).groupBy("category").agg(
+        F.count(F.lit(1)).alias("products")
+    )
     return sizes.agg(
         F.sort_array(F.collect_list(F.struct("category", "products"))).alias("sizes")
     ).scalar()

@@ -28,7 +28,7 @@ def with_ordinal(
     is cut into fixed ranges: rows are numbered inside their range, and a range
     starts where the counts of the ranges before it end. The rows are shuffled
     once; the join that adds the start finds them partitioned and sorted already.
-    Neither `key` nor `by` may be null.
+    A row whose `key` or `by` is null is kept, without a number.
     """
     by = list(by)
     ranged = df.withColumn("_range", F.shiftright(F.col(key).cast("bigint"), range_bits))
@@ -36,7 +36,7 @@ def with_ordinal(
     starts = _range_starts(ranged, by, block_bits)
     return (
         ranged.withColumn("_within", within)
-        .join(starts, [*by, "_range"])
+        .join(starts, [*by, "_range"], "left")
         .select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))
     )
 
@@ -49,7 +49,8 @@ def _range_starts(ranged: DataFrame, by: list[str], block_bits: int) -> DataFram
     2**(range_bits + block_bits) keys.
     """
     block = F.shiftright("_range", block_bits).alias("_block")
-    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = ranged.filter(F.col("_range").isNotNull())
+    counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
     in_block = counts.select(
         *by, "_range", block, "_rows"
     ).withColumn("_before", _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range")))

@@ -20,7 +20,7 @@ from ledgerlake.operators import (
     dimensions, fact, generate, ingest, ordinals, quality, reports, rules,
 )
 from ledgerlake.operators.enrich import enrich
-from ledgerlake.plans import bridge
+from ledgerlake.plans import bridge, daily
 from ledgerlake.sources import files, table, workspace
 
 RUN_DATE = dt.date(2001, 8, 1)
@@ -558,6 +558,19 @@ def fact_typed_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.typed(fact_source(spark, sf_dir), T.LongType())
 
 
+@query(typed_sql("BIGINT"))
+def publish_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table published as a whole. The target is a directory here; a
+    database takes the same frame through `sources.jdbc`."""
+    root = workspace.fresh(spark)
+    zones = daily.Zones.under(root)
+    table.append(processed(spark, sf_dir), zones.processed)
+    daily.publish(
+        spark, zones, lambda df: df.write.mode("overwrite").parquet(f"{root}/fact"), T.LongType()
+    )
+    return spark.read.schema(schemas.fact(T.LongType())).parquet(f"{root}/fact")
+
+
 @query(f"{typed_sql('BIGINT')} ORDER BY {', '.join(map(str, range(1, 12)))} LIMIT 5")
 def preview_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.preview(fact_typed_wide(spark, sf_dir))
@@ -591,7 +604,7 @@ def report_revenue_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PROCESSED} SELECT category, product_id, {ROLLUP} FROM processed GROUP BY ALL")
 def report_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.measured_products(spark, sf_dir)
+    return reports.in_money(bridge.measured_products(spark, sf_dir))
 
 
 @query(f"WITH {PROCESSED} SELECT category, {ROLLUP} FROM processed GROUP BY ALL")
@@ -605,7 +618,7 @@ def report_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     ORDER BY revenue DESC, product_id LIMIT {TOP_PRODUCTS}
 """)
 def report_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.top_products(bridge.measured_products(spark, sf_dir), TOP_PRODUCTS)
+    return reports.top_products(report_products(spark, sf_dir), TOP_PRODUCTS)
 
 
 @query(f"""
@@ -613,4 +626,4 @@ def report_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, CAST(revenue AS DOUBLE) / sales AS average_value FROM spent
 """)
 def report_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.with_average(bridge.measured_customers(spark, sf_dir))
+    return reports.with_average(reports.in_money(bridge.measured_customers(spark, sf_dir)))

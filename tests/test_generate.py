@@ -66,6 +66,14 @@ def test_ordinals_number_each_group_in_key_order(spark, keys, bits):
     assert sorted((r.k, r.ordinal) for r in whole.collect()) == [(k, i) for i, k in enumerate(sorted(keys))]
 
 
+def test_rows_without_key_or_group_are_kept(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (3, "a")], "k bigint, g string")
+    numbered = ordinals.with_ordinal(df, "k", by=["g"]).collect()
+    assert sorted(map(str, (tuple(r) for r in numbered))) == sorted(
+        map(str, [(1, "a", 0), (2, None, None), (None, "a", None), (3, "a", 1)])
+    )
+
+
 def test_allocated_ids_continue_from_the_mark(spark):
     existing = spark.createDataFrame([(5,), (197_690,), (None,)], "n bigint")
     batch = spark.createDataFrame([(30,), (10,), (20,)], "k bigint")

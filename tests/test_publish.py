@@ -118,6 +118,14 @@ def test_reports(spark, rows, report, query, keys):
         assert found == expected
 
 
+def test_cents_round_as_the_published_decimal(spark):
+    amounts = [10.005, 1.005, 2.675, 0.125, 0.135, 30.299999999999997, -10.005, 1e9 + 0.005, 0.0, None]
+    amounts += [n / 1000 for n in range(0, 100_000, 5)]
+    df = spark.createDataFrame([(1, a) for a in amounts], "quantity int, total_amount double")
+    both = reports.in_money(reports.measures(df).withColumn("exact", F.col("total_amount").cast("decimal(12,2)")))
+    assert both.filter(~F.col("revenue").eqNullSafe(F.col("exact"))).isEmpty()
+
+
 def test_average_and_top(spark, rows):
     measured = reports.measures(checks.processed(spark, SMALL))
     for r in reports.customer_sales(measured).collect():
