@@ -6,7 +6,7 @@ not be read at all.
 
 At scale the order of the joins matters more than their kind. Order lines are by
 far the largest table, so customers and nations are first attached to orders, and
-lines are shuffled once for orders and once for parts. No join is hinted: Spark
+lines are shuffled once for parts and once for orders, the wider side last. No join is hinted: Spark
 broadcasts a side only when its size is under the session's threshold, and splits
 partitions of hot keys when it is not.
 """
@@ -89,13 +89,13 @@ def sales_raw(
     }
     wanted = set(columns)
     sold = lines(spark, sf_dir)
+    if wanted & PART_COLUMNS:
+        sold = sold.join(products(spark, sf_dir), "l_partkey", "left")
     if wanted & ORDER_COLUMNS:
         headers = orders(spark, sf_dir)
         if wanted & CUSTOMER_COLUMNS:
             headers = headers.join(customers(spark, sf_dir), "c_custkey", "left")
         sold = sold.join(headers, "l_orderkey", "left")
-    if wanted & PART_COLUMNS:
-        sold = sold.join(products(spark, sf_dir), "l_partkey", "left")
     return sold.select(*(made[c].alias(c) if c in made else c for c in columns))
 
 

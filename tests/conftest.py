@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     spark = session("tests", {
-        "spark.master": "local[4]",
+        "spark.master": "local[8]",
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
