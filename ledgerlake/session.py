@@ -14,7 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     # Also the target size of the files a rebalanced write makes.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
+    # A join whose smaller side has no partition above this is hashed, not sorted. It
+    # takes effect only when it is no less than the size above.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Files written by tasks that did not commit are never seen by readers.
     "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "1",
 }

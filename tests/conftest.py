@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     spark = session("tests", {
         "spark.master": "local[8]",
         "spark.sql.shuffle.partitions": "4",
@@ -26,7 +26,6 @@ def spark(tmp_path_factory):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     })
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,17 +127,21 @@ def test_publish_can_persist_and_lets_go(spark, lake, tmp_path):
     assert not held[0].storageLevel.useMemory
 
 
-def test_shared_folder_is_the_clusters(spark, conf):
-    folder = spark.conf.get("spark.checkpoint.dir")
-    assert workspace.fresh(spark).startswith(folder + "/")
-    assert workspace.fresh(spark) != workspace.fresh(spark)
+class Cluster:
+    """A session as far as the work folder is concerned."""
 
-    class Elsewhere:
-        class conf:  # noqa: N801
-            get = staticmethod(lambda key, default=None: "yarn" if key == "spark.master" else default)
+    def __init__(self, **settings):
+        self.conf = {k.replace("__", "."): v for k, v in settings.items()}
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        workspace.fresh(Elsewhere)
+
+def test_work_folder_is_the_one_the_cluster_names():
+    named = Cluster(spark__master="yarn", spark__checkpoint__dir="hdfs://lake/work/")
+    first, second = workspace.fresh(named), workspace.fresh(named)
+    assert first.startswith("hdfs://lake/work/ledgerlake-") and first != second
+    assert workspace.shared_folder(Cluster(spark__master="local[8]")) == tempfile.gettempdir()
+    for settings in ({}, {"spark__master": "yarn"}, {"spark__master": "spark://host:1"}):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            workspace.fresh(Cluster(**settings))
 
 
 def test_shuffle_partitions_follow_the_input():

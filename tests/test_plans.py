@@ -73,13 +73,15 @@ def test_lines_are_summed_before_the_join(spark, conf):
     assert text.count("Exchange hashpartitioning") == 3  # lines, orders, customers
 
 
-def test_hot_keys_are_split_at_run_time(spark, conf, hot_dir, tmp_path):
+@pytest.mark.parametrize("join, hashed_up_to", [("SortMergeJoin", "0"), ("ShuffledHashJoin", "64m")])
+def test_hot_keys_are_split_at_run_time(spark, conf, hot_dir, tmp_path, join, hashed_up_to):
     for name in ("lineitem", "orders", "customer", "nation", "part"):
         spread = spark.read.parquet(f"{hot_dir}/{name}.parquet").repartition(8)
         spread.write.parquet(f"{tmp_path}/{name}.parquet")
     conf(
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=hashed_up_to,
         spark__sql__shuffle__partitions="16",
         spark__sql__adaptive__advisoryPartitionSizeInBytes="2k",
         spark__sql__adaptive__coalescePartitions__minPartitionSize="1k",
@@ -89,6 +91,6 @@ def test_hot_keys_are_split_at_run_time(spark, conf, hot_dir, tmp_path):
     columns = ["order_id", "order_date", "product_id", "quantity", "price"]
     joined = bridge.sales_raw(spark, str(tmp_path), columns)
     rows = joined.collect()
-    assert "SortMergeJoin(skew=true)" in plan(joined)
+    assert f"{join}(skew=true)" in plan(joined)
     whole = duck(hot_dir).sql(f"WITH {checks.SALES} SELECT {', '.join(columns)} FROM sales_raw")
     assert rows_of(columns, rows) == rows_of(columns, whole.fetchall())
