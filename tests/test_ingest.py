@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerlake import fixed_values as fv
 from ledgerlake import schemas
