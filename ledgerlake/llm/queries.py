@@ -23,7 +23,7 @@ WITH RECURSIVE words AS (
     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' ')) END) AS s FROM words),
+    ELSE [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)] END) AS s FROM words),
 shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
 shared AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
