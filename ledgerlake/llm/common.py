@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,40 +57,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash. Kept only to save work, and emptied when it grows large."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of runs of `width` words, sorted; the whole sequence as one run
-    when there are fewer words, nothing when there are none."""
-    width = min(width, len(words))
-    if not width:
-        return np.empty(0, dtype=np.uint64)
-    count = len(words) - width + 1
+_BLANKS = [32, 9, 10, 11, 12, 13]
+
+
+def _byte_values() -> np.ndarray:
+    """A random 64-bit value per byte; capitals have that of their small letter, blanks 0."""
+    values = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+    values[65:91] = values[97:123]
+    values[_BLANKS] = 0
+    return values
+
+
+_VALUES = _byte_values()
+_INSIDE = np.ones(256, dtype=bool)
+_INSIDE[_BLANKS] = False
+_powers = np.ones(1, dtype=np.uint64)
+
+
+def word_hashes(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of some UTF-8 texts, in order, and where each text's words
+    begin, with the end of the last. Words stand between blanks (0x20, 0x09-0x0D); A-Z count
+    as a-z, other letters as they are."""
+    global _powers
+    data = np.frombuffer(b"\n".join([b"", *texts]), dtype=np.uint8)
+    inside = _INSIDE[data]
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    bounds = np.concatenate([[0], np.searchsorted(starts, ends, side="right")])
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64), bounds
+    lengths = np.diff(starts, append=len(data))
+    if (longest := int(lengths.max())) > len(_powers):
+        _powers = np.multiply.accumulate(
+            np.concatenate([[np.uint64(1)], np.full(2 * longest, np.uint64(0xD1342543DE82EF95))]))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
+    return mix(np.add.reduceat(_VALUES[data[starts[0]:]] * _powers[place], starts - starts[0])), bounds
+
+
+def shingle_sets(texts: Sequence[bytes], width: int) -> list[np.ndarray]:
+    """Of each text the distinct hashes of runs of `width` words, sorted; the whole sequence
+    as one run when there are fewer words, nothing when there are none."""
+    words, bounds = word_hashes(texts)
+    sets = []
+    rolled = _rolled(words, width)
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if end - start >= width:
+            sets.append(np.unique(rolled[start : end - width + 1]))
+        else:
+            sets.append(_rolled(words[start:end], end - start) if end > start else words[:0])
+    return sets
+
+
+def _rolled(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words, whatever text they are in."""
+    count = max(0, len(words) - width + 1)
     rolled = np.full(count, np.uint64(width), dtype=np.uint64)
     for k in range(width):
         rolled = mix(rolled + words[k : k + count] + GOLDEN)
-    return np.unique(rolled)
-
-
-def batches(rows: Iterable, size: int) -> Iterable[list]:
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
+    return rolled

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlake.llm import superminhash
+from ledgerlake.llm import langid, sketches, superminhash
 from ledgerlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,16 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.identified(docs.select("doc_id", "text"), langid.learn_from(docs))
+    return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
@@ -43,6 +54,8 @@ FROM sets JOIN least ON a = doc_id
 def queries() -> dict[str, Query]:
     return {
         "op8_superminhash": op8_superminhash,
+        "op9_sketches": op9_sketches,
+        "op10_langid": op10_langid,
     }
 
 
