@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import (
-    GOLDEN, WordHashes, durable, mix, shingles, small_batches, text_bytes, text_key,
+    GOLDEN, durable, mix, shingle_sets, small_batches, text_bytes, text_key,
 )
 
 SLOTS = 128  # values in a signature
+FEW = 6  # levels after which each element's order is kept as an array
 MISS = 1e-7  # a pair right at the threshold may share no band with this probability
-STARS = 8  # centres tried per bucket and round after the first
+SMALL = 32  # buckets of so many nodes have all their pairs verified
+STARS = 16  # parts of a larger bucket that get a centre each in its second round; then twice as many
 
 
 def rows_per_band(percent: int, slots: int = SLOTS, miss: float = MISS) -> int:
@@ -24,60 +26,69 @@ def rows_per_band(percent: int, slots: int = SLOTS, miss: float = MISS) -> int:
     return max((r for r in range(1, slots + 1) if (1 - t**r) ** (slots // r) <= miss), default=1)
 
 
-def signature(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash of a set of 64-bit hashes. Each element visits the slots in a random
-    order of its own (a Fisher-Yates shuffle, one swap per level) and offers level + u to
-    the slot it visits; a slot keeps its least offer. An offer of a later level is never
-    less, so the work ends with the level that fills the last slot."""
-    least = np.full(slots, np.inf)
-    if not len(elements):
-        return least
-    order = None
+def signatures(sets: Sequence[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """SuperMinHash of some sets of 64-bit hashes, a row each. Each element visits the slots
+    in a random order of its own (a Fisher-Yates shuffle, one swap per level) and offers
+    level + u to the slot it visits; a slot keeps its least offer. An offer of a later level
+    is never less, so a set is done at the level that fills its last slot."""
+    least = np.full((len(sets), slots), np.inf)
+    elements = np.concatenate([*sets, np.empty(0, dtype=np.uint64)])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    picks, order = [], None
     for level in range(slots):
+        if not len(elements):
+            break
         draw = mix(elements + np.uint64((level + 1) * int(GOLDEN) % 2**64))
         offer = level + (draw >> np.uint64(11)) * 2.0**-53
-        pick = level + (mix(draw + GOLDEN) % np.uint64(slots - level)).astype(np.int64)
-        if level == 0:
-            slot, first = pick, pick
+        pick = level + ((mix(draw) >> np.uint64(32)) * np.uint64(slots - level) >> np.uint64(32)).astype(np.int64)
+        if level < FEW:  # follow the swaps back instead of keeping every order
+            slot = pick.copy()
+            for k in range(level - 1, -1, -1):
+                slot[picks[k] == slot] = k
+            picks.append(pick)
         else:
-            each = np.arange(len(elements))
             if order is None:
                 order = np.tile(np.arange(slots, dtype=np.int16), (len(elements), 1))
-                order[each, first] = 0
-                order[:, 0] = first
-            slot = order[each, pick].astype(np.int64)
-            order[each, pick] = order[:, level]
-            order[:, level] = slot
-        np.minimum.at(least, slot, offer)
-        if np.isfinite(least).all():
-            break
+                for k, earlier in enumerate(picks):
+                    _swap(order, k, earlier)
+            slot = _swap(order, level, pick)
+        np.minimum.at(least.reshape(-1), owner * slots + slot, offer)
+        still = np.unique(owner)
+        unfilled = np.zeros(len(sets), dtype=bool)
+        unfilled[still] = least[still].max(axis=1) >= slots
+        going = unfilled[owner]
+        if not going.all():
+            elements, owner = elements[going], owner[going]
+            picks = [p[going] for p in picks] if order is None else []
+            order = None if order is None else order[going]
     return least
 
 
+def _swap(order: np.ndarray, level: int, pick: np.ndarray) -> np.ndarray:
+    """The slots at `pick`; they go to `level`, and what stood there to `pick`."""
+    each = np.arange(len(order))
+    slot = order[each, pick].astype(np.int64)
+    order[each, pick] = order[:, level]
+    order[:, level] = slot
+    return slot
+
+
 def bands(least: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit key per band of `rows` slots; the band's number is part of it."""
-    count = len(least) // rows
-    parts = least[: count * rows].view(np.uint64).reshape(count, rows)
+    """Per signature one 64-bit key per band of `rows` slots; the band's number is part of it."""
+    count = least.shape[1] // rows
+    parts = least[:, : count * rows].copy().view(np.uint64).reshape(len(least), count, rows)
     key = np.arange(1, count + 1, dtype=np.uint64) * GOLDEN
     for k in range(rows):
-        key = mix(key + parts[:, k])
+        key = mix(key + parts[:, :, k])
     return key.view(np.int64)
 
 
-def word_hashes(text: bytes, known: WordHashes) -> np.ndarray:
-    """Words between blanks (0x20, 0x09-0x0D), A-Z lower-cased, other letters as they are."""
-    return known.of(text.lower().split())
-
-
 def _signer(width: int, rows: int, slots: int):
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for part in parts:
-            sizes, keys = [], []
-            for text in part.column("text").to_pylist():
-                found = shingles(word_hashes(text, known), width)
-                sizes.append(len(found))
-                keys.append(bands(signature(found, slots), rows) if len(found) else None)
+            sets = shingle_sets(part.column("text").to_pylist(), width)
+            sizes = [len(s) for s in sets]
+            keys = [k if n else None for n, k in zip(sizes, bands(signatures(sets, slots), rows))]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("node"), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.list_(pa.int64()))],
@@ -102,20 +113,13 @@ def signed(docs: DataFrame, width: int, percent: int, slots: int = SLOTS) -> Dat
 
 def _verifier(width: int):
     def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        centre, centre_set = None, None
         for part in parts:
-            shared, total = [], []
-            for name, one, other in zip(
-                part.column("centre").to_pylist(), part.column("text").to_pylist(),
-                part.column("centre_text").to_pylist(),
-            ):
-                if name != centre:  # rows come sorted by centre
-                    centre, centre_set = name, shingles(word_hashes(other, known), width)
-                own = shingles(word_hashes(one, known), width)
-                both = len(np.intersect1d(own, centre_set, assume_unique=True))
-                shared.append(both)
-                total.append(len(own) + len(centre_set) - both)
+            own = shingle_sets(part.column("text").to_pylist(), width)
+            names = part.column("centre").to_pylist()
+            once = dict(zip(names, part.column("centre_text").to_pylist()))
+            sets = dict(zip(once, shingle_sets(list(once.values()), width)))
+            shared = [len(np.intersect1d(s, sets[c], assume_unique=True)) for s, c in zip(own, names)]
+            total = [len(s) + len(sets[c]) - both for s, c, both in zip(own, names, shared)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("node"), part.column("centre"), pa.array(shared, pa.int64()),
                  pa.array(total, pa.int64())],
@@ -177,61 +181,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (node, centre) that connect all texts whose similarity reaches the threshold
     and which share a band. Not every link is listed, but no two linked texts stay apart.
 
-    Each bucket is a star: its least node is the centre, and every other node is verified
-    against it. Those that fail form new stars among themselves, until none is left. A node
-    that failed may still be linked to a member of the star it failed. Jaccard distance is
-    a metric, so that needs distance(node, centre) - distance(member, centre) <= 1 -
+    The pairs of a bucket of at most SMALL nodes are all verified. In a larger one a few
+    centres are, each against all nodes: at first the least node, then the least of each of
+    STARS parts, and in every further round of twice as many. Nodes that fail form a smaller bucket, until none is left. A node that
+    failed may still be linked to a member of the star it failed. Jaccard distance is a
+    metric, so that needs distance(node, centre) - distance(member, centre) <= 1 -
     threshold; exactly those pairs are verified too, where their groups are still apart."""
     reach = 1 - percent / 100 + 1e-9
-    bucketed = sets.filter("bands is not null").select("node", F.explode("bands").alias("key"))
-    buckets = durable(
-        bucketed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-        .filter("centre < last").select("key", "centre")
-    )
-    members = durable(bucketed.join(buckets, "key").filter("node > centre").distinct())
-    needed = durable(
-        members.select("node").union(buckets.select(F.col("centre").alias("node"))).distinct()
+    bucketed = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = durable(
+        bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
     )
+    members = durable(bucketed.join(sizes, "key").select("key", "node", "size", "centre"))
+    needed = durable(members.select("node").distinct())
     texts = durable(
         docs.select(text_key().alias("node"), text_bytes().alias("text"))
         .join(needed, "node", "left_semi").dropDuplicates(["node"])
     )
 
-    stars, active = [], members
+    near, stars, parts = None, [], 1
     while True:
-        pairs = durable(active.filter("node != centre").select("node", "centre").distinct())
-        checked = durable(verified(pairs, texts, width, percent))
+        small = members.filter(F.col("size") <= SMALL).select("key", "node")
+        pairs = small.join(small.withColumnRenamed("node", "centre"), "key").filter("node > centre")
+        big = members.filter(F.col("size") > SMALL)
+        if parts > 1:
+            part = F.pmod(F.xxhash64("node"), F.lit(parts))
+            centres = durable(
+                big.groupBy("key", part.alias("part")).agg(F.min("node").alias("centre")).select("key", "centre")
+            )
+            big = durable(big.select("key", "node").join(centres, "key"))
+        parts = max(STARS, 2 * parts)
+        wanted = pairs.select("node", "centre").union(big.filter("node != centre").select("node", "centre"))
+        checked = durable(verified(durable(wanted.distinct()), texts, width, percent))
+        linked = checked.filter("linked").select("node", "centre")
+        near = linked if near is None else near.union(linked)
         # A centre counts as linked with itself, so that it leaves its bucket too.
-        star = active.join(checked, ["node", "centre"], "left").select(
-            "key", "node", "centre", F.coalesce("linked", F.lit(True)).alias("linked"),
-            F.coalesce("distance", F.lit(0.0)).alias("distance"),
+        star = durable(
+            big.join(checked, ["node", "centre"], "left").select(
+                "key", "node", "centre", F.coalesce("linked", F.lit(True)).alias("linked"),
+                F.coalesce("distance", F.lit(0.0)).alias("distance"),
+            )
         )
-        stars.append(durable(star))
+        if star.isEmpty():
+            break
+        stars.append(star)
         # A node leaves a bucket once it is linked to any of the centres tried there.
         rest = durable(
-            stars[-1].groupBy("key", "node").agg(F.max("linked").alias("linked"))
-            .filter("not linked").select("key", "node")
+            star.groupBy("key", "node").agg(F.max("linked").alias("linked")).filter("not linked").select("key", "node")
         )
-        if rest.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("node"), F.lit(STARS))
-        centres = durable(
-            rest.groupBy("key", part.alias("part")).agg(F.min("node").alias("centre"))
-            .select("key", "centre")
+        left = durable(
+            rest.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
         )
-        active = durable(rest.join(centres, "key").select("key", "node", "centre"))
+        if left.isEmpty():
+            break
+        members = durable(rest.join(left, "key").select("key", "node", "size", "centre"))
 
-    linked = [s.filter("linked").select("node", "centre").distinct() for s in stars]
-    near = linked[0]
-    for more in linked[1:]:
-        near = near.union(more)
-    near = durable(near.distinct())
     failed = [s.filter((~F.col("linked")) & (F.col("distance") <= 2 * reach)) for s in stars]
-    if all(f.isEmpty() for f in failed):
+    if all(f.isEmpty() for f in failed):  # also when there was no star
         return near
 
     root = durable(components(near))
@@ -264,10 +274,12 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     has the same result each time. A null doc_id is never the least; documents without any
     doc_id have component_id null and are kept. Other columns are ignored."""
     sets = durable(signed(docs, width, percent))
-    nodes = sets.filter("bands is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    nodes = durable(nodes)
-    root = durable(components(links(docs, sets, width, percent)))
-    rooted = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = durable(
+        sets.filter("bands is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
+    )
+    root = durable(components(links(docs, nodes, width, percent)))
+    rooted = nodes.select("node", "least_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = durable(rooted)
     least = durable(rooted.groupBy("root").agg(F.min("least_id").alias("component")))
     component = durable(rooted.join(least, "root").select("node", "component"))
