@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import langid, sketches, superminhash
+from ledgerlake.llm import langid, secret_scan, sketches, superminhash, templates
 from ledgerlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.report(docs, secret_scan.trained(secret_scan.labelled(docs)))
+
+
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -53,6 +62,8 @@ FROM sets JOIN least ON a = doc_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_secrets": op2_secrets,
+        "op6_templates": op6_templates,
         "op8_superminhash": op8_superminhash,
         "op9_sketches": op9_sketches,
         "op10_langid": op10_langid,

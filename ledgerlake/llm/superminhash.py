@@ -16,8 +16,7 @@ from ledgerlake.llm.common import (
 SLOTS = 128  # values in a signature
 FEW = 6  # levels after which each element's order is kept as an array
 MISS = 1e-7  # a pair right at the threshold may share no band with this probability
-SMALL = 32  # buckets of so many nodes have all their pairs verified
-STARS = 16  # parts of a larger bucket that get a centre each in its second round; then twice as many
+STARS = 16  # parts of a bucket that get a centre each in its second round; then twice as many
 
 
 def rows_per_band(percent: int, slots: int = SLOTS, miss: float = MISS) -> int:
@@ -185,83 +184,62 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     """Links (node, centre) that connect all texts whose similarity reaches the threshold
     and which share a band. Not every link is listed, but no two linked texts stay apart.
 
-    The pairs of a bucket of at most SMALL nodes are all verified. In a larger one a few
-    centres are, each against all nodes: at first the least node, then the least of each of
-    STARS parts, and in every further round of twice as many. Nodes that fail form a smaller bucket, until none is left. A node that
-    failed may still be linked to a member of the star it failed. Jaccard distance is a
-    metric, so that needs distance(node, centre) - distance(member, centre) <= 1 -
-    threshold; exactly those pairs are verified too, where their groups are still apart."""
+    Each bucket is a star at first: all its nodes are verified against the least one. After
+    that only nodes of one bucket in different components matter, and of those only pairs
+    whose distances to the centre differ by at most 1 - threshold, as Jaccard distance is a
+    metric. They are verified in rounds, against the least node of each of ever more parts
+    of the bucket; between rounds the components grow. A node is done when it was such a
+    centre; a bucket, when all its nodes are in one component."""
     reach = 1 - percent / 100 + 1e-9
     bucketed = nodes.select("node", F.explode("bands").alias("key"))
     sizes = durable(
         bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
     )
-    members = durable(bucketed.join(sizes, "key").select("key", "node", "size", "centre"))
+    members = durable(bucketed.join(sizes, "key").select("key", "node", "centre"))
     needed = durable(members.select("node").distinct())
     texts = durable(
         docs.select(text_key().alias("node"), text_bytes().alias("text"))
         .join(needed, "node", "left_semi").dropDuplicates(["node"])
     )
 
-    near, stars, parts = None, [], 1
+    def check(pairs: DataFrame) -> DataFrame:
+        return durable(verified(durable(pairs.select("node", "centre").distinct()), texts, width, percent))
+
+    checked = check(members.filter("node != centre"))
+    near = checked.filter("linked").select("node", "centre")
+    active = durable(
+        members.join(checked, ["node", "centre"], "left")
+        .select("key", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    )
+    parts = STARS
     while True:
-        small = members.filter(F.col("size") <= SMALL).select("key", "node")
-        pairs = small.join(small.withColumnRenamed("node", "centre"), "key").filter("node > centre")
-        big = members.filter(F.col("size") > SMALL)
-        if parts > 1:
-            part = F.pmod(F.xxhash64("node"), F.lit(parts))
-            centres = durable(
-                big.groupBy("key", part.alias("part")).agg(F.min("node").alias("centre")).select("key", "centre")
-            )
-            big = durable(big.select("key", "node").join(centres, "key"))
-        parts = max(STARS, 2 * parts)
-        wanted = pairs.select("node", "centre").union(big.filter("node != centre").select("node", "centre"))
-        checked = durable(verified(durable(wanted.distinct()), texts, width, percent))
-        linked = checked.filter("linked").select("node", "centre")
-        near = linked if near is None else near.union(linked)
-        # A centre counts as linked with itself, so that it leaves its bucket too.
-        star = durable(
-            big.join(checked, ["node", "centre"], "left").select(
-                "key", "node", "centre", F.coalesce("linked", F.lit(True)).alias("linked"),
-                F.coalesce("distance", F.lit(0.0)).alias("distance"),
-            )
+        root = durable(components(near))
+        rooted = active.join(root, "node", "left").select(
+            "key", "node", "distance", F.coalesce("root", "node").alias("root"))
+        rooted = durable(rooted)
+        apart = durable(
+            rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"))
+            .filter("one != other").select("key")
         )
-        if star.isEmpty():
-            break
-        stars.append(star)
-        # A node leaves a bucket once it is linked to any of the centres tried there.
-        rest = durable(
-            star.groupBy("key", "node").agg(F.max("linked").alias("linked")).filter("not linked").select("key", "node")
+        if apart.isEmpty():
+            return near
+        active = durable(rooted.join(apart, "key").select("key", "node", "distance", "root"))
+        part = F.pmod(F.xxhash64("node"), F.lit(parts))
+        centres = durable(
+            active.groupBy("key", part.alias("part"))
+            .agg(F.min(F.struct("node", "distance", "root")).alias("c")).select("key", "c.*")
         )
-        left = durable(
-            rest.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
+        one, other = active.alias("a"), centres.alias("c")
+        pairs = one.join(other, (F.col("a.key") == F.col("c.key")) & (F.col("a.root") != F.col("c.root"))
+                         & (F.abs(F.col("a.distance") - F.col("c.distance")) <= reach))
+        pairs = pairs.select(
+            F.greatest("a.node", "c.node").alias("node"), F.least("a.node", "c.node").alias("centre"))
+        near = near.union(check(pairs).filter("linked").select("node", "centre"))
+        done = centres.select("key", "node").withColumn("done", F.lit(True))
+        active = durable(
+            active.join(done, ["key", "node"], "left").filter("done is null").select("key", "node", "distance")
         )
-        if left.isEmpty():
-            break
-        members = durable(rest.join(left, "key").select("key", "node", "size", "centre"))
-
-    failed = [s.filter((~F.col("linked")) & (F.col("distance") <= 2 * reach)) for s in stars]
-    if all(f.isEmpty() for f in failed):  # also when there was no star
-        return near
-
-    root = durable(components(near))
-    border = None
-    for star, fail in zip(stars, failed):
-        one = fail.select("key", "centre", "node", F.col("distance").alias("far"))
-        other = star.filter("linked").select(
-            "key", "centre", F.col("node").alias("member"), F.col("distance").alias("close"))
-        pairs = one.join(other, ["key", "centre"]).filter(F.col("far") - F.col("close") <= reach)
-        pairs = pairs.select("node", F.col("member").alias("centre"))
-        border = pairs if border is None else border.union(pairs)
-    of_member = root.select(F.col("node").alias("centre"), F.col("root").alias("other"))
-    border = durable(
-        border.distinct().join(root, "node", "left").join(of_member, "centre", "left")
-        .filter(F.coalesce("root", "node") != F.coalesce("other", "centre"))
-        .select("node", "centre")
-    )
-    if border.isEmpty():
-        return near
-    return near.union(verified(border, texts, width, percent).filter("linked").select("node", "centre"))
+        parts *= 2
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
