@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +35,14 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """With these columns, each worked out once per row: the optimiser does not copy an
+    expression past the generator that yields its one value."""
+    once = F.explode_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select("*", once.alias("_held")).select(*kept, *(F.col(f"_held.{n}") for n in columns))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts reach Python in batches of few rows, so that long ones fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

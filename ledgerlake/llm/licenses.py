@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable
+from ledgerlake.llm.common import held
 
 # Phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -90,16 +90,6 @@ def _all_places(text: Column, at: Column, phrases) -> Column:
     return F.concat(*columns)
 
 
-def _index() -> list[tuple]:
-    """Postings of the templates: (word, template, label, place)."""
-    return [
-        (word, f"{label}/{k}", label, place)
-        for label, texts in TEMPLATES.items()
-        for k, text in enumerate(texts)
-        for place, word in enumerate(text.split())
-    ]
-
-
 def rarities(worded: DataFrame) -> list[tuple[str, float]]:
     """(word, IDF) of the licence words over all rows with an array column `words`, rarest
     first; ties by word. One aggregate over the table; the driver gets one number per word
@@ -124,17 +114,23 @@ def scanned(docs: DataFrame, seeds: int = SEEDS, rare: float = RARE) -> DataFram
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("words"))
     ranked = [w for w, idf in rarities(worded) if idf >= rare]
-    chosen = F.slice(F.array_intersect(F.array(*(F.lit(w) for w in ranked)).cast("array<string>"), F.col("words")), 1, seeds)
-    counted = worded.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"),
-        *(_all_places(F.col("text"), F.col("words"), [p]).alias(f"p{k}") for k, p in enumerate(PHRASES)),
-        _aligned(F.col("text"), F.col("words"), chosen).alias("found"),
+    listed = F.array(*(F.lit(w) for w in ranked)).cast("array<string>")
+    worded = held(worded, chosen=F.slice(F.array_intersect(listed, F.col("words")), 1, seeds))
+    # Where the chosen words stand; most texts hold none.
+    standing = F.filter(
+        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
+        lambda x: F.array_contains("chosen", x["word"]),
+    )
+    worded = held(worded, standing=F.when(F.size("chosen") > 0, standing))
+    counted = held(
+        worded, n_words=F.size("words").cast("long"), found=_aligned(F.col("text"), F.col("words")),
+        **{f"p{k}": _all_places(F.col("text"), F.col("words"), [p]) for k, p in enumerate(PHRASES)},
     )
     places = [f"p{k}" for k in range(len(PHRASES))]
     labels = [F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, PHRASES.values())]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
     starts = F.concat(*places)
-    counted = counted.withColumn("base", base).withColumn("starts", starts)
+    counted = held(counted.drop("text", "words", "chosen", "standing"), base=base, starts=starts)
     every = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"]))))
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
     return counted.select(
@@ -145,7 +141,7 @@ def scanned(docs: DataFrame, seeds: int = SEEDS, rare: float = RARE) -> DataFram
     )
 
 
-def _aligned(text: Column, at: Column, chosen: Column) -> Column:
+def _aligned(text: Column, at: Column) -> Column:
     """(label, score) of each template that the chosen words of a text agree on.
 
     The templates are a fixed list, so their postings travel as literals and each text is
@@ -156,33 +152,38 @@ def _aligned(text: Column, at: Column, chosen: Column) -> Column:
         for phrase in MANDATORY[label]:
             loose = "(?i)" + SPLITTER.join(phrase.split())
             needed = needed | F.when(text.rlike(loose), F.size(_places(at, phrase)) > 0).otherwise(False)
-        scores = [_agreement(at, chosen, template.split()) for template in texts]
+        scores = [_agreement(template.split()) for template in texts]
         score = F.greatest(*scores) if len(scores) > 1 else scores[0]
         found.append(F.when(needed, F.struct(F.lit(label).alias("label"), score.alias("score"))))
     return F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= AGREE)
 
 
-def _agreement(at: Column, chosen: Column, template: list[str]) -> Column:
-    """The largest part of the template's seeds that put its beginning at one place."""
+def _agreement(template: list[str]) -> Column:
+    """The largest part of the chosen words that the template holds which put its beginning
+    at one place."""
     postings: dict[str, list[int]] = {}
     for place, word in enumerate(template):
         postings.setdefault(word, []).append(place)
     known = F.array(*(F.lit(w) for w in postings))
     where = F.array(*(F.array(*(F.lit(p) for p in places)) for places in postings.values()))
-    seeds = F.array_intersect(chosen, known)
-    # Of each seed in the text, the beginnings that its postings stand for.
-    standing = F.filter(
-        F.transform(at, lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-        lambda x: F.array_contains(seeds, x["word"]),
-    )
-    begins = F.flatten(F.transform(standing, lambda x: F.transform(
-        F.get(where, F.array_position(known, x["word"]).cast("int") - 1),
-        lambda p: F.struct((x["place"] - p).alias("begin"), x["word"].alias("word")))))
-    agreed = F.transform(
-        F.array_distinct(F.transform(begins, lambda b: b["begin"])),
-        lambda begin: F.size(F.array_distinct(F.transform(
-            F.filter(begins, lambda b: F.abs(b["begin"] - begin) <= NEAR), lambda b: b["word"]))),
+    # The beginnings that each standing word votes for.
+    begins = F.flatten(F.transform(
+        F.filter("standing", lambda x: F.array_contains(known, x["word"])),
+        lambda x: F.transform(
+            F.get(where, F.array_position(known, x["word"]).cast("int") - 1),
+            lambda p: F.struct((x["place"] - p).alias("begin"), x["word"].alias("word")))))
+    # Votes in order of their beginning: those of a stretch of NEAR words are neighbours.
+    best = F.aggregate(
+        F.array_sort(begins),
+        F.struct(F.array().cast("array<struct<begin:int,word:string>>").alias("near"), F.lit(0).alias("most")),
+        lambda at, b: _step(at, b),
+        lambda at: at["most"],
     )
-    return F.when(
-        F.size(seeds) > 0, F.coalesce(F.array_max(agreed), F.lit(0)) / F.size(seeds)
-    ).otherwise(F.lit(0.0))
+    seeds = F.size(F.array_intersect("chosen", known))
+    return F.when(seeds > 0, F.coalesce(best, F.lit(0)) / seeds).otherwise(F.lit(0.0))
+
+
+def _step(at: Column, vote: Column) -> Column:
+    near = F.concat(F.filter(at["near"], lambda x: x["begin"] >= vote["begin"] - NEAR), F.array(vote))
+    words_near = F.size(F.array_distinct(F.transform(near, lambda x: x["word"])))
+    return F.struct(near.alias("near"), F.greatest(at["most"], words_near).alias("most"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import langid, secret_scan, sketches, superminhash, templates
+from ledgerlake.llm import langid, licenses, secret_scan, sketches, superminhash, templates
 from ledgerlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_copies(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_secrets": op2_secrets,
         "op6_templates": op6_templates,
+        "op7_licenses": op7_licenses,
         "op8_superminhash": op8_superminhash,
         "op9_sketches": op9_sketches,
         "op10_langid": op10_langid,

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import held
+
 # What the base patterns of the contract match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # the whole run has 16 characters at least
@@ -59,7 +61,8 @@ def trained(samples: DataFrame) -> Models:
 
 def log_ratio(value: Column, models: Models) -> Column:
     """The log-likelihood ratio of a string, random against ordinary."""
-    ratios = F.array(*(F.lit(x) for x in models.ratios))
+    # One literal, folded to an array when the plan is made.
+    ratios = F.split(F.lit(" ".join(map(repr, models.ratios))), " ").cast("array<double>")
     start = F.struct(F.lit(EDGE).alias("code"), F.lit(0.0).alias("sum"))
     return F.aggregate(
         F.split(value, ""),
@@ -136,17 +139,14 @@ def with_spans(docs: DataFrame, models: Models) -> DataFrame:
     """All rows and columns, with `_spans`: array of (start, end, rank, kind), by start and
     then by kind; code points, end exclusive. Kinds are those of the base patterns and
     `markov` for runs that the models call random and no base span touches. Null and empty
-    texts have none. A column `_spans` is replaced."""
+    texts have none. Columns `_spans`, `_base` and `_runs` are the operator's own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*_base(text).values()))
-    judged = lambda m: (
-        (log_ratio(m, models) >= THRESHOLD) & (log_ratio(m, models) >= F.length(m) * PER_CHARACTER)
-    )
-    runs = _matches(text, RUN, judged, "markov")
-    staged = docs.drop("_spans").withColumn("_spans", F.struct(base.alias("base"), runs.alias("runs")))
-    free = F.filter("_spans.runs", lambda m: ~F.exists(
-        "_spans.base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return staged.withColumn("_spans", F.array_sort(F.concat("_spans.base", free)))
+    judged = lambda m: log_ratio(m, models) >= F.greatest(F.lit(THRESHOLD), F.length(m) * PER_CHARACTER)
+    staged = held(docs, _base=base, _runs=_matches(text, RUN, judged, "markov"))
+    free = F.filter("_runs", lambda m: ~F.exists(
+        "_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return held(staged, _spans=F.array_sort(F.concat("_base", free))).drop("_base", "_runs")
 
 
 def written(spans: Column) -> Column:

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, text_key
+from ledgerlake.llm.common import durable, held, text_key
 
 WIDTH = 5  # words in a window
 PERCENT = 80  # share of a benchmark item's windows that a document must hold
 LITERAL = 2  # words of a window that are no placeholders, at least
 MAX_BROADCAST = 1_000_000  # benchmark windows that are sent to every executor, at most
 
-NUMBER, UNIT, NAME = "#n", "#u", "#a"
+NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"  # placeholders
 # Units of measure and money.
 UNITS = (
     "mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres kilometer kilometers "
@@ -37,45 +37,45 @@ def canonical(text: Column) -> Column:
     """The words of a text with placeholders for numbers, names and units; as many as words()
     gives. A name is a capitalised word that does not begin a sentence; a unit counts as one
     only right after a number. The rest is lower-cased."""
-    named = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+", "\u0001")
+    # Java tries a pattern at every character, so each begins with what is rare.
+    clean = F.translate(text, NAME + UNIT + NUMBER, "   ")
+    named = F.regexp_replace(
+        clean, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{Ll}\p{M}]++(?![\p{L}\p{M}])", NAME)
     units = "|".join(UNITS.split())
-    united = F.regexp_replace(named, rf"(?<=\p{{N}})(\s*)(?i:{units})(?![\p{{L}}\p{{M}}\p{{N}}])", "$1\u0002")
-    numbered = F.regexp_replace(F.lower(united), r"\p{N}+(?:[.,]\p{N}+)*", "\u0003")
-    return F.regexp_extract_all(numbered, F.lit("[\u0001\u0002\u0003]|[\\p{L}\\p{M}]+"), F.lit(0))
+    united = F.regexp_replace(
+        named, rf"(\p{{N}}\s*)(?i:{units})(?![\p{{L}}\p{{M}}\p{{N}}])", f"$1{UNIT}")
+    numbered = F.regexp_replace(F.lower(united), r"\p{N}+(?:[.,]\p{N}+)*", NUMBER)
+    return F.regexp_extract_all(numbered, F.lit(f"[{NAME}{UNIT}{NUMBER}]|[\\p{{L}}\\p{{M}}]+"), F.lit(0))
 
 
 def _slot(word: Column) -> Column:
-    return word.isin("\u0001", "\u0002", "\u0003")
-
-
-def _windows(template: str, width: int) -> Column:
-    """Hashes of the windows of a template, null where one has too few literal words. A
-    template shorter than a window has one window, all of it."""
-    at = F.col(template)
-    size = F.greatest(F.size(at) - width + 1, F.lit(1))
-    hashes = F.transform(at, lambda w: F.xxhash64(w))
-    slots = F.transform(at, lambda w: F.when(_slot(w), 1).otherwise(0))
-    window = lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)))
-    filled = lambda i: sum((F.coalesce(F.get(slots, i + k), F.lit(0)) for k in range(width)), F.lit(0))
-    all_windows = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: F.when(filled(i) <= width - LITERAL, window(i)),
-    )
-    return F.when(F.size(at) > 0, all_windows).otherwise(F.array().cast("array<bigint>"))
+    return word.isin(NAME, UNIT, NUMBER)
 
 
 def _templated(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, place, window): where each window of each text stands."""
-    texts = rows.select(F.col(key), canonical(F.col("text")).alias("template"))
-    windows = texts.select(key, _windows("template", width).alias("windows"))
-    return windows.select(key, F.posexplode("windows").alias("place", "window")).filter("window is not null")
+    """(key, place, window): where each window of each text stands, by its hash. A window
+    with too few literal words tells nothing and is left out; a template shorter than a
+    window has one window, all of it."""
+    texts = held(rows.select(key, "text"), words=canonical(F.col("text"))).drop("text")
+    texts = held(
+        texts.filter(F.size("words") > 0),
+        hashes=F.transform("words", lambda w: F.xxhash64(w)),
+        slots=F.transform("words", lambda w: _slot(w).cast("int")),
+    ).drop("words")
+    window = lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(width)))
+    filled = lambda i: sum((F.coalesce(F.get("slots", i + k), F.lit(0)) for k in range(1, width)), F.get("slots", i))
+    windows = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("hashes") - width, F.lit(0))),
+        lambda i: F.when(filled(i) <= width - LITERAL, window(i)),
+    )
+    return texts.select(key, F.posexplode(windows).alias("place", "window")).filter("window is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(node, item_id, share, consistent): texts (by text_key) that hold a template of the
     benchmark. `share` is the part of the item's distinct windows found in the text, at least
-    percent / 100; `consistent` says that the slots fit: some copy of the item's template in
-    the text fills equal slots of the item with equal values of its own. Only those count as
+    percent / 100; `consistent` says that the slots fit: the fullest copy of the item's template
+    in the text fills equal slots of the item with equal values of its own. Only those count as
     contamination. Null and empty texts, and items without words or with too few literal
     words, match nothing; repeated rows match alike; items without item_id are left out."""
     items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
@@ -98,7 +98,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, perc
 
 def _consistency(near: DataFrame, hits: DataFrame, keyed: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """Line up each text with its items, copy by copy, and compare what fills the slots."""
-    # A copy of the template lies where most of its windows say it begins; every such place counts.
+    # Windows that say the template begins at one place make one copy of it.
     begins = hits.join(near.select("node", "item_id"), ["node", "item_id"]).select(
         "node", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("begin")
     )
@@ -121,11 +121,12 @@ def _consistency(near: DataFrame, hits: DataFrame, keyed: DataFrame, items: Data
         .agg(F.min("value").alias("least"), F.max("value").alias("most"))
         .groupBy("node", "item_id", "begin").agg(F.max(F.col("least") != F.col("most")).alias("clash"))
     )
-    copies = begins.select("node", "item_id", "begin").distinct()
-    fits = copies.join(clashes, ["node", "item_id", "begin"], "left").groupBy("node", "item_id").agg(
-        F.min(F.coalesce("clash", F.lit(False))).alias("clash")
+    copies = begins.groupBy("node", "item_id", "begin").agg(F.countDistinct("item_place").alias("windows"))
+    judged = copies.join(clashes, ["node", "item_id", "begin"], "left").groupBy("node", "item_id").agg(
+        F.max(F.struct("windows", (~F.coalesce("clash", F.lit(False))).alias("fits"))).alias("best")
     )
-    return near.join(fits, ["node", "item_id"]).select("node", "item_id", "share", (~F.col("clash")).alias("consistent"))
+    return near.join(judged, ["node", "item_id"]).select(
+        "node", "item_id", "share", F.col("best.fits").alias("consistent"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
