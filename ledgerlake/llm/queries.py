@@ -7,17 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import langid, licenses, secret_scan, sketches, superminhash, templates
+from ledgerlake.llm import (
+    langid, licenses, pii, preferences, revisits, secret_scan, segmentation, sketches, superminhash, templates,
+)
 from ledgerlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolved(revisits.captures(table(spark, sf_dir, "pages")))
+    pairs = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.withColumn("headers", F.array_join(pairs, "\n"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.report(docs, secret_scan.trained(secret_scan.labelled(docs)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.trained(docs))
+
+
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.formatted(preferences.pairs_of(table(spark, sf_dir, "conversations")))
+
+
+def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segmentations(table(spark, sf_dir, "documents"), segmentation.vocabulary())
+
+
 def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +87,11 @@ FROM sets JOIN least ON a = doc_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_revisits": op1_revisits,
         "op2_secrets": op2_secrets,
+        "op3_pii": op3_pii,
+        "op4_preferences": op4_preferences,
+        "op5_segmentation": op5_segmentation,
         "op6_templates": op6_templates,
         "op7_licenses": op7_licenses,
         "op8_superminhash": op8_superminhash,
