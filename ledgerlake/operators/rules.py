@@ -29,8 +29,10 @@ def not_positive(column: str) -> Column:
 
 
 def not_null_rules(*columns: str) -> list[Rule]:
-    """What strict checking adds: values the other rules let through as unknown."""
-    return [Rule(f"{c}_not_null", f"{c} contains NULL values", nulls(c)) for c in columns]
+    """What strict checking adds: values the other rules let through as unknown, null
+    or NaN."""
+    unknown = lambda c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c)))
+    return [Rule(f"{c}_not_null", f"{c} contains NULL values", unknown(c)) for c in columns]
 
 
 def report(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -69,7 +69,8 @@ def reserve_order_numbers(spark: SparkSession, zones: Zones, day: dt.date, rows:
 
     A day that is repeated at the same size gets the numbers it had. Otherwise they
     start after the highest number ever given out, also when days are run out of
-    order. The record is one small row per day, so the stored sales are not read.
+    order. A reservation is one small record that is never replaced, so a failed run
+    gives no number twice; the stored sales are not read.
     Days are reserved one at a time, as runs are.
     """
     mark = fv.LAST_ORDER_NUMBER
@@ -80,14 +81,16 @@ def reserve_order_numbers(spark: SparkSession, zones: Zones, day: dt.date, rows:
     if taken is not None:
         size = F.col("last_number") - F.col("first_number") + 1
         own = F.when((F.col("run_date") == F.lit(day)) & (size == rows), F.col("first_number"))
-        first, highest = taken.agg(F.max(own), F.max("last_number")).first()
+        highest = F.coalesce(F.max("last_number"), F.lit(mark))
+        first, highest = taken.agg(F.max(own), highest).first()
         if first is not None:
             return first - 1
         mark = highest
     reserved = spark.range(1).select(
         F.lit(mark + 1).alias("first_number"), F.lit(mark + rows).alias("last_number")
     )
-    files.write_json(reserved, f"{zones.order_numbers}/run_date={day}")
+    # Records are only ever added: one that is replaced would be gone if the write failed.
+    reserved.write.mode("append").json(f"{zones.order_numbers}/run_date={day}")
     return mark
 
 

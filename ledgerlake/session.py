@@ -23,7 +23,6 @@ SETTINGS = {
 }
 
 SHUFFLE_PARTITION_BYTES = 128 * 1024**2
-MOST_SHUFFLE_PARTITIONS = 100_000
 
 
 def sized_for(input_bytes: int) -> dict[str, str]:
@@ -31,7 +30,7 @@ def sized_for(input_bytes: int) -> dict[str, str]:
     prove small but cannot make more of them, so their number starts high enough
     that none outgrows an executor."""
     wanted = -(-input_bytes // SHUFFLE_PARTITION_BYTES)
-    return {"spark.sql.shuffle.partitions": str(min(max(wanted, 200), MOST_SHUFFLE_PARTITIONS))}
+    return {"spark.sql.shuffle.partitions": str(max(wanted, 200))}
 
 
 TABLE_FORMATS = {

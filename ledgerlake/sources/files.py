@@ -17,7 +17,11 @@ from ledgerlake.functions import params
 
 # Quotes are doubled inside quoted text, as other CSV writers do. Empty text and null
 # look alike in such a file, and both read back as null.
-CSV = {"header": True, "dateFormat": fv.DATE_FORMAT, "escape": '"'}
+# Blanks around text are kept, which the writer would trim by default.
+CSV = {
+    "header": True, "dateFormat": fv.DATE_FORMAT, "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def loading(load, what) -> DataFrame:

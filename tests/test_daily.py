@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake import __main__ as cli
+from ledgerlake import fixed_values as fv
 from ledgerlake import schemas
 from ledgerlake.errors import (
     BadRunDate, DataQualityError, EmptyPublish, MissingInput, ValidationError,
@@ -14,7 +15,7 @@ from ledgerlake.errors import (
 from ledgerlake.functions import params
 from ledgerlake.operators import fact
 from ledgerlake.plans import daily
-from ledgerlake.session import MOST_SHUFFLE_PARTITIONS, sized_for
+from ledgerlake.session import SHUFFLE_PARTITION_BYTES, sized_for
 from ledgerlake.sources import files, table, workspace
 
 FIRST, SECOND = dt.date(2026, 1, 27), dt.date(2026, 1, 28)
@@ -148,7 +149,7 @@ def test_shuffle_partitions_follow_the_input():
     key = "spark.sql.shuffle.partitions"
     assert sized_for(1)[key] == "200"
     assert sized_for(10 * 1024**4)[key] == str(10 * 1024**4 // (128 * 1024**2))
-    assert sized_for(1024**5)[key] == str(MOST_SHUFFLE_PARTITIONS)
+    assert sized_for(1024**5)[key] == str(1024**5 // SHUFFLE_PARTITION_BYTES)
 
 
 def test_command_line():
@@ -156,3 +157,25 @@ def test_command_line():
     args = cli.arguments(["publish", "2026-01-27", "--lake", "x", "--jdbc", "url=jdbc:a=b", "--jdbc", "user=u"])
     assert cli.pairs(args.jdbc) == {"url": "jdbc:a=b", "user": "u"}
     assert params.run_date(args.run_date) == FIRST
+
+
+def test_order_numbers_survive_an_empty_record(spark, tmp_path):
+    zones = daily.Zones.under(str(tmp_path))
+    files.write_json(spark.range(0).selectExpr("id first_number", "id last_number"), f"{zones.order_numbers}/run_date=2026-01-01")
+    day = dt.date(2026, 1, 2)
+    assert daily.reserve_order_numbers(spark, zones, day, 10) == fv.LAST_ORDER_NUMBER
+
+
+def test_a_day_of_another_size_takes_no_number_back(spark, tmp_path):
+    zones = daily.Zones.under(str(tmp_path))
+    a, b, c = (dt.date(2026, 1, d) for d in (1, 2, 3))
+    daily.reserve_order_numbers(spark, zones, a, 10)
+    old = daily.reserve_order_numbers(spark, zones, b, 5)
+    new = daily.reserve_order_numbers(spark, zones, b, 7)
+    assert new >= old + 5 and daily.reserve_order_numbers(spark, zones, c, 1) == new + 7
+    assert daily.reserve_order_numbers(spark, zones, b, 5) == old  # its old record is still there
+
+
+def test_csv_keeps_blanks_around_text(spark, tmp_path):
+    files.write_csv(spark.createDataFrame([("  A B  ",)], "customer_name string"), f"{tmp_path}/c")
+    assert files.read_csv(spark, f"{tmp_path}/c").first()[0] == "  A B  "

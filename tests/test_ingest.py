@@ -137,3 +137,10 @@ def test_stamp(spark):
     stamped = ingest.stamp(raw(spark), dt.date(2026, 1, 28)).first()
     assert (stamped.ingestion_date, stamped.source_system) == (dt.date(2026, 1, 28), "local_csv")
     assert ingest.stamp(raw(spark)).first().ingestion_date is not None
+
+
+def test_strict_rules_count_nan(spark):
+    from ledgerlake.operators import rules
+
+    frame = spark.createDataFrame([(float("nan"),), (None,), (1.0,)], "price double")
+    assert frame.agg(rules.not_null_rules("price")[0].violations).first()[0] == 2
