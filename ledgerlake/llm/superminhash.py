@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlake.llm.common import (
     GOLDEN, durable, mix, shingle_sets, small_batches, text_bytes, text_key,
@@ -16,7 +17,8 @@ from ledgerlake.llm.common import (
 SLOTS = 128  # values in a signature
 FEW = 6  # levels after which each element's order is kept as an array
 MISS = 1e-7  # a pair right at the threshold may share no band with this probability
-STARS = 16  # parts of a bucket that get a centre each in its second round; then twice as many
+SAMPLED = 32  # texts of a group that all its texts are compared with
+BLOCK = 512  # texts of a group that are compared in one go
 
 
 def rows_per_band(percent: int, slots: int = SLOTS, miss: float = MISS) -> int:
@@ -110,40 +112,75 @@ def signed(docs: DataFrame, width: int, percent: int, slots: int = SLOTS) -> Dat
     )
 
 
-def _verifier(width: int):
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            own = shingle_sets(part.column("text").to_pylist(), width)
-            names = part.column("centre").to_pylist()
-            once = dict(zip(names, part.column("centre_text").to_pylist()))
-            sets = dict(zip(once, shingle_sets(list(once.values()), width)))
-            shared = [len(np.intersect1d(s, sets[c], assume_unique=True)) for s, c in zip(own, names)]
-            total = [len(s) + len(sets[c]) - both for s, c, both in zip(own, names, shared)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), part.column("centre"), pa.array(shared, pa.int64()),
-                 pa.array(total, pa.int64())],
-                names=["node", "centre", "shared", "total"],
-            )
-
-    return verify
+def _order(found: np.ndarray, values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Differences from the middle, those that fewer of the sampled texts have first. Each
+    text of a group has its differences in the same order."""
+    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+    held = np.where(values[at] == found, counts[at], 0)
+    return found[np.lexsort((found, np.where(held * 2 > size, size - held, held)))]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (node, centre) with the sizes of intersection and union of their full sets,
-    `linked` by exact integer comparison, and the Jaccard distance."""
-    found = (
-        pairs.join(texts, "node")
-        .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
-        .select("node", "centre", "text", "centre_text")
-        .mapInArrow(_verifier(width), "node binary, centre binary, shared long, total long")
-    )
-    return found.select(
-        "node", "centre",
-        (F.col("shared") * 100 >= F.col("total") * percent).alias("linked"),
-        (1 - F.col("shared") / F.col("total")).alias("distance"),
+def _compared(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * 5
+    lists = [None if x is None else x.view(np.int64) for x in columns[4]]
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(list(x), pa.binary()) for x in columns[:3]), pa.array(list(columns[3]), pa.int64()),
+         pa.array(lists, pa.list_(pa.int64()))],
+        names=["g", "node", "centre", "size", "diff"],
     )
 
 
+def _comparer(width: int, percent: int):
+    """Reads blocks of rows, each with the sampled texts of its group first."""
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sample, middle = None, [], None
+
+        def differences() -> list[tuple]:
+            """Find the middle of the sampled texts; one block of a group tells their differences."""
+            nonlocal values, counts, middle
+            values, counts = np.unique(np.concatenate([x for _, x in sample]), return_counts=True)
+            middle = values[counts * 2 > len(sample)]
+            return [
+                (block[0], name, None, len(x), _order(np.setxor1d(x, middle), values, counts, len(sample)))
+                for name, x in sample if block[1] == 0
+            ]
+
+        values = counts = None
+        family = False  # the block is of a large group
+        for part in parts:
+            rows = [part.column(c).to_pylist() for c in ("g", "part", "sampled", "large", "node")]
+            out: list[tuple] = []
+            for g, number, sampled, large, node, own in zip(
+                    *rows, shingle_sets(part.column("text").to_pylist(), width)):
+                if block != (g, number):
+                    out += differences() if family and middle is None else []
+                    block, sample, middle, roots, family = (g, number), [], None, [], large
+                out += differences() if not sampled and middle is None else []
+                linked = []
+                for k, (_, x) in enumerate(sample):
+                    if 100 * min(len(own), len(x)) >= percent * max(len(own), len(x)):
+                        shared = len(np.intersect1d(own, x, assume_unique=True))
+                        if 100 * shared >= percent * (len(own) + len(x) - shared):
+                            linked.append(k)
+                # One link to each set of sampled texts that were not yet linked with each other.
+                joined = {roots[k]: k for k in reversed(linked)}
+                out += [(g, node, sample[k][0], len(own), None) for k in joined.values()]
+                if joined:
+                    roots = [min(joined) if r in joined else r for r in roots]
+                if sampled:
+                    roots.append(min(joined, default=len(sample)))
+                    sample.append((node, own))
+                elif large:
+                    found = np.setxor1d(own, middle, assume_unique=True)
+                    out.append((g, node, None, len(own), _order(found, values, counts, len(sample))))
+            yield _compared(out)
+        if family and middle is None:
+            yield _compared(differences())
+
+    return compare
+
+
 def components(links: DataFrame) -> DataFrame:
     """node -> root, the least node it is linked with directly or through others. Union by
     least node and path compression, for all nodes at once: in turn each node passes its
@@ -180,66 +217,105 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def grouped(nodes: DataFrame) -> DataFrame:
+    """(g, node): groups such that any two nodes that share a band share a group. A node's
+    label is the least node it shares a band with; a bucket's group is the label that most
+    of its nodes have, so the buckets of one family of copies come together."""
+    bucketed = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = durable(
+        bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1")
+    )
+    members = durable(bucketed.join(sizes, "key").select("key", "node", "least"))
+    labels = durable(members.groupBy("node").agg(F.min("least").alias("label")))
+    labelled = durable(members.select("key", "node").join(labels, "node"))
+    home = durable(
+        labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "label")).alias("most")).select("key", F.col("most.label").alias("g"))
+    )
+    return durable(labelled.select("key", "node").join(home, "key").select("g", "node").distinct())
+
+
+def blocks(groups: DataFrame) -> DataFrame:
+    """(g, part, sampled, large, node): each group in blocks of about BLOCK nodes, with up
+    to SAMPLED nodes of the group in each block."""
+    sizes = durable(groups.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1"))
+    sized = durable(groups.join(sizes, "g").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")))
+    large = F.col("size") > SAMPLED
+    first = Window.partitionBy("g").orderBy("node")
+    sample = durable(
+        sized.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLED).drop("rank"))
+    spread = sample.select(
+        "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("sampled"),
+        large.alias("large"), "node")
+    others = sized.filter(large).join(sample.select("g", "node", F.lit(True).alias("taken")), ["g", "node"], "left")
+    return spread.union(others.filter("taken is null").select(
+        "g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False), F.lit(True), "node"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (node, centre) that connect all texts whose similarity reaches the threshold
     and which share a band. Not every link is listed, but no two linked texts stay apart.
 
-    Each bucket is a star at first: all its nodes are verified against the least one. After
-    that only nodes of one bucket in different components matter, and of those only pairs
-    whose distances to the centre differ by at most 1 - threshold, as Jaccard distance is a
-    metric. They are verified in rounds, against the least node of each of ever more parts
-    of the bucket; between rounds the components grow. A node is done when it was such a
-    centre; a bucket, when all its nodes are in one component."""
-    reach = 1 - percent / 100 + 1e-9
-    bucketed = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = durable(
-        bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    )
-    members = durable(bucketed.join(sizes, "key").select("key", "node", "centre"))
-    needed = durable(members.select("node").distinct())
+    Each text of a group is compared with the group's sampled texts, on full sets. In a small
+    group these are all of them. In a large one each set is also written as its difference
+    D from a middle, the shingles that most sampled texts have. The middle is only a point of
+    reference: whatever it is, x and y differ in D(x) xor D(y), so with p percent they are
+    linked if and only if |D(x) & D(y)| >= (a(x) + a(y)) / 2(100 + p), where
+    a = (100 + p) |D| - (100 - p) size. Let m have the group's least a. A text with
+    a(x) + a(m) <= 0 is linked with m. Any other link has a text without that, so its texts
+    share differences; they are found by the first ones in a common order, rare ones first,
+    as many as the bound leaves open, and confirmed on all differences. Pairs of one
+    component are left out, so a large family costs what its stragglers share, not its square."""
+    groups = grouped(nodes)
+    needed = durable(groups.select("node").distinct())
     texts = durable(
         docs.select(text_key().alias("node"), text_bytes().alias("text"))
         .join(needed, "node", "left_semi").dropDuplicates(["node"])
     )
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return durable(verified(durable(pairs.select("node", "centre").distinct()), texts, width, percent))
-
-    checked = check(members.filter("node != centre"))
-    near = checked.filter("linked").select("node", "centre")
-    active = durable(
-        members.join(checked, ["node", "centre"], "left")
-        .select("key", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    rows = durable(blocks(groups)).join(texts, "node").repartition("g", "part")
+    rows = rows.sortWithinPartitions("g", "part", F.desc("sampled"), "node")
+    compared = durable(rows.mapInArrow(
+        _comparer(width, percent), "g binary, node binary, centre binary, size long, diff array<long>"))
+    near = compared.filter("centre is not null").select("node", "centre")
+    unit = 100 + percent
+    told = compared.filter("diff is not null").select(
+        "g", "node", "size", F.size("diff").cast("long").alias("n"), "diff",
+    ).withColumn("a", unit * F.col("n") - (100 - percent) * F.col("size"))
+    middle = durable(told.groupBy("g").agg(F.min(F.struct("a", "node")).alias("m")))
+    told = durable(told.join(middle, "g").select(
+        "g", "node", "size", "n", "diff", "a", F.col("m.a").alias("least"), F.col("m.node").alias("centre")))
+    near = near.union(told.filter("a + least <= 0 and node != centre").select("node", "centre"))
+    root = durable(components(near))
+    rooted = durable(told.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("centre"))
+    # How many differences a partner shares at least: of a straggler's, and of any text's with a straggler.
+    straggler = F.col("a") + F.col("least") > 0
+    shared = F.ceil((F.col("a") + F.col("least")) / (2 * unit))
+    of_any = F.greatest(F.ceil((F.col("a") - F.col("least") + 1) / (2 * unit)), F.lit(1))
+    begun = rooted.withColumn("straggler", straggler).withColumn("open", F.greatest(
+        F.col("n") - of_any + 1, F.when(straggler, F.col("n") - F.greatest(shared, F.lit(1)) + 1)).cast("int"))
+    held = durable(
+        begun.filter("open > 0")
+        .select("g", "node", "size", "n", "a", "root", "straggler",
+                (F.col("n") - of_any + 1).alias("any"), F.posexplode(F.slice("diff", F.lit(1), F.col("open"))).alias("at", "x"))
     )
-    parts = STARS
-    while True:
-        root = durable(components(near))
-        rooted = active.join(root, "node", "left").select(
-            "key", "node", "distance", F.coalesce("root", "node").alias("root"))
-        rooted = durable(rooted)
-        apart = durable(
-            rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"))
-            .filter("one != other").select("key")
-        )
-        if apart.isEmpty():
-            return near
-        active = durable(rooted.join(apart, "key").select("key", "node", "distance", "root"))
-        part = F.pmod(F.xxhash64("node"), F.lit(parts))
-        centres = durable(
-            active.groupBy("key", part.alias("part"))
-            .agg(F.min(F.struct("node", "distance", "root")).alias("c")).select("key", "c.*")
-        )
-        one, other = active.alias("a"), centres.alias("c")
-        pairs = one.join(other, (F.col("a.key") == F.col("c.key")) & (F.col("a.root") != F.col("c.root"))
-                         & (F.abs(F.col("a.distance") - F.col("c.distance")) <= reach))
-        pairs = pairs.select(
-            F.greatest("a.node", "c.node").alias("node"), F.least("a.node", "c.node").alias("centre"))
-        near = near.union(check(pairs).filter("linked").select("node", "centre"))
-        done = centres.select("key", "node").withColumn("done", F.lit(True))
-        active = durable(
-            active.join(done, ["key", "node"], "left").filter("done is null").select("key", "node", "distance")
-        )
-        parts *= 2
+    wanted = durable(
+        held.groupBy("g", "x").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.max("straggler").alias("some"))
+        .filter("some and one != other").select("g", "x")
+    )
+    held = durable(held.join(wanted, ["g", "x"]))
+    one, other = held.filter("straggler").alias("o"), held.filter("at < any").alias("c")
+    left = F.least(F.col("o.n") - F.col("o.at"), F.col("c.n") - F.col("c.at"))  # shared from here on, at most
+    pairs = durable(
+        one.join(other, (F.col("o.g") == F.col("c.g")) & (F.col("o.x") == F.col("c.x"))
+                 & (F.col("o.root") != F.col("c.root")) & (F.col("o.a") + F.col("c.a") <= 2 * unit * left)
+                 & (100 * F.col("o.size") >= percent * F.col("c.size")) & (100 * F.col("c.size") >= percent * F.col("o.size")))
+        .select(F.col("o.g").alias("g"), F.col("o.node").alias("node"), F.col("c.node").alias("centre")).distinct()
+    )
+    own = told.select("g", "node", "a", "diff")
+    theirs = told.select("g", F.col("node").alias("centre"), F.col("a").alias("b"), F.col("diff").alias("other"))
+    found = pairs.join(own, ["g", "node"]).join(theirs, ["g", "centre"])
+    found = found.filter(F.col("a") + F.col("b") <= 2 * unit * F.size(F.array_intersect("diff", "other")))
+    return near.union(durable(found.select("node", "centre")))
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

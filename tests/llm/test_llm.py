@@ -59,6 +59,33 @@ def test_near_copies_match_brute_force(spark, real):
         d: (len(sets[d]), find(d), find(d) == d) for d in ids}
 
 
+def test_large_families_match_brute_force(spark, monkeypatch):
+    """Copies with ever more edits, most pairs just under or over the threshold, and a second
+    family that shares half of the text."""
+    monkeypatch.setattr(superminhash, "SAMPLED", 8)
+    monkeypatch.setattr(superminhash, "BLOCK", 40)
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{k}" for k in range(60)]
+    base = rng.choice(vocabulary, 120).tolist()
+    half = base[:100] + rng.choice(vocabulary, 20).tolist()
+    texts = []
+    for k in range(360):
+        words = list(base if k % 3 else half)
+        for at in rng.choice(len(words), rng.integers(0, 9), replace=False):
+            words[at] = f"u{k}x{at}" if k % 2 else str(rng.choice(vocabulary))
+        texts.append(" ".join(words))
+    sets = [shingle_set(t, 3) for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component_id for r in superminhash.near_copies(docs_of(spark, texts), 3, 85).collect()}
+    assert got == dict(enumerate(root)) and 5 < len(set(root)) < 300
+
+
 def test_superminhash_estimates_jaccard():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 900).astype(np.uint64)
