@@ -48,7 +48,9 @@ class Lattices:
         total = math.fsum(1 / (i - FIRST_PIECE + 2) for i in range(FIRST_PIECE, len(pieces)))
         self.logs = {p: -math.log((i - FIRST_PIECE + 2) * total) for i, p in enumerate(pieces) if i >= FIRST_PIECE}
         self.ids = {p: i for i, p in enumerate(pieces) if i >= FIRST_PIECE}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        # Every beginning of a piece, with id and log probability where it is one itself.
+        self.known: dict = {p[:n]: None for p in self.ids for n in range(1, len(p) + 1)}
+        self.known.update((p, (i, self.logs[p])) for p, i in self.ids.items())
         self.byte = min(self.logs.values()) - BYTE_LOSS
         self.forget()
 
@@ -56,7 +58,12 @@ class Lattices:
         self.start: dict[str, int] = {}
         self.nodes = 0
         self.edges = {name: np.empty(0, dtype=kind) for name, kind in EDGE_KINDS}
-        self.fresh: dict[str, list] = {name: [] for name, _ in EDGE_KINDS}
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Edges built since the last time, and per node how many it has and the log of all
+        ways on from it."""
+        self.fresh: dict[str, list] = {name: [] for name in ("to", "id", "ways", "count", "back")}
 
     def node(self, chunk: str) -> int:
         """The first node of a chunk's lattice."""
@@ -71,43 +78,54 @@ class Lattices:
         size = len(chunk)
         back = [0.0] * (size + 1)  # log of all ways from here to the end
         rows: list = [None] * size
-        logs, prefixes, ids = self.logs, self.prefixes, self.ids
+        known, exp, log = self.known, math.exp, math.log
         for i in range(size - 1, -1, -1):
-            found = []
+            to, ids, ways = [], [], []
             for end in range(i + 1, min(size, i + LONGEST) + 1):
-                piece = chunk[i:end]
-                if piece not in prefixes:
+                found = known.get(chunk[i:end], self)
+                if found is self:
                     break
-                log = logs.get(piece)
-                if log is not None:
-                    found.append((log + back[end], end, ids[piece], log))
-            if not found or found[0][1] > i + 1:  # the character is no piece: its bytes
+                if found is not None:
+                    to.append(first + end if end < size else -1)
+                    ids.append(found[0])
+                    ways.append(found[1] + back[end])
+            if known.get(chunk[i]) is None:  # the character is no piece: its bytes
                 character = SPACE if chunk[i] == MARK else chunk[i]
                 raw = character.encode()
-                code = FIRST_BYTE + raw[0] if len(raw) == 1 else len(self.pieces) + ord(character)
-                log = self.byte * len(raw)
-                found.append((log + back[i + 1], i + 1, code, log))
-            top = max(f[0] for f in found)
-            back[i] = top + math.log(math.fsum(math.exp(f[0] - top) for f in found))
-            rows[i] = found
+                to.append(first + i + 1 if i + 1 < size else -1)
+                ids.append(FIRST_BYTE + raw[0] if len(raw) == 1 else len(self.pieces) + ord(character))
+                ways.append(self.byte * len(raw) + back[i + 1])
+            if len(ways) == 1:
+                back[i] = ways[0]
+            else:
+                top = max(ways)
+                back[i] = top + log(sum([exp(w - top) for w in ways]))
+            rows[i] = to, ids, ways
         fresh = self.fresh
-        for i, found in enumerate(rows):
-            reached, last = 0.0, len(found) - 1
-            for k, (ways, end, code, log) in enumerate(found):
-                weight = math.exp(ways - back[i])
-                reached += weight
-                fresh["place"].append(first + i + (1.0 if k == last else min(reached, 1 - 1e-12)))
-                fresh["to"].append(first + end if end < size else -1)
-                fresh["id"].append(code)
-                fresh["log"].append(ways - back[i])
-                fresh["weight"].append(min(weight, 1.0))
+        for to, ids, ways in rows:
+            fresh["to"] += to
+            fresh["id"] += ids
+            fresh["ways"] += ways
+            fresh["count"].append(len(to))
+        fresh["back"] += back[:size]
 
     def settle(self) -> None:
         """Put the lattices built since the last time among the arrays."""
-        for name, kind in EDGE_KINDS:
-            if self.fresh[name]:
-                self.edges[name] = np.concatenate([self.edges[name], np.array(self.fresh[name], dtype=kind)])
-                self.fresh[name] = []
+        fresh = self.fresh
+        if not fresh["to"]:
+            return
+        counts = np.array(fresh["count"], dtype=np.int64)
+        ends = np.cumsum(counts)
+        logs = np.array(fresh["ways"]) - np.repeat(np.array(fresh["back"]), counts)
+        weight = np.minimum(np.exp(logs), 1.0)
+        before = np.concatenate([[0.0], np.cumsum(weight)])
+        reached = np.minimum(before[1:] - np.repeat(before[ends - counts], counts), 1 - 1e-12)
+        reached[ends - 1] = 1.0
+        node = self.nodes - len(counts) + np.repeat(np.arange(len(counts)), counts)
+        new = {"place": node + reached, "to": fresh["to"], "id": fresh["id"], "log": logs, "weight": weight}
+        self.edges = {
+            name: np.concatenate([self.edges[name], np.asarray(new[name], dtype=kind)]) for name, kind in EDGE_KINDS}
+        self._refresh()
 
     def siblings(self, edge: int) -> np.ndarray:
         """All edges of the node that an edge leaves."""
