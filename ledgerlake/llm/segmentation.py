@@ -21,9 +21,10 @@ MARK = "\ud800"  # stands for a literal SPACE; no text holds a lone surrogate
 FIRST_BYTE, FIRST_PIECE = 3, 259  # ids of <0x00> and of the first piece that is no control or byte
 BYTE_LOSS = 3.0  # a byte is so much (natural log) less likely than the rarest piece
 LONGEST = 16  # characters in the longest piece
-STORED = 2_000_000  # edges of lattices that are remembered
+CODES = 1 << 21  # more than there are code points
+STORED = 4_000_000  # edges of lattices that are remembered
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-EDGE_KINDS = (("place", np.float64), ("to", np.int64), ("id", np.int64), ("log", np.float64), ("weight", np.float64))
+EDGE_KINDS = (("reached", np.float64), ("to", np.int32), ("id", np.int32), ("log", np.float64))
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -41,97 +42,123 @@ class Lattices:
 
     Piece probabilities follow Zipf's law by id, as the vocabulary is in order of merging. An
     edge carries its conditional probability given its node: piece times all ways on, divided
-    by all ways from the node. A walk by these draws a segmentation by its probability."""
+    by all ways from the node. A walk by these draws a segmentation by its probability.
+
+    The edges of node k are those from begin[k] to begin[k + 1]. `reached` is the running sum
+    of their probabilities within the node, `to` the next node, or -1 at the end of a chunk."""
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
         total = math.fsum(1 / (i - FIRST_PIECE + 2) for i in range(FIRST_PIECE, len(pieces)))
-        self.logs = {p: -math.log((i - FIRST_PIECE + 2) * total) for i, p in enumerate(pieces) if i >= FIRST_PIECE}
-        self.ids = {p: i for i, p in enumerate(pieces) if i >= FIRST_PIECE}
-        # Every beginning of a piece, with id and log probability where it is one itself.
-        self.known: dict = {p[:n]: None for p in self.ids for n in range(1, len(p) + 1)}
-        self.known.update((p, (i, self.logs[p])) for p, i in self.ids.items())
-        self.byte = min(self.logs.values()) - BYTE_LOSS
+        logs = [-math.log((i - FIRST_PIECE + 2) * total) for i in range(FIRST_PIECE, len(pieces))]
+        self.byte = min(logs) - BYTE_LOSS
+        # Every beginning of a piece is a state; one more character leads to another state.
+        states = {"": 0}
+        for piece in pieces[FIRST_PIECE:]:
+            for n in range(1, len(piece) + 1):
+                states.setdefault(piece[:n], len(states))
+        step = np.array([states[p[:-1]] * CODES + ord(p[-1]) for p in states if p], dtype=np.int64)
+        order = np.argsort(step)
+        self.step, self.after = step[order], order + 1
+        self.id_of, self.log_of = np.full(len(states), -1, dtype=np.int32), np.zeros(len(states))
+        for i, (piece, log) in enumerate(zip(pieces[FIRST_PIECE:], logs), FIRST_PIECE):
+            self.id_of[states[piece]], self.log_of[states[piece]] = i, log
         self.forget()
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.nodes = 0
+        self.begin = np.zeros(1, dtype=np.int64)
         self.edges = {name: np.empty(0, dtype=kind) for name, kind in EDGE_KINDS}
-        self._refresh()
-
-    def _refresh(self) -> None:
-        """Edges built since the last time, and per node how many it has and the log of all
-        ways on from it."""
-        self.fresh: dict[str, list] = {name: [] for name in ("to", "id", "ways", "count", "back")}
-
-    def node(self, chunk: str) -> int:
-        """The first node of a chunk's lattice."""
-        at = self.start.get(chunk)
-        if at is None:
-            at = self.start[chunk] = self.nodes
-            self._build(chunk, at)
-            self.nodes += len(chunk)
-        return at
-
-    def _build(self, chunk: str, first: int) -> None:
-        size = len(chunk)
-        back = [0.0] * (size + 1)  # log of all ways from here to the end
-        rows: list = [None] * size
-        known, exp, log = self.known, math.exp, math.log
-        for i in range(size - 1, -1, -1):
-            to, ids, ways = [], [], []
-            for end in range(i + 1, min(size, i + LONGEST) + 1):
-                found = known.get(chunk[i:end], self)
-                if found is self:
-                    break
-                if found is not None:
-                    to.append(first + end if end < size else -1)
-                    ids.append(found[0])
-                    ways.append(found[1] + back[end])
-            if known.get(chunk[i]) is None:  # the character is no piece: its bytes
-                character = SPACE if chunk[i] == MARK else chunk[i]
-                raw = character.encode()
-                to.append(first + i + 1 if i + 1 < size else -1)
-                ids.append(FIRST_BYTE + raw[0] if len(raw) == 1 else len(self.pieces) + ord(character))
-                ways.append(self.byte * len(raw) + back[i + 1])
-            if len(ways) == 1:
-                back[i] = ways[0]
-            else:
-                top = max(ways)
-                back[i] = top + log(sum([exp(w - top) for w in ways]))
-            rows[i] = to, ids, ways
-        fresh = self.fresh
-        for to, ids, ways in rows:
-            fresh["to"] += to
-            fresh["id"] += ids
-            fresh["ways"] += ways
-            fresh["count"].append(len(to))
-        fresh["back"] += back[:size]
-
-    def settle(self) -> None:
-        """Put the lattices built since the last time among the arrays."""
-        fresh = self.fresh
-        if not fresh["to"]:
-            return
-        counts = np.array(fresh["count"], dtype=np.int64)
-        ends = np.cumsum(counts)
-        logs = np.array(fresh["ways"]) - np.repeat(np.array(fresh["back"]), counts)
-        weight = np.minimum(np.exp(logs), 1.0)
-        before = np.concatenate([[0.0], np.cumsum(weight)])
-        reached = np.minimum(before[1:] - np.repeat(before[ends - counts], counts), 1 - 1e-12)
-        reached[ends - 1] = 1.0
-        node = self.nodes - len(counts) + np.repeat(np.arange(len(counts)), counts)
-        new = {"place": node + reached, "to": fresh["to"], "id": fresh["id"], "log": logs, "weight": weight}
+
+    def nodes(self, chunks: list[str]) -> np.ndarray:
+        """The first node of each chunk's lattice."""
+        fresh = [c for c in dict.fromkeys(chunks) if c not in self.start]
+        if fresh:
+            self._build(fresh)
+        return np.fromiter(map(self.start.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+
+    def _pieces_at(self, codes: np.ndarray, left: np.ndarray) -> list[tuple]:
+        """(positions, length, ids, logs) of the pieces at each position of some chunks; `left`
+        is how many characters its chunk has from there. Lengths ascend."""
+        at, state, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
+        for length in range(1, LONGEST + 1):
+            key = state * CODES + codes[at + length - 1]
+            place = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            going = self.step[place] == key
+            at, state = at[going], self.after[place[going]]
+            whole = self.id_of[state] >= 0
+            found.append((at[whole], length, self.id_of[state[whole]], self.log_of[state[whole]]))
+            if length == 1:  # a character that is no piece: its bytes
+                odd = np.ones(len(codes), dtype=bool)
+                odd[at[whole]] = False
+                odd = np.flatnonzero(odd)
+                code = np.where(codes[odd] == ord(MARK), ord(SPACE), codes[odd])
+                size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+                found.append((odd, 1, np.where(size == 1, FIRST_BYTE + code, len(self.pieces) + code), self.byte * size))
+            more = left[at] > length
+            at, state = at[more], state[more]
+            if not len(at):
+                break
+        return found
+
+    def _build(self, chunks: list[str]) -> None:
+        """Add the lattices of these chunks. Nodes are numbered by their distance from the
+        chunk's end, so those of all chunks that are equally far are weighed at once."""
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(codes))
+        number = np.empty(len(codes), dtype=np.int64)
+        number[np.argsort(left, kind="stable")] = np.arange(len(codes))
+        found = [(number[at], at, length, ids, logs) for at, length, ids, logs in self._pieces_at(codes, left)]
+
+        counts = np.zeros(len(codes), dtype=np.int64)
+        for node, *_ in found:
+            counts[node] += 1
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        free = begin[:-1].copy()
+        to, ids, ways = np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1])
+        for node, at, length, own, logs in found:
+            place = free[node]
+            free[node] += 1
+            to[place] = np.where(left[at] > length, number[np.minimum(at + length, len(codes) - 1)], -1)
+            ids[place], ways[place] = own, logs
+
+        back = np.zeros(len(codes) + 1)  # log of all ways from a node to the end; the last is the end itself
+        level = np.concatenate([[0], np.cumsum(np.bincount(left)[1:])]).tolist()
+        for one, other in zip(level[:-1], level[1:]):
+            here = slice(begin[one], begin[other])
+            ways[here] += back[to[here]]
+            first = begin[one:other] - begin[one]
+            top = np.maximum.reduceat(ways[here], first)
+            spread = np.exp(ways[here] - np.repeat(top, counts[one:other]))
+            back[one:other] = top + np.log(np.add.reduceat(spread, first))
+
+        logs = ways - np.repeat(back[:-1], counts)
+        before = np.concatenate([[0.0], np.cumsum(np.exp(logs))])
+        reached = np.minimum(before[1:] - np.repeat(before[begin[:-1]], counts), 1 - 1e-12)
+        reached[begin[1:] - 1] = 1.0
+        nodes = len(self.begin) - 1
+        new = {"reached": reached, "to": np.where(to < 0, -1, to + nodes), "id": ids, "log": np.minimum(logs, 0.0)}
+        self.begin = np.concatenate([self.begin, begin[1:] + self.begin[-1]])
         self.edges = {
-            name: np.concatenate([self.edges[name], np.asarray(new[name], dtype=kind)]) for name, kind in EDGE_KINDS}
-        self._refresh()
+            name: np.concatenate([self.edges[name], new[name].astype(kind)]) for name, kind in EDGE_KINDS}
+        self.start.update(zip(chunks, (nodes + number[ends - sizes]).tolist()))
+
+    def picked(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node that holds a number in (0, 1)."""
+        reached = self.edges["reached"]
+        edge = self.begin[nodes]
+        late = np.flatnonzero(reached[edge] <= u)
+        while len(late):
+            edge[late] += 1
+            late = late[reached[edge[late]] <= u[late]]
+        return edge
 
     def siblings(self, edge: int) -> np.ndarray:
         """All edges of the node that an edge leaves."""
-        place = self.edges["place"]
-        node = math.ceil(place[edge]) - 1
-        return np.arange(*np.searchsorted(place, [node, node + 1], side="right"))
+        node = int(np.searchsorted(self.begin, edge, side="right")) - 1
+        return np.arange(self.begin[node], self.begin[node + 1])
 
 
 def _uniform(seed: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
@@ -142,12 +169,12 @@ def _uniform(seed: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
 
 def _walk(lattices: Lattices, starts: np.ndarray, seeds: np.ndarray, counters: np.ndarray, sample: int):
     """A random walk through each chunk: the edges, and where each chunk's edges begin."""
-    place, to = lattices.edges["place"], lattices.edges["to"]
+    to = lattices.edges["to"]
     going, at, taken, step = np.arange(len(starts)), starts, [], 0
     counts = np.zeros(len(starts), dtype=np.int64)
     while len(going):
         u = _uniform(seeds[going], counters[going], sample * 1_000_003 + step)
-        edge = np.searchsorted(place, at + u, side="right")
+        edge = lattices.picked(at, u)
         taken.append((going, edge))
         counts[going] += 1
         at = to[edge]
@@ -184,7 +211,7 @@ def _top(lattices: Lattices, paths: list, seed: int, samples: int) -> list[tuple
     holds arrival times, least first. When a path arrives, every node on it leaves behind the
     subtree of its other edges, whose next arrival is later by an exponential time of its own
     rate. The queue's next time, beyond the last sample, is the threshold for inclusion."""
-    log, weight, to, place = (lattices.edges[n] for n in ("log", "weight", "to", "place"))
+    log, to = lattices.edges["log"], lattices.edges["to"]
     draws = _Draws(seed)
     queue: list = []
     out: list = []
@@ -194,9 +221,10 @@ def _top(lattices: Lattices, paths: list, seed: int, samples: int) -> list[tuple
         ever be wanted."""
         if since >= len(path):
             return
-        before = np.concatenate([[0.0], np.cumsum(log[path])[:-1]])[since:]
+        own = log[path]
+        before = (np.cumsum(own) - own)[since:]
         with np.errstate(divide="ignore", over="ignore"):
-            rate = before + np.log1p(-weight[path[since:]])
+            rate = before + np.log1p(-np.exp(own[since:]))
             times = time + np.exp(np.log(-np.log(draws.many(len(path) - since))) - rate)
         few = min(samples, len(times))
         for s in np.argpartition(times, few - 1)[:few].tolist():
@@ -210,15 +238,17 @@ def _top(lattices: Lattices, paths: list, seed: int, samples: int) -> list[tuple
     while queue and len(out) < samples:
         time, _, at, excluded, _, parent = heapq.heappop(queue)
         others = np.array([e for e in lattices.siblings(excluded[0]).tolist() if e not in excluded])
-        reached = np.cumsum(weight[others])
-        edge = int(others[min(np.searchsorted(reached, draws.one() * reached[-1]), len(others) - 1)])
+        weight = np.exp(log[others])
+        reached = np.cumsum(weight)
+        chosen = min(int(np.searchsorted(reached, draws.one() * reached[-1])), len(others) - 1)
+        edge = int(others[chosen])
         tail = [edge]
         while to[tail[-1]] >= 0:
-            tail.append(int(np.searchsorted(place, to[tail[-1]] + draws.one(), side="right")))
+            tail.append(int(lattices.picked(to[tail[-1:]], draws.many(1))[0]))
         fresh = paths[len(out)]
         chunk = int(np.searchsorted(_ends(lattices, parent), at, side="right"))
         path = np.concatenate([parent[:at], tail, fresh[_ends(lattices, fresh)[chunk]:]]).astype(np.int64)
-        left = weight[others].sum() - weight[edge]
+        left = weight.sum() - weight[chosen]
         if len(others) > 1 and left > 0:
             rate = float(log[parent[:at]].sum()) + math.log(left)
             gap = math.log(-math.log(draws.one())) - rate
@@ -252,8 +282,7 @@ def sampled(lattices: Lattices, texts: Sequence[str], keys: np.ndarray, samples:
     if len(lattices.edges["to"]) > STORED:
         lattices.forget()
     split = [chunks(t) for t in texts]
-    starts = np.fromiter((lattices.node(c) for s in split for c in s), dtype=np.int64)
-    lattices.settle()
+    starts = lattices.nodes([c for s in split for c in s])
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     seeds = np.repeat(keys, sizes)

@@ -148,6 +148,31 @@ def test_segmentations_round_trip_and_differ(spark, real):
     assert set(seen) == set(texts)
 
 
+def test_lattices_hold_all_segmentations():
+    """The probabilities of all paths of a lattice, listed one by one, add up to one, and every
+    path spells the chunk; built together with others or alone, a lattice is the same."""
+    pieces = segmentation.vocabulary()
+    both, alone = segmentation.Lattices(pieces), segmentation.Lattices(pieces)
+    for chunk in segmentation.chunks("then 日本x \n\n  ▁ a"):
+        both.nodes(["▁other", chunk, "x" * 400, chunk])
+        listed = []
+        for lattices in (both, alone):
+            open_paths, done = [(int(lattices.nodes([chunk])[0]), (), 0.0)], {}
+            while open_paths:
+                node, ids, log = open_paths.pop()
+                for edge in range(lattices.begin[node], lattices.begin[node + 1]):
+                    to, further = int(lattices.edges["to"][edge]), log + lattices.edges["log"][edge]
+                    path = (*ids, int(lattices.edges["id"][edge]))
+                    if to < 0:
+                        done[path] = further
+                    else:
+                        open_paths.append((to, path, further))
+            assert abs(sum(np.exp(list(done.values()))) - 1) < 1e-9
+            listed.append(done)
+        assert listed[0].keys() == listed[1].keys()
+        assert all(abs(listed[0][k] - listed[1][k]) < 1e-9 for k in listed[0])
+
+
 def test_segmentations_are_drawn_by_their_probability():
     lattices = segmentation.Lattices(segmentation.vocabulary())
     keys = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
