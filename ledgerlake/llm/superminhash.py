@@ -268,10 +268,9 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     component are left out, so a large family costs what its stragglers share, not its square."""
     groups = grouped(nodes)
     needed = durable(groups.select("node").distinct())
-    texts = durable(
-        docs.select(text_key().alias("node"), text_bytes().alias("text"))
-        .join(needed, "node", "left_semi").dropDuplicates(["node"])
-    )
+    # Copies of a text become one in each task, before the shuffle that the join then uses too.
+    once = docs.select(text_key().alias("node"), text_bytes().alias("text")).dropDuplicates(["node"])
+    texts = durable(once.join(needed, "node"))
     rows = durable(blocks(groups)).join(texts, "node").repartition("g", "part")
     rows = rows.sortWithinPartitions("g", "part", F.desc("sampled"), "node")
     compared = durable(rows.mapInArrow(
