@@ -7,18 +7,21 @@
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ledgerlake.errors import SalesRunError
 from ledgerlake.functions import params
 from ledgerlake.operators import fact
 from ledgerlake.plans import daily
-from ledgerlake.session import TABLE_FORMATS, session
-from ledgerlake.sources import jdbc
+from ledgerlake.session import TABLE_FORMATS, session, sized_for
+from ledgerlake.sources import folders, jdbc
 
 STEPS = ["dimensions", "generate", "ingest", "transform", "check", "publish", "day"]
+ID_TYPES = {"int": T.IntegerType(), "long": T.LongType()}
 
 
 def pairs(given: list[str]) -> dict[str, str]:
@@ -34,6 +37,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     parser.add_argument("--rows", type=int, help="size of a generated batch")
     parser.add_argument("--scope", choices=["day", "month"], default="day")
     parser.add_argument("--strict", action="store_true", help="let null values fail a rule")
+    parser.add_argument("--ids", choices=sorted(ID_TYPES), default="int", help="type of published ids")
     parser.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
                         help="session setting, such as a storage credential")
     parser.add_argument("--jdbc", action="append", default=[], metavar="OPTION=VALUE",
@@ -41,6 +45,15 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def input_bytes(spark: SparkSession, step: str, day: dt.date, zones: daily.Zones) -> int:
+    """What the step reads at most; `day` is sized for its largest step."""
+    reads = {
+        "dimensions": [], "generate": [zones.dimensions], "ingest": [params.raw_path(zones.source, day)],
+        "transform": [params.raw_path(zones.raw, day)],
+    }
+    return sum(folders.size(spark, path) for path in reads.get(step, [zones.processed]))
+
+
 def main(argv: list[str]) -> int:
     args = arguments(argv)
     try:
@@ -50,6 +63,10 @@ def main(argv: list[str]) -> int:
         return 1
     spark = session(f"ledgerlake {args.step} {day}", pairs(args.conf), args.format)
     zones = daily.Zones.under(args.lake, args.format)
+    given_conf = pairs(args.conf)
+    for key, value in sized_for(input_bytes(spark, args.step, day, zones)).items():
+        if key not in given_conf:
+            spark.conf.set(key, value)
 
     def to_database(df: DataFrame) -> None:
         given = pairs(args.jdbc)
@@ -69,9 +86,11 @@ def main(argv: list[str]) -> int:
         elif args.step == "check":
             daily.check_day(spark, day, zones, args.scope, args.strict).show(truncate=False)
         elif args.step == "publish":
-            print(daily.publish(spark, zones, to_database))
+            print(daily.publish(spark, zones, to_database, ID_TYPES[args.ids]))
         else:
-            print(daily.run_day(spark, day, zones, to_database, args.rows))
+            print(daily.run_day(
+                spark, day, zones, to_database, args.rows,
+                scope=args.scope, strict=args.strict, id_type=ID_TYPES[args.ids]))
     except SalesRunError as e:
         print(f"ERROR: {e}", file=sys.stderr)
         return 1

@@ -127,7 +127,8 @@ def transform_day(
 def check_day(
     spark: SparkSession, day: dt.date, zones: Zones, scope: str = "day", strict: bool = False
 ) -> DataFrame:
-    """The quality report of a stored day; raises when a rule fails."""
+    """The quality report of a stored day; raises when a rule fails or a column is not stored."""
+    table.check_stored(spark, zones.processed, day, scope, zones.fmt)
     stored = table.scan(spark, zones.processed, zones.fmt)
     report = quality.quality_report(quality.in_scope(stored, day, scope), strict)
     quality.gate(report)
@@ -136,15 +137,18 @@ def check_day(
 
 def publish(
     spark: SparkSession, zones: Zones, sink: Sink,
-    id_type: T.DataType = T.IntegerType(), persist: bool = False,
+    id_type: T.DataType = T.IntegerType(), persist: bool = False, since: dt.date | None = None,
 ) -> int:
     """Replace the published table with the whole processed table; returns its rows.
+    With `since` the sink gets only rows of that day or later, and must merge them.
 
-    Rows are counted from file footers before anything is sent. `persist` keeps the
+    Rows are counted before anything is sent, from file footers where all are sent. `persist` keeps the
     11 columns for a sink that reads them more than once; leave it off for a
     history larger than the executors' memory and disks.
     """
     stored = table.scan(spark, zones.processed, zones.fmt)
+    if since is not None:
+        stored = table.since(stored, since)
     rows = fact.count(stored).first()[0]
     if not rows:
         raise EmptyPublish(fv.EMPTY_PUBLISH_MESSAGE)
@@ -161,13 +165,16 @@ def publish(
 
 def run_day(
     spark: SparkSession, run_date: str | dt.date, zones: Zones, sink: Sink,
-    rows: int | None = None, ingested_on: dt.date | None = None,
+    rows: int | None = None, ingested_on: dt.date | None = None, scope: str = "day",
+    strict: bool = False, id_type: T.DataType = T.IntegerType(), since: dt.date | None = None,
 ) -> DaySummary:
-    """All five steps of a day. Any failed gate raises and leaves the rest undone."""
+    """All five steps of a day. Any failed gate raises and leaves the rest undone. The
+    options are those of the single steps."""
     day = params.run_date(run_date)
     generate_day(spark, day, zones, rows)
-    ingest_day(spark, day, zones, ingested_on)
+    ingest_day(spark, day, zones, ingested_on, strict)
     written = transform_day(spark, day, zones)
-    check_day(spark, day, zones)
-    return DaySummary(day, written.rows_seen, written.rows_off_day, publish(spark, zones, sink))
+    check_day(spark, day, zones, scope, strict)
+    published = publish(spark, zones, sink, id_type, since=since)
+    return DaySummary(day, written.rows_seen, written.rows_off_day, published)
 

@@ -9,23 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas
-from ledgerlake.errors import EmptyBatch
+from ledgerlake.errors import EmptyBatch, MissingInput, SchemaMismatch
+from ledgerlake.sources import folders
 from ledgerlake.sources.files import loading
 
 MONTH_KEYS = ["order_year", "order_month"]
 DAY_KEYS = ["order_year", "order_month", "order_day"]
 
 
-def _by_partition(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Bring a partition's rows together so that it gets few files. A rebalance,
-    unlike a repartition, lets Spark split a large day over many tasks and put
-    small ones together, by the sizes it sees at run time."""
-    return df.hint("rebalance", *(F.col(k) for k in keys))
+def _check_layout(spark: SparkSession, path: str, keys: list[str], fmt: str) -> None:
+    """Raise if the table is there and partitioned by other keys: no reader could open it
+    once both layouts are mixed."""
+    found = keys if fmt == "delta" else folders.partition_keys(spark, path)
+    if found and found != keys:
+        raise SchemaMismatch(f"{path} is partitioned by {found}, not by {keys}")
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet", keys: list[str] = MONTH_KEYS) -> None:
-    """Add rows. Appending a batch twice stores it twice; see `replace_day`."""
-    _by_partition(df, keys).write.format(fmt).mode("append").partitionBy(*keys).save(path)
+    """Add rows. Appending a batch twice stores it twice; see `replace_day`.
+
+    A partition's rows are brought together so that it gets few files. A rebalance,
+    unlike a repartition, lets Spark split a large day over many tasks and put small
+    ones together, by the sizes it sees at run time."""
+    _check_layout(df.sparkSession, path, keys, fmt)
+    df.hint("rebalance", *(F.col(k) for k in keys)).write.format(fmt).mode("append").partitionBy(*keys).save(path)
 
 
 @dataclass(frozen=True)
@@ -41,18 +48,23 @@ def replace_day(
 
     Only directories that receive rows are replaced. A row of another day would
     wipe that day, so rows whose date is not `day`, or is unreadable, are kept out
-    and go to the day's directory under `quarantine`. The counts that decide this
+    and go to the day's directory under `quarantine`, in place of an earlier run's. The counts that decide this
     are an aggregate over the date alone, exact also when tasks are repeated. A
     batch with nothing for the day leaves the stored day as it was and raises.
     """
+    spark = df.sparkSession
+    _check_layout(spark, path, DAY_KEYS, fmt)
+    strays = f"{quarantine}/{day.isoformat()}"
     on_day = F.coalesce(F.col("order_date") == F.lit(day), F.lit(False))
     rows, off_day = df.agg(F.count(F.lit(1)), F.count_if(~on_day)).first()
     if off_day:
-        df.filter(~on_day).write.mode("overwrite").parquet(f"{quarantine}/{day.isoformat()}")
+        df.filter(~on_day).write.mode("overwrite").parquet(strays)
+    else:
+        folders.remove(spark, strays)
     if rows == off_day:
         raise EmptyBatch(f"no rows dated {day} in the batch")
     (
-        _by_partition(df.filter(on_day), DAY_KEYS)
+        df.filter(on_day).hint("rebalance")  # all rows go to one directory: no keys to shuffle by
         .write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*DAY_KEYS).save(path)
     )
@@ -66,3 +78,30 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
         reader = reader.schema(schemas.PROCESSED)
     found = loading(lambda: reader.load(path), path).select(*schemas.PROCESSED.names)
     return schemas.assert_schema(found, schemas.PROCESSED)
+
+
+def check_stored(spark: SparkSession, path: str, day: dt.date, scope: str = "day", fmt: str = "parquet") -> None:
+    """Raise if the files of the day (or of a day of its month) lack a column or declare it
+    of another type. A reader that is given the schema fills such a column with nulls, so
+    the files are asked themselves. A day is written by one job; one footer speaks for it."""
+    if fmt == "delta":  # the table itself holds and enforces its schema
+        return
+    wanted = schemas.T.StructType([f for f in schemas.PROCESSED.fields if f.name not in DAY_KEYS])
+    days = range(1, 32) if scope == "month" else [day.day]
+    for number in days:
+        at = f"{path}/order_year={day.year}/order_month={day.month}/order_day={number}"
+        if not folders.exists(spark, at):
+            continue
+        try:
+            found = loading(lambda: spark.read.format(fmt).load(at), at)
+        except MissingInput:
+            continue
+        names = [n for n in wanted.names if n in found.columns]
+        schemas.assert_schema(found.select(*names), wanted)
+
+
+def since(df: DataFrame, first: dt.date) -> DataFrame:
+    """Rows dated `first` or later. Year and month are partition columns, so earlier
+    months are neither listed nor read."""
+    month = F.col("order_year") * 12 + F.col("order_month")
+    return df.filter((month >= first.year * 12 + first.month) & (F.col("order_date") >= F.lit(first)))

@@ -5,12 +5,15 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from ledgerlake import __main__ as command
 from ledgerlake import schemas
 from ledgerlake.errors import DataQualityError, EmptyBatch, MissingInput, SchemaMismatch
 from ledgerlake.operators import quality
 from ledgerlake.operators.enrich import enrich
 from ledgerlake.operators.ingest import stamp
+from ledgerlake.plans import daily
 from ledgerlake.sources import table
 
 FIRST, SECOND = dt.date(2026, 1, 27), dt.date(2026, 1, 28)
@@ -128,7 +131,8 @@ def test_quality_reports_all_failures_in_order(spark):
 def test_quality_lets_null_and_nan_pass_unless_strict(spark):
     unknown = processed(spark, FIRST, quantity=F.lit(None).cast("int"), price=F.lit(float("nan")))
     quality.gate(quality.quality_report(unknown))
-    assert failures(unknown, strict=True)[0] == [("quantity_not_null", 3), ("total_amount_not_null", 3)]
+    assert failures(unknown, strict=True)[0] == [
+        ("quantity_not_null", 3), ("price_not_null", 3), ("total_amount_not_null", 3)]
 
 
 def test_scope_day_or_month(spark, tmp_path):
@@ -139,3 +143,60 @@ def test_scope_day_or_month(spark, tmp_path):
     assert failures(quality.in_scope(stored, SECOND, "month"))[0][0] == ("price_positive", 3)
     missing = dt.date(2026, 1, 29)
     assert failures(quality.in_scope(stored, missing))[0] == [("records_present", 1)]
+
+
+def test_a_stored_day_without_a_column_stops_the_check(spark, tmp_path):
+    zones = daily.Zones.under(str(tmp_path))
+    table.replace_day(processed(spark, SECOND), zones.processed, SECOND, zones.quarantine)
+    day = f"{zones.processed}/order_year=2026/order_month=1/order_day=27"
+    processed(spark, FIRST).drop("price", *table.DAY_KEYS).write.parquet(day)
+    with pytest.raises(SchemaMismatch, match="price"):
+        daily.check_day(spark, FIRST, zones)
+    with pytest.raises(SchemaMismatch, match="price"):
+        daily.check_day(spark, SECOND, zones, "month")
+    daily.check_day(spark, SECOND, zones)
+
+
+def test_other_partition_keys_are_refused(spark, tmp_path):
+    replace(processed(spark, FIRST), tmp_path, FIRST)
+    with pytest.raises(SchemaMismatch, match="order_day"):
+        table.append(processed(spark, SECOND), f"{tmp_path}/t")
+    assert per_day(spark, f"{tmp_path}/t") == {FIRST: 3}
+    table.append(processed(spark, SECOND), f"{tmp_path}/m")
+    with pytest.raises(SchemaMismatch, match="order_month"):
+        table.replace_day(processed(spark, FIRST), f"{tmp_path}/m", FIRST, f"{tmp_path}/q")
+
+
+def test_a_clean_rerun_leaves_no_quarantine(spark, tmp_path):
+    replace(processed(spark, FIRST).unionByName(processed(spark, SECOND, 1)), tmp_path, FIRST)
+    assert (tmp_path / "q/2026-01-27").is_dir()
+    assert replace(processed(spark, FIRST), tmp_path, FIRST) == table.DayWrite(3, 0)
+    assert not (tmp_path / "q/2026-01-27").exists()
+
+
+def test_publish_since_sends_later_days_with_wide_ids(spark, tmp_path):
+    zones = daily.Zones.under(str(tmp_path))
+    wide = processed(
+        spark, SECOND, 4, order_id=F.concat(F.lit("ORD"), F.lit(3_000_000_000) + F.col("quantity")),
+        customer_id=F.lit("CUST1"), product_id=F.lit("PROD1"))
+    for day, df in ((FIRST, processed(spark, FIRST)), (SECOND, wide)):
+        table.replace_day(df, zones.processed, day, zones.quarantine)
+    sent = []
+    assert daily.publish(spark, zones, lambda df: sent.extend(df.collect()), LongType(), since=SECOND) == 4
+    assert {r.order_id for r in sent} == {3_000_000_002} and {r.order_date for r in sent} == {SECOND}
+
+
+def test_the_command_line_passes_its_options_on(spark, tmp_path, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(command, "session", lambda *_: spark)
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    monkeypatch.setattr(command, "input_bytes", lambda *_: 100 * 1024**4)
+    monkeypatch.setattr(command.daily, "run_day", lambda *_, **options: seen.update(options))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        args = ["day", "2026-01-27", "--lake", str(tmp_path), "--strict", "--scope", "month", "--ids", "long"]
+        assert command.main(args) == 0
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(100 * 1024**4 // (128 * 1024**2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == {"scope": "month", "strict": True, "id_type": LongType()}
