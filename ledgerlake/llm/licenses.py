@@ -48,8 +48,7 @@ MANDATORY = {
     "cc-by": ("creative commons attribution 4 0",),
     "cc-by-nc": ("cc by nc",),
 }
-SEEDS = 8  # rarest licence words of a text that are looked up
-RARE = 2.0  # IDF of a word that may be a seed, at least
+SEEDS = 8  # rarest words of each template, of those a text holds, that are looked up
 NEAR = 4  # words by which an aligned template may shift
 AGREE = 0.6  # share of a template's seeds in the text that must agree on its place
 
@@ -102,35 +101,39 @@ def rarities(worded: DataFrame) -> list[tuple[str, float]]:
     return sorted(idf.items(), key=lambda x: (-x[1], x[0]))
 
 
-def scanned(docs: DataFrame, seeds: int = SEEDS, rare: float = RARE) -> DataFrame:
+def scanned(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, by row.
 
     Base labels are those of the phrases in PHRASES, wherever their words stand
-    consecutively. The method adds a label where the text's rarest licence words stand as in
-    one of its templates and one of its mandatory phrases is there: the words are looked up in
-    the index of template postings, each posting says where the template would begin, and the
-    part of the seeds that agree on a place (within NEAR words) is the score; base labels score
-    1. Null and empty texts have no words, no label and score 0. Other columns are ignored."""
+    consecutively. The method adds a label where the rarest words that the text shares with one
+    of its templates stand as they do there and one of its mandatory phrases is there: the words
+    are looked up in the index of template postings, each posting says where the template would
+    begin, and the part of the seeds that agree on a place (within NEAR words) is the score; base
+    labels score 1. Each template has seeds of its own, however common its words are: a text
+    that holds all of a template scores 1. Null and empty texts have no words, no label and
+    score 0. Other columns are ignored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("words"))
-    ranked = [w for w, idf in rarities(worded) if idf >= rare]
-    listed = F.array(*(F.lit(w) for w in ranked)).cast("array<string>")
-    worded = held(worded, chosen=F.slice(F.array_intersect(listed, F.col("words")), 1, seeds))
-    # Where the chosen words stand; most texts hold none.
+    ranked = [w for w, _ in rarities(worded)]
+    # Only a text that may hold a mandatory phrase can get a label by its words.
+    loose = "|".join(SPLITTER.join(phrase.split()) for phrases in MANDATORY.values() for phrase in phrases)
+    worded = held(worded, hinted=F.col("text").rlike(f"(?i){loose}"))
+    # Where the licence words stand.
+    vocabulary = F.array(*(F.lit(w) for w in VOCABULARY))
     standing = F.filter(
         F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-        lambda x: F.array_contains("chosen", x["word"]),
+        lambda x: F.array_contains(vocabulary, x["word"]),
     )
-    worded = held(worded, standing=F.when(F.size("chosen") > 0, standing))
+    worded = held(worded, standing=F.when(F.col("hinted"), standing))
     counted = held(
-        worded, n_words=F.size("words").cast("long"), found=_aligned(F.col("text"), F.col("words")),
+        worded, n_words=F.size("words").cast("long"), found=_aligned(F.col("text"), F.col("words"), ranked, seeds),
         **{f"p{k}": _all_places(F.col("text"), F.col("words"), [p]) for k, p in enumerate(PHRASES)},
     )
     places = [f"p{k}" for k in range(len(PHRASES))]
     labels = [F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, PHRASES.values())]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
     starts = F.concat(*places)
-    counted = held(counted.drop("text", "words", "chosen", "standing"), base=base, starts=starts)
+    counted = held(counted.drop("text", "words", "hinted", "standing"), base=base, starts=starts)
     every = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"]))))
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
     return counted.select(
@@ -141,8 +144,8 @@ def scanned(docs: DataFrame, seeds: int = SEEDS, rare: float = RARE) -> DataFram
     )
 
 
-def _aligned(text: Column, at: Column) -> Column:
-    """(label, score) of each template that the chosen words of a text agree on.
+def _aligned(text: Column, at: Column, ranked: list[str], seeds: int) -> Column:
+    """(label, score) of each template that the rarest words of a text agree on.
 
     The templates are a fixed list, so their postings travel as literals and each text is
     judged in its row: nothing is shuffled, whatever words are common."""
@@ -152,23 +155,26 @@ def _aligned(text: Column, at: Column) -> Column:
         for phrase in MANDATORY[label]:
             loose = "(?i)" + SPLITTER.join(phrase.split())
             needed = needed | F.when(text.rlike(loose), F.size(_places(at, phrase)) > 0).otherwise(False)
-        scores = [_agreement(template.split()) for template in texts]
+        scores = [_agreement(template.split(), at, ranked, seeds) for template in texts]
         score = F.greatest(*scores) if len(scores) > 1 else scores[0]
         found.append(F.when(needed, F.struct(F.lit(label).alias("label"), score.alias("score"))))
-    return F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= AGREE)
+    agreed = F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= AGREE)
+    return F.when(F.col("hinted"), agreed).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
 
 
-def _agreement(template: list[str]) -> Column:
-    """The largest part of the chosen words that the template holds which put its beginning
-    at one place."""
+def _agreement(template: list[str], at: Column, ranked: list[str], seeds: int) -> Column:
+    """The largest part of the seeds, the rarest words of the template that the text holds,
+    which put its beginning at one place."""
     postings: dict[str, list[int]] = {}
     for place, word in enumerate(template):
         postings.setdefault(word, []).append(place)
     known = F.array(*(F.lit(w) for w in postings))
     where = F.array(*(F.array(*(F.lit(p) for p in places)) for places in postings.values()))
+    rarest = F.array(*(F.lit(w) for w in ranked if w in postings))
+    chosen = F.slice(F.array_intersect(rarest, at), 1, seeds)
     # The beginnings that each standing word votes for.
     begins = F.flatten(F.transform(
-        F.filter("standing", lambda x: F.array_contains(known, x["word"])),
+        F.filter("standing", lambda x: F.array_contains(chosen, x["word"])),
         lambda x: F.transform(
             F.get(where, F.array_position(known, x["word"]).cast("int") - 1),
             lambda p: F.struct((x["place"] - p).alias("begin"), x["word"].alias("word")))))
@@ -179,8 +185,7 @@ def _agreement(template: list[str]) -> Column:
         lambda at, b: _step(at, b),
         lambda at: at["most"],
     )
-    seeds = F.size(F.array_intersect("chosen", known))
-    return F.when(seeds > 0, F.coalesce(best, F.lit(0)) / seeds).otherwise(F.lit(0.0))
+    return F.when(F.size(chosen) > 0, F.coalesce(best, F.lit(0)) / F.size(chosen)).otherwise(F.lit(0.0))
 
 
 def _step(at: Column, vote: Column) -> Column:
