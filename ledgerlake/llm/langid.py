@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import small_batches
 
-TRAIN_DOCS = 2_000  # labelled documents sampled per language, on average
+TRAIN_DOCS = 2_000  # distinct labelled texts sampled per language, on average
 MAX_LANGUAGES = 1_000
 MAX_WORDS = 100_000  # entries of the word table
 MAX_GRAMS = 200_000  # entries of the n-gram table
@@ -64,20 +64,21 @@ def _table(counts: DataFrame, most: int, languages: int) -> list:
 def trained(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
     """A model from `text` and `lang` of labelled documents; rows without either are left out.
 
-    It learns from a sample: of each language, the documents whose hashed text falls below
-    a share that makes `docs_per_language` of them on average. Counting is a job over the
-    sample; the driver gets the tables of the model, whose sizes are bounded above."""
+    It learns from a sample: of each language, the distinct texts whose hash falls below a
+    share that makes `docs_per_language` of them on average, and all where there are fewer.
+    Counting is a job over the sample; the driver gets the tables of the model."""
     labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).dropna()
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    # Copies count once: their number neither thins out the other texts nor fills the sample.
+    distinct = labelled.select("lang", F.xxhash64("text").alias("key")).distinct()
+    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, docs_per_language / counts[k])))
-    # Copies share a text; the row's number keeps them apart only as far as they differ.
     drawn = F.pmod(F.xxhash64("text"), F.lit(2**31)) / float(2**31)
-    sample = labelled.filter(drawn < share[F.col("lang")])
+    sample = labelled.filter(drawn < share[F.col("lang")]).distinct()
     words = (
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("entry"))
         .groupBy("lang", "entry").agg(F.count("*").alias("n"))

@@ -1,6 +1,6 @@
 """What the second review found cut short: each test failed on the code before it."""
 
-from ledgerlake.llm import licenses
+from ledgerlake.llm import langid, licenses
 
 
 def test_common_notices_and_second_licences_keep_their_labels(spark):
@@ -13,3 +13,15 @@ def test_common_notices_and_second_licences_keep_their_labels(spark):
     assert [r.labels for r in rows[50:]] == ["cc-by,mit", "bsd,cc-by,mit"]
     few = licenses.scanned(docs.filter("doc_id in (0, 50)")).orderBy("doc_id").collect()
     assert [r.labels for r in few] == ["bsd", "cc-by,mit"]
+
+
+def test_copies_do_not_thin_out_what_is_learned_of_a_language(spark):
+    copies = [("ein text", "de")] * 5000 + [(f"wort{chr(97 + k)} haus", "de") for k in range(20)]
+    few = [(t, "fr") for t in ("le chat noir", "la maison", "une ville") for _ in range(400)]
+    docs = spark.createDataFrame(copies + few, "text string, lang string")
+    model = langid.trained(docs, 30)
+    ask = spark.createDataFrame([(f"wort{chr(97 + k)}",) for k in range(20)] + [("chat",), ("ville",)], "text string")
+    named = {r.text: r.lang_pred for r in langid.identified(ask, model).collect()}
+    assert named == {t: "fr" if t in ("chat", "ville") else "de" for t in named}
+    # Copies count once: every distinct text is learned from.
+    assert "haus" in model.words and "ein" not in model.words
