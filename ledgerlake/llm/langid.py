@@ -8,29 +8,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerlake.llm.common import small_batches
+from ledgerlake.llm.common import durable, small_batches
 
 TRAIN_DOCS = 2_000  # distinct labelled texts sampled per language, on average
-MAX_LANGUAGES = 1_000
-MAX_WORDS = 100_000  # entries of the word table
-MAX_GRAMS = 200_000  # entries of the n-gram table
+MAX_WORDS = 25_000  # entries of the word table for each language
+MAX_GRAMS = 50_000  # entries of the n-gram table for each language
 LONGEST = 4  # characters in the longest n-gram
 EVIDENCE = 20  # words that count as independent evidence, for the score
-CACHED = 100_000  # unseen words whose backed-off score is remembered
+CACHED = 50_000  # unseen words whose backed-off score is remembered
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Table:
+    """For each entry the languages it was seen in and what each of them gains by it: the log of
+    its frequency over that of an entry never seen, which is the same in every language."""
+
+    entries: dict[str, int]  # row; that of k is at bounds[k] : bounds[k + 1]
+    bounds: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]  # row in word_scores
-    word_scores: np.ndarray  # log frequency by language
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    words: Table
+    grams: Table
 
 
 def held_out(doc_id: Column) -> Column:
@@ -38,27 +48,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _scores(rows: list, languages: list[str], least: float) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies of the entries of a table (entry, language, count)."""
-    entries: dict[str, int] = {}
-    for entry, _, _ in rows:
-        entries.setdefault(entry, len(entries))
-    at = {language: k for k, language in enumerate(languages)}
-    counts = np.zeros((len(entries), len(languages)))
-    for entry, language, n in rows:
-        counts[entries[entry], at[language]] += n
-    total = counts.sum(axis=0) + least * (len(entries) + 1)
-    return entries, np.log((counts + least) / total)
-
-
-def _table(counts: DataFrame, most: int, languages: int) -> list:
-    """The commonest entries, at most `most`, with their count by language."""
-    by_entry = counts.groupBy("entry").agg(
-        F.sum("n").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_language"),
+def _commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows (lang, entry, n) of all entries that are among the `most` commonest of one
+    language at least; among equally common ones a hash decides. How many entries have each
+    count tells where a language's table ends, so none is sorted in one place."""
+    above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    room = (
+        counts.groupBy("lang", "n").agg(F.count("*").alias("size"))
+        .withColumn("before", F.coalesce(F.sum("size").over(above), F.lit(0)))
+        .select("lang", "n", ((F.lit(most) - F.col("before")) / F.col("size")).alias("share")).filter("share > 0")
     )
-    top = by_entry.orderBy(F.desc("total"), "entry").limit(min(most, most * 10 // max(languages, 10)))
-    return [(r.entry, lang, n) for r in top.collect() for lang, n in r.by_language.items()]
+    drawn = F.pmod(F.xxhash64("entry"), F.lit(2**31)) / float(2**31)
+    kept = counts.join(durable(room), ["lang", "n"]).filter(drawn < F.col("share")).select("entry").distinct()
+    return counts.join(durable(kept), "entry").select("lang", "entry", "n")
+
+
+def _table(counts: pa.Table, languages: list[str], least: float) -> Table:
+    """A row of gains for each entry. An entry never seen in a language has the frequency of
+    `least` occurrences in the largest one, so a language known from little is no likelier."""
+    entry = pc.dictionary_encode(counts["entry"].combine_chunks())
+    at = {language: k for k, language in enumerate(languages)}
+    langs = np.array([at[x] for x in counts["lang"].to_pylist()], dtype=np.int32)
+    n, rows = counts["n"].to_numpy().astype(float), entry.indices.to_numpy()
+    total = np.bincount(langs, n, minlength=len(languages))
+    unseen = least / max(total.max(initial=0), 1)
+    order = np.argsort(rows, kind="stable")
+    bounds = np.searchsorted(rows[order], np.arange(len(entry.dictionary) + 1))
+    gains = np.log1p(n / total[langs] / unseen) if len(n) else n
+    return Table({w: k for k, w in enumerate(entry.dictionary.to_pylist())}, bounds, langs[order], gains[order])
 
 
 def trained(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
@@ -70,19 +87,14 @@ def trained(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
     labelled = labelled.select("text", F.col("lang").cast("string").alias("lang")).dropna()
     # Copies count once: their number neither thins out the other texts nor fills the sample.
     distinct = labelled.select("lang", F.xxhash64("text").alias("key")).distinct()
-    counts = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(counts)
-    if not languages:
-        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, docs_per_language / counts[k])))
+    share = durable(distinct.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("share")))
     drawn = F.pmod(F.xxhash64("text"), F.lit(2**31)) / float(2**31)
-    sample = labelled.filter(drawn < share[F.col("lang")]).distinct()
+    sample = labelled.join(share, "lang").filter(drawn < F.col("share")).select("text", "lang").distinct()
     words = (
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("entry"))
         .groupBy("lang", "entry").agg(F.count("*").alias("n"))
     )
+    words = durable(words)
     marked = F.concat(F.lit(" "), F.col("entry"), F.lit(" "))
     grams = None
     for size in range(1, LONGEST + 1):
@@ -92,62 +104,85 @@ def trained(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
                 lambda i, size=size: F.substring(marked, i, F.lit(size)))).alias("entry"),
         ).filter(F.length("entry") == size)
         grams = pieces if grams is None else grams.union(pieces)
-    grams = grams.groupBy("lang", "entry").agg(F.sum("n").alias("n"))
-    known = _table(words.filter("n > 1"), MAX_WORDS, len(languages))
-    shorter = _table(grams, MAX_GRAMS, len(languages))
-    return Model(languages, *_scores(known, languages, 0.5), *_scores(shorter, languages, 0.5))
+    # A blank alone stands in every language.
+    grams = durable(grams.filter("entry != ' '").groupBy("lang", "entry").agg(F.sum("n").alias("n")))
+    known = _commonest(words.filter("n > 1"), MAX_WORDS).toArrow()
+    shorter = _commonest(grams, MAX_GRAMS).toArrow()
+    # A label none of whose texts has a word is no language.
+    languages = sorted(set(pc.unique(shorter["lang"]).to_pylist()))
+    return Model(languages, _table(known, languages, 0.5), _table(shorter, languages, 0.5))
+
+
+def _ranges(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the parts of some rows stand, one row after the other."""
+    starts, sizes = bounds[rows], bounds[rows + 1] - bounds[rows]
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Rows(dict):
-    """Word -> its row of scores: that of the table, else one made by backing off."""
+    """Word -> its row of gains: that of the table, else one made by backing off."""
 
     def __init__(self, model: Model):
-        super().__init__(model.words)
+        super().__init__(model.words.entries)
         self.model = model
-        self.fixed = len(model.words)
-        self.scores = np.concatenate([model.word_scores, np.zeros((CACHED, len(model.languages)))])
+        self.fixed = len(model.words.entries)
+        room = CACHED * min(4, max(1, len(model.languages)))
+        self.bounds = np.concatenate([model.words.bounds, np.zeros(CACHED, dtype=np.int64)])
+        self.langs = np.concatenate([model.words.langs, np.zeros(room, dtype=np.int32)])
+        self.gains = np.concatenate([model.words.gains, np.zeros(room)])
 
     def __missing__(self, word: str) -> int:
         self[word] = row = len(self)
-        if row >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores[: row // 2 + 1])])
-        self.scores[row] = self.backed_off(word)
+        langs, gains = self.backed_off(word)
+        start = int(self.bounds[row])
+        end = start + len(langs)
+        if row + 1 >= len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds[: row // 2 + 1])])
+        while end > len(self.langs):
+            self.langs = np.concatenate([self.langs, np.zeros(len(self.langs) // 2 + 1, dtype=np.int32)])
+            self.gains = np.concatenate([self.gains, np.zeros(len(self.gains) // 2 + 1)])
+        self.langs[start:end], self.gains[start:end], self.bounds[row + 1] = langs, gains, end
         return row
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """At each character the longest known n-gram that starts there; their mean."""
+    def backed_off(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """At each character the longest known n-gram that starts there; the mean of their gains."""
         grams, marked = self.model.grams, f" {word} "
         found = []
         for start in range(len(marked) - 1):
             for size in range(LONGEST, 0, -1):
-                row = grams.get(marked[start : start + size])
+                row = grams.entries.get(marked[start : start + size])
                 if row is not None:
                     found.append(row)
                     break
-        if not found:
-            return np.zeros(len(self.model.languages))
-        return self.model.gram_scores[found].mean(axis=0)
+        at = _ranges(grams.bounds, np.array(found, dtype=np.int64))
+        gains = np.bincount(grams.langs[at], grams.gains[at], minlength=len(self.model.languages))
+        langs = np.flatnonzero(gains)
+        return langs, gains[langs] / max(len(found), 1)
 
     def trim(self) -> None:
         """Forget the unseen words, between documents, once there are many."""
-        if len(self) > self.fixed + CACHED // 2:
-            scores = self.scores
+        if len(self) > self.fixed + CACHED:
             super().clear()
-            super().update(self.model.words)
-            self.scores = scores
+            super().update(self.model.words.entries)
 
     def of(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        return self.scores[at].sum(axis=0)
+        """The gains of each language, summed over the words."""
+        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        at = _ranges(self.bounds, rows)
+        return np.bincount(self.langs[at], self.gains[at], minlength=len(self.model.languages))
 
 
 def predict(text: str | None, rows: Rows) -> tuple[str, float]:
-    """The likeliest language and its share of the likelihood; `und` without letters."""
+    """The likeliest language and its share of the likelihood; `und` without letters, and
+    where no language knows a piece of any word."""
     words = WORD.findall(text.lower()) if text else []
     if not words or not rows.model.languages:
         return UNKNOWN, 0.0
     rows.trim()
     scores = rows.of(words)
+    if not scores.any():
+        return UNKNOWN, 0.0
     scores *= min(len(words), EVIDENCE) / len(words)
     shares = np.exp(scores - scores.max())
     best = int(scores.argmax())
@@ -156,8 +191,8 @@ def predict(text: str | None, rows: Rows) -> tuple[str, float]:
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns, with `lang_pred` and `score` (0 to 1); columns of these names
-    are replaced. A text that is null, empty or has no letter is `und` with score 0, as is
-    every text when there was nothing to learn from. Whole texts count; only `text` is read."""
+    are replaced. A text that is null, empty, has no letter or none of the model's characters
+    is `und` with score 0, as is every text when there was nothing to learn from. Whole texts count; only `text` is read."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)

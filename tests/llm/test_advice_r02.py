@@ -24,4 +24,17 @@ def test_copies_do_not_thin_out_what_is_learned_of_a_language(spark):
     named = {r.text: r.lang_pred for r in langid.identified(ask, model).collect()}
     assert named == {t: "fr" if t in ("chat", "ville") else "de" for t in named}
     # Copies count once: every distinct text is learned from.
-    assert "haus" in model.words and "ein" not in model.words
+    assert "haus" in model.words.entries and "ein" not in model.words.entries
+
+
+def test_many_labels_neither_shrink_the_model_nor_stop_it(spark):
+    def word(k, j):  # no two labels share one
+        return chr(0x4E00 + k) + chr(0x4E00 + 1500 + j)
+
+    rows = [(" ".join(word(k, j) for j in range(5)) + tail, f"l{k:04}") for k in range(1200) for tail in ("", " x")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    ask = spark.createDataFrame([(word(k, 4), f"l{k:04}") for k in range(0, 1200, 37)] + [("ωψ", "und")], "text string, lang string")
+    for seen in (docs, docs.filter("lang < 'l0900'")):
+        named = langid.identified(ask.join(seen.select("lang").distinct().union(
+            spark.createDataFrame([("und",)], "lang string")), "lang"), langid.trained(seen)).collect()
+        assert len(named) > 20 and all(r.lang_pred == r.lang for r in named)
