@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import langid, secret_scan, segmentation, superminhash, templates
-from ledgerlake.llm.common import durable, shared_folder, table
+from ledgerlake.llm.common import durable, shared_folder, table, text_key
 
 LEAST_SCORE = 0.5  # of a language prediction that is believed
 
@@ -24,10 +24,20 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the least doc_id stays."""
-    judged = superminhash.near_copies(docs, width=5, percent=80)
-    gone = durable(judged.filter("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Of each group of near copies (five words, 0.8) one row stays: that with the least
+    doc_id, rows without any last; then by digests of text and of all columns. Of equal rows one
+    stays. Blank texts are no copies and all stay."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    rows = docs.filter(worded).withColumn("_node", text_key())
+    rows = rows.withColumn("_row", F.unhex(F.md5(F.concat(F.col("_node"), others.cast("binary")))))
+    # The best row of each text, then of each group: copies never meet in one task.
+    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "_node", "_row")
+    best = durable(rows.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("best")))
+    group = superminhash.families(docs, width=5, percent=80)
+    stays = durable(best.join(group, "node").groupBy("root").agg(F.min("best").alias("best")).select("best._row"))
+    one = rows.dropDuplicates(["_row"]).join(stays, "_row", "left_semi").drop("_node", "_row")
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(~worded))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -317,6 +317,22 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFr
     return near.union(durable(found.select("node", "centre")))
 
 
+def _rooted(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, least_id, root): each text that has a set, its least doc_id and its component."""
+    nodes = durable(
+        sets.filter("bands is not null").groupBy("node")
+        .agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
+    )
+    root = durable(components(links(docs, nodes, width, percent)))
+    rooted = nodes.select("node", "least_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return durable(rooted)
+
+
+def families(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(node, root): the component of each text that is not blank, by text_key; as near_copies."""
+    return _rooted(docs, durable(signed(docs, width, percent)), width, percent).select("node", "root")
+
+
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -327,13 +343,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     has the same result each time. A null doc_id is never the least; documents without any
     doc_id have component_id null and are kept. Other columns are ignored."""
     sets = durable(signed(docs, width, percent))
-    nodes = durable(
-        sets.filter("bands is not null").groupBy("node")
-        .agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
-    )
-    root = durable(components(links(docs, nodes, width, percent)))
-    rooted = nodes.select("node", "least_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = durable(rooted)
+    rooted = _rooted(docs, sets, width, percent)
     least = durable(rooted.groupBy("root").agg(F.min("least_id").alias("component")))
     component = durable(rooted.join(least, "root").select("node", "component"))
     out = sets.select("doc_id", "node", "n_shingles").join(component, "node", "left")

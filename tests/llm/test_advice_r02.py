@@ -1,5 +1,6 @@
 """What the second review found cut short: each test failed on the code before it."""
 
+import corpus_pipeline
 from ledgerlake.llm import langid, licenses
 
 
@@ -38,3 +39,13 @@ def test_many_labels_neither_shrink_the_model_nor_stop_it(spark):
         named = langid.identified(ask.join(seen.select("lang").distinct().union(
             spark.createDataFrame([("und",)], "lang string")), "lang"), langid.trained(seen)).collect()
         assert len(named) > 20 and all(r.lang_pred == r.lang for r in named)
+
+
+def test_one_row_of_each_group_stays_and_clean_ones_do(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(3, text, "a"), (3, text, "a"), (3, text, "b"), (None, text, "a"), (7, text + " more", "a"),
+            (7, "another clean text of its own", "a"), (None, "a text without number that is repeated", "a"),
+            (None, "a text without number that is repeated", "a"), (9, " ", "a"), (9, " ", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.one_of_near_copies(spark, docs, "").collect()
+    assert sorted(repr(r[:2]) for r in got) == sorted(repr(rows[k][:2]) for k in (0, 5, 6, 8, 9, 10))
