@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"  # the role whose words a completion teaches
@@ -22,36 +23,28 @@ def formatted(turns: DataFrame) -> DataFrame:
     lists the parts [start, end) of it, in code points, that are taught: the text and end mark
     of each assistant turn. All else, the prompt included, is masked.
 
-    Turns stand in order of `turn`, those without number first; of turns with the same number
-    on one side the least by role and text counts, so repeated rows count once. A null role
-    or text is empty. Rows without pair_id or with another side are left out. A pair with one
+    Turns stand in order of `turn`, those without number first, then of role and text; rows
+    that are equal in all of these count once, and all others count. A null role or text is
+    empty. Rows without pair_id or with another side are left out. A pair with one
     side has an empty prompt and an empty other completion; sides that are equal have empty
     completions. Other columns are ignored.
 
-    The sides are compared turn by turn, by joins and least positions; only the finished text
-    of a row is put together in one place."""
+    The sides are compared by the position of each turn among those of its side."""
     rows = turns.filter("pair_id is not null and side in ('chosen', 'rejected')").select(
         "pair_id", "side", F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"),
         F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("said"),
     )
-    # Both sides of a turn side by side: one row per pair and turn number.
-    least = lambda side: F.min(F.when(F.col("side") == side, F.col("said"))).alias(side)
-    both = rows.groupBy("pair_id", "turn").agg(least("chosen"), least("rejected"))
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    entry = F.struct("turn", differs.alias("differs"), "chosen", "rejected")
-    paired = both.groupBy("pair_id").agg(
-        F.min(F.when(differs, F.col("turn"))).alias("first"), F.array_sort(F.collect_list(entry)).alias("turns"),
-    )
-    shared = F.filter("turns", lambda t: F.col("first").isNull() | (t["turn"] < F.col("first")))
-    rest = lambda side: F.filter(
-        F.transform(F.filter("turns", lambda t: t["turn"] >= F.col("first")), lambda t: t[side]), lambda s: s.isNotNull())
-    paired = paired.select(
-        "pair_id", shared.alias("shared"),
-        *(F.when(F.col("first").isNull(), F.array().cast("array<struct<role:string,text:string>>"))
-          .otherwise(rest(side)).alias(side) for side in ("chosen", "rejected")),
-    )
-    prompt = F.array_join(F.transform("shared", lambda t: _rendered(t["chosen"]["role"], t["chosen"]["text"])), "")
+    said = lambda side: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "said")))), lambda t: t["said"]).alias(side)
+    paired = rows.distinct().groupBy("pair_id").agg(said("chosen"), said("rejected"))
+    least = F.least(F.size("chosen"), F.size("rejected"))
+    places = F.when(least > 0, F.sequence(F.lit(0), least - 1)).otherwise(F.array().cast("array<int>"))
+    differs = F.filter(places, lambda i: F.get("chosen", i) != F.get("rejected", i))
+    paired = paired.withColumn("first", F.coalesce(F.get(differs, F.lit(0)), least))
+    rest = lambda side: F.slice(side, F.col("first") + 1, F.size(side)).alias(side)
+    paired = paired.select("pair_id", F.slice("chosen", F.lit(1), F.col("first")).alias("shared"), rest("chosen"), rest("rejected"))
+    prompt = F.array_join(F.transform("shared", lambda t: _rendered(t["role"], t["text"])), "")
     completion = lambda side: F.array_join(
         F.transform(side, lambda s: _rendered(s["role"], s["text"])), "").alias(side)
     return paired.select(
@@ -78,20 +71,24 @@ def pairs_of(conversations: DataFrame) -> DataFrame:
     """Preference pairs from a table of conversations, as `turns` for formatted(): a
     conversation as it is was chosen; in the rejected one the last assistant turn says
     what the assistant says in the turn of the same number of the conversation before it by
-    conv_id, or nothing if there is none. Conversations without assistant have equal sides."""
-    known = conversations.filter("conv_id is not null").select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    )
-    last = known.filter(F.col("role") == TRAINED).groupBy("conv_id").agg(F.max("turn").alias("turn"))
-    other = (
-        known.filter(F.col("role") == TRAINED)
-        .groupBy((F.col("conv_id") + 1).alias("conv_id"), "turn").agg(F.min("text").alias("other"))
-    )
-    changed = last.join(other, ["conv_id", "turn"], "left").withColumn("last", F.lit(True))
-    rejected = known.join(changed, ["conv_id", "turn"], "left").select(
+    conv_id, or nothing if there is none. Of different assistant turns with one number the
+    first by text answers to the first, the second to the second. Repeated rows count once.
+    Conversations without assistant have equal sides."""
+    said = conversations.filter("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).distinct()
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn", "role").orderBy("text"))
+    known = said.withColumn("place", place)
+    taught = known.filter(F.col("role") == TRAINED)
+    last = taught.groupBy("conv_id").agg(F.max(F.struct("turn", "place")).alias("at")).select("conv_id", "at.turn", "at.place")
+    other = taught.select((F.col("conv_id") + 1).alias("conv_id"), "turn", "place", F.col("text").alias("other"))
+    changed = last.join(other, ["conv_id", "turn", "place"], "left").select(
+        "*", F.lit(TRAINED).alias("role"), F.lit(True).alias("last"))
+    rejected = known.join(changed, ["conv_id", "turn", "role", "place"], "left").select(
         "conv_id", F.lit("rejected").alias("side"), "turn", "role",
-        F.when(F.col("last") & (F.col("role") == TRAINED), F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("last"), F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"),
     )
     chosen = known.select("conv_id", F.lit("chosen").alias("side"), "turn", "role", "text")
     return chosen.union(rejected).withColumnRenamed("conv_id", "pair_id")

@@ -1,7 +1,7 @@
 """What the second review found cut short: each test failed on the code before it."""
 
 import corpus_pipeline
-from ledgerlake.llm import langid, licenses
+from ledgerlake.llm import langid, licenses, preferences
 
 
 def test_common_notices_and_second_licences_keep_their_labels(spark):
@@ -49,3 +49,22 @@ def test_one_row_of_each_group_stays_and_clean_ones_do(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = corpus_pipeline.one_of_near_copies(spark, docs, "").collect()
     assert sorted(repr(r[:2]) for r in got) == sorted(repr(rows[k][:2]) for k in (0, 5, 6, 8, 9, 10))
+
+
+def test_different_turns_of_one_number_all_count(spark):
+    said = [(1, "c", 1, "user", "q"), (1, "r", 1, "user", "q"), (1, "c", 2, "tool", "call"), (1, "r", 2, "tool", "call"),
+            (1, "c", 2, "assistant", "yes"), (1, "c", 2, "assistant", "yes"), (1, "r", 2, "assistant", "no"),
+            *((2, side, None, "user", text) for side in "cr" for text in ("a", "b")), (2, "c", None, "user", "c")]
+    frame = spark.createDataFrame([(p, {"c": "chosen", "r": "rejected"}[s], *x) for p, s, *x in said],
+                                  "pair_id long, side string, turn long, role string, text string")
+    one, two = preferences.formatted(frame).orderBy("pair_id").collect()
+    # By turn, role and text: the assistant comes before the tool.
+    assert one.prompt_turns == 1 and one.chosen == "<|assistant|>\nyes<|end|>\n<|tool|>\ncall<|end|>\n"
+    assert one.rejected == "<|assistant|>\nno<|end|>\n<|tool|>\ncall<|end|>\n"
+    assert (two.prompt_turns, two.chosen, two.rejected) == (2, "<|user|>\nc<|end|>\n", "")
+    talks = [(1, 1, "assistant", "p"), (1, 1, "assistant", "s"), (2, 1, "assistant", "x"), (2, 1, "assistant", "y")]
+    talks = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    pair = preferences.formatted(preferences.pairs_of(talks)).filter("pair_id = 2").first()
+    # The second of two turns is the last; the conversation before has a second one too.
+    assert "y<|end|>" in pair.prompt + pair.chosen and "x<|end|>" in pair.prompt + pair.chosen
+    assert "y<|end|>" not in pair.prompt + pair.rejected and "\ns<|end|>" in pair.rejected
