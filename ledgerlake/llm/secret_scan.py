@@ -18,7 +18,8 @@ KINDS = ("assign", "access", "hex")
 
 RUN = r"[A-Za-z0-9+/_=-]{16,}"  # what the models judge
 SAMPLE = 20_000  # labelled strings of each class that the models learn from, on average
-THRESHOLD = 12.0  # natural log of the likelihood ratio of a whole string
+THRESHOLD = 12.0  # natural log of the likelihood ratio of a string
+DROP = 6.0  # fall of the log ratio that ends a stretch inside a run
 PER_CHARACTER = 0.5  # and of its characters on average
 SMOOTHING = 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -75,9 +76,40 @@ def log_ratio(value: Column, models: Models) -> Column:
     )
 
 
-def _matches(text: Column, pattern: str, keep, kind: str) -> Column:
-    """Spans (start, end, kind) of the matches that `keep` accepts, in order. Between the
-    matches stand the pieces that split() leaves, so lengths give the places."""
+def _random(ratio: Column, length: Column) -> Column:
+    return ratio >= F.greatest(F.lit(THRESHOLD), length * PER_CHARACTER)
+
+
+def random_parts(run: Column, models: Models) -> Column:
+    """Parts (start, end) of a run that the models call random: the whole, or else each stretch
+    whose characters are, up to where the log ratio falls by DROP or to nothing. So a random
+    string is found among ordinary words that a joiner ties to it."""
+    ratios = F.split(F.lit(" ".join(map(repr, models.ratios))), " ").cast("array<double>")
+    before = F.split(F.concat(F.lit(" "), F.substring(run, F.lit(1), F.length(run) - 1)), "")
+    gains = F.zip_with(before, F.split(run, ""), lambda a, b: F.get(ratios, _code(a) * models.size + _code(b)))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    part = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+    closed = lambda at: F.when(
+        _random(at["best"], at["end"] - at["start"]), F.concat(at["found"], part(at["start"], at["end"]))).otherwise(at["found"])
+
+    def state(place, total, start, best, end, found) -> Column:
+        names = ("place", "sum", "start", "best", "end", "found")
+        return F.struct(*(c.alias(n) for n, c in zip(names, (place, total, start, best, end, found))))
+
+    def step(at: Column, gain: Column) -> Column:
+        total, place = at["sum"] + gain, at["place"] + 1
+        over = (total <= 0) | (at["best"] - total >= DROP)
+        higher = total > at["best"]
+        return F.when(over, state(place, F.lit(0.0), place, F.lit(0.0), place, closed(at))).otherwise(state(
+            place, total, at["start"], F.greatest(at["best"], total), F.when(higher, place).otherwise(at["end"]), at["found"]))
+
+    zero, nought = F.lit(0), F.lit(0.0)
+    stretches = F.aggregate(gains, state(zero, nought, zero, nought, zero, none), step, closed)
+    return F.when(_random(log_ratio(run, models), F.length(run)), part(zero, F.length(run))).otherwise(stretches)
+
+
+def _matches(text: Column, pattern: str, parts, kind: str) -> Column:
+    """Spans (start, end, kind) of the `parts` of each match, in order. Between the matches stand the pieces that split() leaves, so lengths give the places."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
     rank = F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS))
@@ -85,11 +117,9 @@ def _matches(text: Column, pattern: str, keep, kind: str) -> Column:
     def step(at: Column, pair: Column) -> Column:
         start = at["place"] + F.length(pair["piece"])
         end = start + F.length(pair["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), rank.alias("rank"), F.lit(kind).alias("kind"))
-        return F.struct(
-            end.alias("place"),
-            F.when(keep(pair["found"]), F.concat(at["spans"], F.array(span))).otherwise(at["spans"]).alias("spans"),
-        )
+        spans = F.transform(parts(pair["found"]), lambda x: F.struct(
+            (start + x["start"]).alias("start"), (start + x["end"]).alias("end"), rank.alias("rank"), F.lit(kind).alias("kind")))
+        return F.struct(end.alias("place"), F.concat(at["spans"], spans).alias("spans"))
 
     walked = F.aggregate(
         F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("found")),
@@ -101,8 +131,8 @@ def _matches(text: Column, pattern: str, keep, kind: str) -> Column:
 
 
 def _base(text: Column) -> dict[str, Column]:
-    long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8
-    always = lambda m: F.lit(True)
+    always = lambda m: F.array(F.struct(F.lit(0).alias("start"), F.length(m).alias("end")))
+    long_enough = lambda m: F.filter(always(m), lambda x: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8)
     return {
         "assign": _matches(text, ASSIGN, long_enough, "assign"),
         "access": _matches(text, ACCESS, always, "access"),
@@ -138,15 +168,24 @@ def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
 def with_spans(docs: DataFrame, models: Models) -> DataFrame:
     """All rows and columns, with `_spans`: array of (start, end, rank, kind), by start and
     then by kind; code points, end exclusive. Kinds are those of the base patterns and
-    `markov` for runs that the models call random and no base span touches. Null and empty
-    texts have none. Columns `_spans`, `_base` and `_runs` are the operator's own."""
+    `markov` for parts of runs, outside the base spans, that the models call random. Null and
+    empty texts have none. Columns `_spans`, `_base` and `_free` are the operator's own."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*_base(text).values()))
-    judged = lambda m: log_ratio(m, models) >= F.greatest(F.lit(THRESHOLD), F.length(m) * PER_CHARACTER)
-    staged = held(docs, _base=base, _runs=_matches(text, RUN, judged, "markov"))
-    free = F.filter("_runs", lambda m: ~F.exists(
-        "_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return held(staged, _spans=F.array_sort(F.concat("_base", free))).drop("_base", "_runs")
+    staged = held(docs, _base=base)
+    # What base spans cover is blanked, so that the rest of a run is judged by itself.
+    blanked = F.aggregate(
+        "_base",
+        F.struct(F.lit(0).alias("place"), F.lit("").alias("out")),
+        lambda at, b: F.when(b["end"] <= at["place"], at).otherwise(F.struct(
+            b["end"].alias("place"),
+            F.concat(at["out"], F.substring(text, at["place"] + 1, b["start"] - at["place"]),
+                     F.repeat(F.lit(" "), b["end"] - F.greatest(b["start"], at["place"]))).alias("out"))),
+        lambda at: F.concat(at["out"], F.substring(text, at["place"] + 1, F.length(text))),
+    )
+    staged = held(staged, _free=F.when(F.size("_base") > 0, blanked).otherwise(text))
+    runs = _matches(F.col("_free"), RUN, lambda m: random_parts(m, models), "markov")
+    return held(staged, _spans=F.array_sort(F.concat("_base", runs))).drop("_base", "_free")
 
 
 def written(spans: Column) -> Column:

@@ -1,7 +1,9 @@
 """What the second review found cut short: each test failed on the code before it."""
 
+import random
+
 import corpus_pipeline
-from ledgerlake.llm import langid, licenses, preferences
+from ledgerlake.llm import langid, licenses, preferences, secret_scan
 
 
 def test_common_notices_and_second_licences_keep_their_labels(spark):
@@ -68,3 +70,18 @@ def test_different_turns_of_one_number_all_count(spark):
     # The second of two turns is the last; the conversation before has a second one too.
     assert "y<|end|>" in pair.prompt + pair.chosen and "x<|end|>" in pair.prompt + pair.chosen
     assert "y<|end|>" not in pair.prompt + pair.rejected and "\ns<|end|>" in pair.rejected
+
+
+def test_secrets_joined_to_words_and_to_base_matches_are_found(spark):
+    draw = random.Random(5)
+    token = lambda n=32: "".join(draw.choice(secret_scan.ALPHABET[:62]) for _ in range(n))
+    words = ["config", "production", "service", "credentials", "request", "handler", "default", "settings"]
+    joined = lambda n: "/".join(draw.choice(words) for _ in range(n))
+    samples = [(token(), True) for _ in range(400)] + [(joined(5), False) for _ in range(400)]
+    models = secret_scan.trained(spark.createDataFrame(samples, "value string, random boolean"))
+    one, two, digest = token(), token(), "0123456789abcdef" * 2
+    texts = [f"see {joined(9)}/{one}/{joined(9)}/{two} end", f"{digest}_{one}", f"{one}/password=abcdefgh12", joined(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = [r.text for r in secret_scan.redacted(docs, models).orderBy("doc_id").collect()]
+    assert all(x[4:-4] not in t for t in left for x in (one, two, digest))
+    assert left[3] == texts[3] and left[0].count("<SECRET>") == 2 and left[0].startswith("see ")
