@@ -8,9 +8,10 @@ from check_oracle import differences, duck
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from ledgerlake.plans import checks
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = checks.queries()
+SQL = checks.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,10 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 

@@ -8,10 +8,9 @@ import pytest
 from check_oracle import duck, rows_of
 from conftest import SMALL
 
-import __spark_entry__ as entry
 from ledgerlake.plans import bridge, checks
 
-QUERIES = entry.queries()
+QUERIES = checks.queries()
 LAZY = [q for q in QUERIES if not q.startswith(("scan_", "land_", "append_", "replace_", "publish_"))
         and q != "ingest_required_columns"]
 
