@@ -35,6 +35,16 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a `durable` table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getName().startswith("llm-"):
+            raise ValueError(f"not a durable table: {path}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """With these columns, each worked out once per row: the optimiser does not copy an
     expression past the generator that yields its one value."""

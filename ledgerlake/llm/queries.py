@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import (
     langid, licenses, pii, preferences, revisits, secret_scan, segmentation, sketches, superminhash, templates,
+    vectorcodes,
 )
 from ledgerlake.llm.common import table
 
@@ -61,6 +62,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.coded(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
@@ -85,6 +90,38 @@ FROM sets JOIN least ON a = doc_id
 """
 
 
+def op13_sql(rounds: int = 4) -> str:
+    """Plain Lloyd rounds: every part is compared with every entry."""
+    steps = [f"""
+    nearest{r} AS MATERIALIZED (
+      SELECT vec_id, part, min({{'d': d, 'entry': entry}}) AS best FROM (
+        SELECT vec_id, part, entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS d
+        FROM x JOIN entries{r} AS c USING (part, pos) GROUP BY vec_id, part, entry)
+      GROUP BY vec_id, part),
+    entries{r + 1} AS MATERIALIZED (
+      SELECT part, entry, pos, coalesce(n.v, e.v) AS v FROM entries{r} AS e LEFT JOIN (
+        SELECT part, best.entry AS entry, pos, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS v
+        FROM x JOIN nearest{r} USING (vec_id, part) GROUP BY ALL) AS n USING (part, entry, pos))""" for r in range(rounds + 1)]
+    return f"""
+    WITH kept AS (
+      SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    x AS MATERIALIZED (
+      SELECT vec_id, place, (i - 1) // (n // 4) AS part, (i - 1) % (n // 4) AS pos, v FROM (
+        SELECT vec_id, place, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i,
+               CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM kept)),
+    entries0 AS (SELECT part, place AS entry, pos, v FROM x WHERE place < 256),
+    {",".join(steps)},
+    coded AS (
+      SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+      FROM nearest{rounds} GROUP BY vec_id),
+    labelled AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN kept USING (vec_id) GROUP BY label)
+    SELECT vec_id, code, error, label_error,
+           (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM entries{rounds}) AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id) JOIN labelled ON kept.label IS NOT DISTINCT FROM labelled.label
+    """
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_revisits": op1_revisits,
@@ -97,10 +134,12 @@ def queries() -> dict[str, Query]:
         "op8_superminhash": op8_superminhash,
         "op9_sketches": op9_sketches,
         "op10_langid": op10_langid,
+        "op13_vectorcodes": op13_vectorcodes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_superminhash": OP8_SQL,
+        "op13_vectorcodes": op13_sql(),
     }
