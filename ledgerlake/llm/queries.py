@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.llm import (
     langid, licenses, pii, preferences, revisits, secret_scan, segmentation, sketches, superminhash, templates,
-    vectorcodes,
+    turnrepair, vectorcodes,
 )
 from ledgerlake.llm.common import table
 
@@ -62,6 +62,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_turnrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.coded(table(spark, sf_dir, "embeddings"))
 
@@ -134,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op8_superminhash": op8_superminhash,
         "op9_sketches": op9_sketches,
         "op10_langid": op10_langid,
+        "op11_turnrepair": op11_turnrepair,
         "op13_vectorcodes": op13_vectorcodes,
     }
 
