@@ -152,9 +152,9 @@ def test_given_table(spark):
 def test_edits_are_given_out(spark):
     rows = [(1, 1, "assistant", "Hello."), (1, 2, "user", "So?")]
     out = turnrepair.edited(spark.createDataFrame(rows, KIND)).orderBy("step").collect()
-    # Two rerolls cost 6, an insert and a deletion 7.
+    # Two inserts cost 6, as two rerolls do, and are ASCII-less.
     assert [(r.edit, r.was, r.role, r.text) for r in out] == [
-        ("R", "assistant", "user", "Hello."), ("R", "user", "assistant", "So?")]
+        ("I", None, "user", ""), ("K", "assistant", "assistant", "Hello."), ("K", "user", "user", "So?"), ("I", None, "assistant", "")]
     rows = [(1, 1, "assistant", "Hello."), (1, 2, "user", " ")]
     out = turnrepair.edited(spark.createDataFrame(rows, KIND)).orderBy("step").collect()
     assert [(r.edit, r.fault, r.role, r.text) for r in out] == [
