@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import (
-    langid, licenses, pii, preferences, revisits, secret_scan, segmentation, sketches, superminhash, templates,
-    turnrepair, vectorcodes,
+    langid, licenses, pii, preferences, revisits, secret_scan, segmentation, sketches, suffixes, superminhash,
+    templates, turnrepair, vectorcodes,
 )
 from ledgerlake.llm.common import table
 
@@ -66,6 +66,10 @@ def op11_turnrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turnrepair.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.coded(table(spark, sf_dir, "embeddings"))
 
@@ -94,6 +98,28 @@ FROM sets JOIN least ON a = doc_id
 """
 
 
+# Bytes as pairs of hexadecimal digits; every string of 50 bytes is looked up as it is.
+OP12_SQL = """
+WITH bytes AS (
+  SELECT doc_id, row_number() OVER () AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, n, p, substring(h, 2 * p + 1, 100) AS s FROM (
+    SELECT doc_id, n, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM bytes WHERE len(h) >= 100)),
+least AS (SELECT s, min(doc_id) AS m FROM strings GROUP BY s),
+gone AS (SELECT n, p FROM strings JOIN least USING (s) WHERE m < doc_id),
+begun AS (
+  SELECT n, p, CASE WHEN p - lag(p) OVER (PARTITION BY n ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM gone),
+spans AS (
+  SELECT n, min(p) AS a, max(p) + 50 AS e FROM (
+    SELECT n, p, sum(new) OVER (PARTITION BY n ORDER BY p) AS span FROM begun) GROUP BY n, span),
+removed AS (SELECT n, sum(e - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS a, list(e ORDER BY a) AS e FROM spans GROUP BY n)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN a IS NULL THEN h ELSE substring(h, 1, 2 * a[1]) || array_to_string(list_transform(
+         range(1, len(a) + 1), lambda i: substring(h, 2 * e[i] + 1, 2 * (coalesce(a[i + 1], len(h)) - e[i]))), '') END)) AS kept_sha256
+FROM bytes LEFT JOIN removed USING (n)
+"""
+
+
 def op13_sql(rounds: int = 4) -> str:
     """Plain Lloyd rounds: every part is compared with every entry."""
     steps = [f"""
@@ -139,6 +165,7 @@ def queries() -> dict[str, Query]:
         "op9_sketches": op9_sketches,
         "op10_langid": op10_langid,
         "op11_turnrepair": op11_turnrepair,
+        "op12_suffixes": op12_suffixes,
         "op13_vectorcodes": op13_vectorcodes,
     }
 
@@ -146,5 +173,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_superminhash": OP8_SQL,
+        "op12_suffixes": OP12_SQL,
         "op13_vectorcodes": op13_sql(),
     }
