@@ -32,12 +32,13 @@ from ledgerlake.llm.common import mix, text_bytes
 LENGTH = 50
 GRAM = 12
 REACH = (LENGTH - GRAM + 1) // 2
-STRETCH = 1 << 22  # bytes whose minimizers are found at once; positions must fit into PLACE_BITS
+STRETCH = 1 << 21  # bytes whose minimizers are found at once; positions must fit into PLACE_BITS
 PLACE_BITS = 24
-BATCH = 1 << 24  # bytes of text within which equal pieces are put together
-SHARD = 1 << 23  # bytes of pieces a shard should have
+BATCH = 24 << 20  # bytes of text within which equal pieces are put together
+SHARD = 1 << 24  # bytes of pieces a shard should have
 ARRAY = 1 << 21  # bytes of pieces in one suffix array
 BUCKET = 1 << 23  # bytes of text that are cut at once
+LEVEL = 5  # of compression of what is shuffled
 
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _NUMBERS = np.dtype([("length", "u1"), ("anchor", "u1"), ("document", "<i8"), ("copies", "<i4")])
@@ -100,94 +101,156 @@ def _stretches(texts: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int,
         yield group
 
 
-def _packed(*arrays: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a if isinstance(a, bytes) else a.tobytes() for a in arrays))
+def _packed(*parts: np.ndarray | bytes) -> bytes:
+    """Parts compressed one by one, each behind its compressed length."""
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    pressed = [press.compress(part if isinstance(part, bytes) else np.ascontiguousarray(part).tobytes()) for part in parts]
+    return b"".join(x for part in pressed for x in (len(part).to_bytes(4, "little"), part))
+
+
+def _unpacked(pack: bytes) -> Iterator[bytes]:
+    press, at = zstandard.ZstdDecompressor(), 0
+    while at < len(pack):
+        end = at + 4 + int.from_bytes(pack[at : at + 4], "little")
+        yield press.decompress(pack[at + 4 : end])
+        at = end
+
+
+def _columns(records: np.ndarray) -> list[np.ndarray]:
+    return [records[name] for name in records.dtype.names]
+
+
+def _records(kind: np.dtype, parts: Iterator[bytes]) -> np.ndarray:
+    columns = {name: np.frombuffer(next(parts), kind[name]) for name in kind.names}
+    out = np.empty(len(columns[kind.names[0]]), kind)
+    for name, column in columns.items():
+        out[name] = column
+    return out
+
+
+def _bundles(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the rows that have it, in their order."""
+    order = np.argsort(keys, kind="stable")
+    at = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] - 1))
+    for a, e in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
+        yield int(keys[order[a]]), order[a:e]
+
+
+def _rows(names: list[str], kinds: list[pa.DataType], rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 256:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows in lists of about BATCH bytes; the last column has the bytes."""
+    rows, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            rows.append(row)
+            size += len(row[-1])
+            if size >= BATCH:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _chained(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """The eight-byte words that cover each piece, one after the other; the last ones overlap."""
+    for shift in range(0, 2 * LENGTH, 8):
+        yield words[at + np.minimum(shift, lengths - 8)]
 
 
 class Dealer:
-    """From texts to the pieces of each shard: rows (shard, pieces, places, spans, pack)."""
+    """From texts to the pieces of each shard: rows (shard, spans, pack). A pack holds pieces and
+    the places of each, or, where `spans` is true, spans that are known to repeat."""
 
-    NAMES = ["shard", "pieces", "places", "spans", "pack"]
-    SCHEMA = "shard int, pieces int, places int, spans int, pack binary"
+    SCHEMA = "shard int, spans boolean, pack binary"
 
     def __init__(self, shards: int):
         self.shards = shards
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, size = [], 0
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "key", "body"))
-            for document, key, body in zip(*columns):
-                texts.append((document, key, body))
-                size += len(body)
-                if size >= BATCH:
-                    yield from self._dealt(texts)
-                    texts, size = [], 0
-        yield from self._dealt(texts)
-
-    def _dealt(self, texts: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        rows = (row for texts in _gathered(batches, ["doc_id", "key", "body"]) for row in self._dealt(texts))
+        yield from _rows(["shard", "spans", "pack"], [pa.int32(), pa.bool_(), pa.binary()], rows)
+
+    def _dealt(self, texts: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
         texts.sort(key=lambda t: t[0])  # the first document with a piece is the least
-        number: dict[bytes, int] = {}
-        documents, anchors, shards = [], [], []
-        of_piece, keys, starts = [], [], []
-        repeated = []
+        groups, found, begin = [], [], 0
         for group in _stretches(texts):
-            data = b"".join(cut for *_, cut in group)
             bounds = np.cumsum([0, *(len(cut) for *_, cut in group)])
+            data = b"".join(cut for *_, cut in group)
             at, end, text, minimizer, anchor = _pieces(data + bytes(8), bounds[:-1], bounds[1:])
-            shard = (mix(minimizer * MULTIPLIERS[3]) % np.uint64(self.shards)).astype(np.int32)
-            offset = np.array([g[2] for g in group]) - bounds[:-1]
-            for k, (a, e, t) in enumerate(zip(at.tolist(), end.tolist(), text.tolist())):
-                piece = data[a:e]
-                document, key = group[t][0], group[t][1]
-                known = number.setdefault(piece, len(documents))
-                if known == len(documents):
-                    documents.append(document)
-                    anchors.append(anchor[k])
-                    shards.append(shard[k])
-                elif documents[known] != document:
-                    repeated.append((document, key, a + offset[t], e + offset[t]))
-                    continue
-                of_piece.append(known)
-                keys.append(key)
-                starts.append(a + offset[t])
-        yield from self._rows(number, documents, anchors, shards, of_piece, keys, starts)
-        if repeated:
-            spans = np.array(repeated, dtype=np.int64).view(_SPANS).ravel()
-            yield self._batch([(int(spans["key"][0]) % self.shards, 0, 0, len(spans), _packed(spans))])
-
-    def _rows(self, number, documents, anchors, shards, of_piece, keys, starts) -> Iterator[pa.RecordBatch]:
-        if not documents:
+            of = np.array([g[:3] for g in group], dtype=np.int64)[text]
+            found.append((at + begin, end - at, minimizer, anchor, of[:, 0], of[:, 1], of[:, 2] + at - bounds[text]))
+            groups.append(data)
+            begin += len(data)
+        if not found:
             return
-        pieces, shards = list(number), np.array(shards)
-        numbers = np.empty(len(pieces), dtype=_NUMBERS)
-        numbers["length"], numbers["anchor"] = np.fromiter(map(len, pieces), np.int64, len(pieces)), anchors
-        numbers["document"] = documents
-        of_piece = np.array(of_piece)
-        numbers["copies"] = np.bincount(of_piece, minlength=len(pieces))
-        places = np.empty(len(of_piece), dtype=_PLACES)
-        places["key"], places["start"] = keys, starts
-        order = np.argsort(shards, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        places = places[np.argsort(rank[of_piece], kind="stable")]
-        at = np.flatnonzero(np.diff(shards[order], prepend=-1))
-        places_before = np.concatenate([[0], np.cumsum(numbers["copies"][order])])
-        rows = []
-        for a, e in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-            own = order[a:e]
-            held = places[places_before[a] : places_before[e]]
-            pack = _packed(*(numbers[own][f] for f in _NUMBERS.names), *(held[f] for f in _PLACES.names), b"".join(pieces[i] for i in own.tolist()))
-            rows.append((int(shards[own[0]]), e - a, len(held), 0, pack))
-            if len(rows) == 256:
-                yield self._batch(rows)
-                rows = []
-        if rows:
-            yield self._batch(rows)
-
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=self.NAMES)
+        data = b"".join([*groups, bytes(8)])
+        at, lengths, minimizer, anchor, document, key, start = (np.concatenate(c) for c in zip(*found))
+        first = self._first_of_equals(data, at, lengths)
+        known = document[first] != document
+        if known.any():
+            spans = np.empty(int(known.sum()), _SPANS)
+            spans["document"], spans["key"], spans["start"] = document[known], key[known], start[known]
+            spans["end"] = start[known] + lengths[known]
+            yield int(spans["key"][0]) % self.shards, True, _packed(*_columns(spans))
+        places = np.empty(int((~known).sum()), _PLACES)
+        places["key"], places["start"], of_piece = key[~known], start[~known], first[~known]
+        copies = np.bincount(of_piece, minlength=len(at))
+        places = places[np.argsort(of_piece, kind="stable")]
+        begun = np.cumsum(copies) - copies
+        pieces = np.flatnonzero(copies)
+        for shard, own in _bundles((mix(minimizer[pieces] * MULTIPLIERS[3]) % np.uint64(self.shards)).astype(np.int32)):
+            own = pieces[own]
+            numbers = np.empty(len(own), _NUMBERS)
+            numbers["length"], numbers["anchor"], numbers["copies"] = lengths[own], anchor[own], copies[own]
+            numbers["document"] = document[own]
+            held = places[np.repeat(begun[own], copies[own]) + _counted(copies[own])]
+            body = b"".join([data[a:e] for a, e in zip(at[own].tolist(), (at[own] + lengths[own]).tolist())])
+            yield shard, False, _packed(*_columns(numbers), *_columns(held), body)
+
+    @staticmethod
+    def _first_of_equals(data: bytes, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each piece the first one of the same bytes, found by hash and then compared."""
+        words = _words(data, 8)
+        hash_ = lengths.astype(np.uint64)
+        for word in _chained(words, at, lengths):
+            hash_ = mix(hash_ * MULTIPLIERS[1] + word)
+        order = np.argsort(hash_, kind="stable")
+        new = np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])
+        first = np.empty(len(at), np.int64)
+        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        asked = np.flatnonzero(first != np.arange(len(at)))
+        other = first[asked]
+        same = lengths[asked] == lengths[other]
+        for one, two in zip(_chained(words, at[asked], lengths[asked]), _chained(words, at[other], lengths[asked])):
+            same &= one == two
+        first[asked[~same]] = asked[~same]  # stands for itself
+        return first
+
+
+def _counted(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed by the bucket in which they are cut."""
+    def rows() -> Iterator[tuple]:
+        for texts in _gathered(batches, ["bucket", "doc_id", "key", "body"]):
+            ids = np.array([(d is not None, d or 0, key, len(body)) for _, d, key, body in texts], dtype=np.int64)
+            for bucket, own in _bundles(np.array([t[0] for t in texts], dtype=np.int64)):
+                yield bucket, _packed(*ids[own].T, b"".join([texts[i][3] for i in own.tolist()]))
+
+    yield from _rows(["bucket", "pack"], [pa.int64(), pa.binary()], rows())
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -202,31 +265,28 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64) >> np.uint64(8)
     cut = np.uint64(8) * (np.uint64(step) - left)
     key = ((key >> cut) << cut) << np.uint64(8) | left
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    order = np.argsort(key)
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    start = np.maximum.accumulate(np.where(new, place, 0))
     rank = np.empty(n, np.int64)
     rank[order] = start
     while True:
-        # Members of undecided groups whose suffix goes on beyond what was compared, and the rest of
-        # their groups, which has ended and comes first.
-        alone = new & np.append(new[1:], True)
-        slots = np.flatnonzero(~alone)
-        if not len(slots):
-            break
-        asked = order[slots]
+        # Only groups that are not yet alone; members that have ended come first.
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        asked, group = order[slots], start[slots]
         goes_on = ends[asked] - asked > step
         if not goes_on.any():
             break
-        beyond = np.where(goes_on, rank[np.minimum(asked + step, n - 1)], -1)
-        inner = np.lexsort((beyond, start[slots]))
-        asked, beyond, group = asked[inner], beyond[inner], start[slots]
+        beyond = np.where(goes_on, rank[np.minimum(asked + step, n - 1)] + 1, 0)
+        both = group << 32 | beyond
+        inner = np.argsort(both)
+        asked, both = asked[inner], both[inner]
         order[slots] = asked
-        new[slots[1:]] = (group[1:] != group[:-1]) | (beyond[1:] != beyond[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        new[slots[1:]] |= both[1:] != both[:-1]
+        start[slots] = np.maximum.accumulate(np.where(new[slots], slots, 0))
         rank[asked] = start[slots]
         step *= 2
+    order[slots] = asked[np.argsort(group << 32 | asked)]  # equal ones by place
     return order
 
 
@@ -293,13 +353,14 @@ class _Array:
         common = common_prefixes(data, starts, lengths, order)
         string = np.cumsum(common < LENGTH) - 1
         whole = np.flatnonzero(ends[order] - order >= LENGTH)
-        self.places, string = order[whole], string[whole]
+        places, string = order[whole], string[whole]
         first = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
-        self.string = np.cumsum(np.concatenate([[0], string[1:] != string[:-1]]))
-        self.least = np.minimum.reduceat(documents[piece[self.places]], first)
-        rows = np.ascontiguousarray(sliding_window_view(data, LENGTH)[self.places[first]])
+        self.string = np.cumsum(np.concatenate([[0], string[1:] != string[:-1]])).astype(np.int32)
+        self.least = np.minimum.reduceat(documents[piece[places]], first)
+        rows = np.ascontiguousarray(sliding_window_view(data, LENGTH)[places[first]])
         self.strings = rows.view(f"S{LENGTH}").ravel()
-        self.piece, self.offset = piece[self.places], self.places - starts[piece[self.places]]
+        self.piece = piece[places].astype(np.int32)
+        self.offset = (places - starts[self.piece]).astype(np.int32)
 
 
 def _found(strings: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,30 +403,21 @@ class Judge:
         self.buckets = buckets
 
     def __call__(self, shard: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
         numbers, places, bodies, spans = [], [], [], []
-        rows = zip(*(shard.column(c).to_pylist() for c in ("pieces", "places", "spans", "pack")))
-        for pieces, held, known, pack in rows:
-            data, at = unpack.decompress(pack), 0
+        for known, pack in zip(shard.column("spans").to_pylist(), shard.column("pack").to_pylist()):
+            parts = _unpacked(pack)
             if known:
-                spans.append(np.frombuffer(data, _SPANS))
+                spans.append(_records(_SPANS, parts))
                 continue
-            for kind, count, into in ((_NUMBERS, pieces, numbers), (_PLACES, held, places)):
-                block = np.empty(count, kind)
-                for name in kind.names:
-                    block[name] = np.frombuffer(data, kind[name], count, at)
-                    at += kind[name].itemsize * count
-                into.append(block)
-            bodies.append(data[at:])
+            numbers.append(_records(_NUMBERS, parts))
+            places.append(_records(_PLACES, parts))
+            bodies.append(next(parts))
         if numbers:
             spans.extend(self._judged(np.concatenate(numbers), np.concatenate(places), b"".join(bodies)))
         found = np.concatenate(spans) if spans else np.empty(0, _SPANS)
-        bucket = found["key"] % self.buckets
-        order = np.lexsort((found["start"], found["key"], bucket))
-        found, bucket = found[order], bucket[order]
-        at = np.flatnonzero(np.diff(bucket, prepend=-1))
-        packs = [found[a:e].tobytes() for a, e in zip(at.tolist(), [*at[1:].tolist(), len(found)])]
-        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "pack": pa.array(packs, pa.binary())})
+        found = found[np.lexsort((found["start"], found["key"]))]
+        packs = [(bucket, _packed(*_columns(found[own]))) for bucket, own in _bundles(found["key"] % self.buckets)]
+        return pa.table({"bucket": pa.array([b for b, _ in packs], pa.int64()), "pack": pa.array([p for _, p in packs], pa.binary())})
 
     def _judged(self, numbers: np.ndarray, places: np.ndarray, body: bytes) -> Iterator[np.ndarray]:
         lengths = numbers["length"].astype(np.int64)
@@ -379,7 +431,7 @@ class Judge:
             piece = held[piece]
             copies = numbers["copies"][piece].astype(np.int64)
             row = np.repeat(np.arange(len(piece)), copies)
-            place = before[piece][row] + np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+            place = before[piece][row] + _counted(copies)
             spans = np.empty(len(row), _SPANS)
             spans["document"], spans["key"] = numbers["document"][piece][row], places["key"][place]
             spans["start"] = places["start"][place] + begin[row]
@@ -389,23 +441,30 @@ class Judge:
 
 def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
     """What is left of each text of a bucket, and the spans that went."""
-    spans = np.concatenate([np.empty(0, _SPANS), *(np.frombuffer(p, _SPANS) for p in found.column("pack").to_pylist())])
+    spans = np.concatenate([np.empty(0, _SPANS), *(_records(_SPANS, _unpacked(p)) for p in found.column("pack").to_pylist())])
     spans = spans[np.lexsort((spans["start"], spans["document"], spans["key"]))]
-    at = np.flatnonzero(np.concatenate([[True], (np.diff(spans["key"]) != 0) | (np.diff(spans["document"]) != 0)])) if len(spans) else np.empty(0, int)
+    begun = np.concatenate([[True], (np.diff(spans["key"]) != 0) | (np.diff(spans["document"]) != 0)])[: len(spans)]
+    at = np.flatnonzero(begun)
     of = {}
     for a, e in zip(at.tolist(), [*at[1:].tolist(), len(spans)]):
         start, reach = spans["start"][a:e], np.maximum.accumulate(spans["end"][a:e])
         new = np.concatenate([[True], start[1:] > reach[:-1]])
         last = np.append(np.flatnonzero(new)[1:], e - a) - 1
         of[spans["document"][a].item(), spans["key"][a].item()] = list(zip(start[new].tolist(), reach[last].tolist()))
-    kept, gone = [], []
-    for document, key, body in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "key", "body"))):
-        own = of.get((document, key), [])
-        edges = [0, *(x for span in own for x in span), len(body)]
-        kept.append(b"".join(body[a:e] for a, e in zip(edges[::2], edges[1::2])) if own else body)
-        gone.append([{"start": a, "end": e} for a, e in own])
+    ids, sizes, kept, gone = [], [], [], []
+    for pack in texts.column("pack").to_pylist():
+        *numbers, bodies = _unpacked(pack)
+        at = 0
+        for numbered, document, key, size in zip(*(np.frombuffer(n, np.int64).tolist() for n in numbers)):
+            body, at = bodies[at : at + size], at + size
+            own = of.get((document, key), []) if numbered else []
+            edges = [0, *(x for span in own for x in span), size]
+            ids.append(document if numbered else None)
+            sizes.append(size)
+            kept.append(b"".join([body[a:e] for a, e in zip(edges[::2], edges[1::2])]))
+            gone.append([{"start": a, "end": e} for a, e in own])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return pa.table({"doc_id": texts.column("doc_id"), "n_bytes": pa.array([len(b) for b in texts.column("body").to_pylist()], pa.int64()),
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()),
                      "kept": pa.array(kept, pa.binary()), "removed": pa.array(gone, kind)})
 
 
@@ -429,7 +488,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     judge = Judge(buckets)
     dealt = pieces.repartition(min(shards, tasks), "shard").groupBy("shard")
     judged = dealt.applyInArrow(lambda shard: judge(shard), "bucket bigint, pack binary")
-    texts = whole.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("bigint"))
+    placed = whole.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("bigint")).select("bucket", "doc_id", "key", "body")
+    texts = placed.mapInArrow(_bundled, "bucket bigint, pack binary")
     schema = "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<start:bigint,end:bigint>>"
     return texts.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(lambda own, found: _cut(own, found), schema)
 

@@ -95,9 +95,14 @@ def run_here(rows: list[tuple], shards: int = 5, buckets: int = 3, tasks: int =
     pieces = pa.Table.from_batches(tables)
     shard = np.array(pieces.column("shard"))
     found = pa.concat_tables([suffixes.Judge(buckets)(pieces.filter(pa.array(shard == s))) for s in range(shards)])
-    whole = pa.table({"doc_id": pa.array([b[0] for b in bodies], pa.int64()), "key": pa.array([b[1] for b in bodies], pa.int64()),
-                      "body": pa.array([b[2] for b in bodies], pa.binary())})
-    cut = suffixes._cut(whole, found).to_pylist()
+    placed = pa.RecordBatch.from_arrays(
+        [pa.array([b[1] % buckets for b in bodies], pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*bodies), (pa.int64(), pa.int64(), pa.binary())))],
+        names=["bucket", "doc_id", "key", "body"])
+    texts_ = pa.Table.from_batches(list(suffixes._bundled([placed])))
+    cut = []
+    for bucket in range(buckets):
+        own, spans = (t.filter(pa.array(np.array(t.column("bucket")) == bucket)) for t in (texts_, found))
+        cut += suffixes._cut(own, spans).to_pylist()
     return sorted(((r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]),
                     hashlib.sha256(r["kept"]).hexdigest()) for r in cut), key=str)
 
