@@ -36,7 +36,7 @@ STRETCH = 1 << 21  # bytes whose minimizers are found at once; positions must fi
 PLACE_BITS = 24
 BATCH = 24 << 20  # bytes of text within which equal pieces are put together
 SHARD = 1 << 24  # bytes of pieces a shard should have
-ARRAY = 1 << 21  # bytes of pieces in one suffix array
+ARRAY = 1 << 19  # bytes of pieces in one suffix array
 BUCKET = 1 << 23  # bytes of text that are cut at once
 LEVEL = 5  # of compression of what is shuffled
 
