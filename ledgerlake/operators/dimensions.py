@@ -75,22 +75,27 @@ def products_by_category(products_: DataFrame, key: str, **bits: int) -> DataFra
 
     A list per category would put the largest category into one row. Positions are
     the same grouping spread over rows, and a lookup joins on (category, position).
-    `key` is a unique integer column giving the order.
+    `key` is a unique integer column giving the order. Further `bits` are those of
+    `with_ordinal`.
     """
     return with_ordinal(products_, key, by=["category"], name="category_position", **bits)
 
 
-def category_sizes(products_: DataFrame) -> Column:
-    """Scalar subquery: the categories in name order with their product counts.
+def category_sizes(products_: DataFrame) -> DataFrame:
+    """One row per category: category, products and category_number in name order.
 
-    One element per category, so its size is that of the category list.
-    """
+    Categories are ordered by their first seven bytes, read as a number, and by name where
+    those are equal, so that they too are numbered level by level. There is one row for each
+    category, so levels are few and blocks large."""
     sizes = products_.filter(F.col("category").isNotNull()).groupBy("category").agg(
         F.count(F.lit(1)).alias("products")
     )
-    return sizes.agg(
-        F.sort_array(F.collect_list(F.struct("category", "products"))).alias("sizes")
-    ).scalar()
+    digits = F.rpad(F.hex(F.substring(F.encode("category", "UTF-8"), 1, 7)), 14, "0")
+    keyed = sizes.withColumn("_first_bytes", F.conv(digits, 16, 10).cast("bigint"))
+    return with_ordinal(
+        keyed, "_first_bytes", name="category_number", range_bits=28, block_bits=28,
+        then=["category"], span=(0, 2**56 - 1),
+    ).drop("_first_bytes")
 
 
 def with_keys(products_: DataFrame, customers_: DataFrame) -> tuple[DataFrame, DataFrame]:

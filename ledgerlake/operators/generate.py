@@ -23,31 +23,31 @@ def sale_numbers(spark: SparkSession, rows: int, high_water: int) -> DataFrame:
 
 
 def draw_sales(
-    numbers: DataFrame, day: dt.date, products: DataFrame, customers: DataFrame
+    numbers: DataFrame, day: dt.date, products: DataFrame, customers: DataFrame,
+    buyers: DataFrame | None = None,
 ) -> DataFrame:
     """One sale per order number.
 
     A product is drawn in two stages, first a category and then a product of it, so
     that a product's weight is 1 / (categories * products in its category). The
-    dimensions carry a unique integer `product_key` and `customer_key`.
+    dimensions carry a unique integer `product_key` and `customer_key`. `buyers` has as many
+    rows as `customers`; give it where counting those would run their joins.
     """
-    customer_count = customers.agg(F.count(F.lit(1)).alias("customers")).scalar()
+    customer_count = (customers if buyers is None else buyers).agg(F.count(F.lit(1)).alias("customers")).scalar()
+    sizes = dimensions.category_sizes(products)
+    categories = products.agg(F.count_distinct("category").alias("categories")).scalar()
     seeded = numbers.select(
-        "order_number",
-        draws.digest(day.isoformat(), F.col("order_number")).alias("_seed"),
-        dimensions.category_sizes(products).alias("_categories"),
+        "order_number", draws.digest(day.isoformat(), F.col("order_number")).alias("_seed"),
     )
 
     def drawn(name: str) -> Column:
         return draws.draw(F.col("_seed"), name)
 
-    category = F.element_at(
-        "_categories", (drawn("category") % F.size("_categories") + 1).cast("int")
-    )
-    chosen = seeded.withColumn("_chosen", category).select(
+    seeded = seeded.withColumn("category_number", drawn("category") % categories)
+    chosen = seeded.join(sizes, "category_number").select(
         "order_number",
-        F.col("_chosen.category").alias("category"),
-        (drawn("product") % F.col("_chosen.products")).alias("category_position"),
+        "category",
+        (drawn("product") % F.col("products")).alias("category_position"),
         (drawn("customer") % customer_count).alias("customer_ordinal"),
         draws.between(drawn("quantity"), fv.QUANTITY).cast("int").alias("quantity"),
         (draws.between(drawn("price"), fv.PRICE_CENTS) / 100).alias("price"),

@@ -11,57 +11,69 @@ from pyspark.sql.window import WindowSpec
 
 from ledgerlake.functions import ids
 
-# Rows are numbered in ranges of 2**RANGE_BITS keys, and ranges are added up in
-# blocks of 2**BLOCK_BITS ranges. With a unique key neither can hold more rows than
-# that, however many rows a group has.
-RANGE_BITS = 20
+# Keys are cut into ranges of 2**RANGE_BITS, ranges into blocks of 2**BLOCK_BITS, those into
+# blocks of as many, and so on. With a unique key no window holds more rows than one of these.
+RANGE_BITS = 10
 BLOCK_BITS = 10
+LEAST_BITS = 4  # smaller blocks would only make more levels
 
 
 def with_ordinal(
     df: DataFrame, key: str, by: Sequence[str] = (), name: str = "ordinal",
-    range_bits: int = RANGE_BITS, block_bits: int = BLOCK_BITS,
+    range_bits: int = RANGE_BITS, block_bits: int = BLOCK_BITS, then: Sequence[str] = (),
+    span: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add 0, 1, 2, ... in order of `key`, a unique integer column, within each `by` group.
 
-    A window over a whole group would send the group to one task. Instead the key
-    is cut into fixed ranges: rows are numbered inside their range, and a range
-    starts where the counts of the ranges before it end. The rows are shuffled
-    once; the join that adds the start finds them partitioned and sorted already.
-    A row whose `key` or `by` is null is kept, without a number.
+    A window over a whole group would send the group to one task. Instead the key is read as
+    digits: a row's number is the sum, over the digits, of the rows that share the digits
+    before and have a smaller one here. Rows are numbered inside their range, and ranges,
+    blocks and blocks of blocks are counted from one scan and added up level by level, each
+    level in windows of one block. The number of levels follows the key's least and largest
+    value, which one job finds first unless `span` gives them. The rows are shuffled once; the join that adds the
+    start of their range finds them partitioned and sorted already.
+
+    A key that is not unique needs `then`, columns that order rows of equal key; those are
+    numbered in one window. A row whose `key` or `by` is null is kept, without a number; rows
+    without a key are spread over the ranges, behind the rows that belong there.
     """
     by = list(by)
-    ranged = df.withColumn("_range", F.shiftright(F.col(key).cast("bigint"), range_bits))
-    within = F.row_number().over(W.partitionBy(*by, "_range").orderBy(key)) - 1
-    starts = _range_starts(ranged, by, block_bits)
+    low, high = span or df.agg(F.min(key).cast("bigint"), F.max(key).cast("bigint")).first()
+    if low is None:
+        return df.withColumn(name, F.lit(None).cast("bigint"))
+    integer = F.col(key).cast("bigint")
+    ranged = df.withColumn("_range", F.coalesce(F.shiftright(integer, range_bits), F.xxhash64(*map(_quoted, df.columns))))
+    order = [F.col(key).asc_nulls_last(), *then]
+    within = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)) - 1
+    keyed = ranged
+    for column in (key, *by):
+        keyed = keyed.filter(F.col(column).isNotNull())
+    counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = _starts(counts, by, max(block_bits, LEAST_BITS), low >> range_bits, high >> range_bits)
+    number = F.when(F.col(key).isNotNull(), F.col("_start") + F.col("_within"))
     return (
         ranged.withColumn("_within", within)
         .join(starts, [*by, "_range"], "left")
-        .select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))
+        .select(*map(_quoted, df.columns), number.alias(name))
     )
 
 
-def _range_starts(ranged: DataFrame, by: list[str], block_bits: int) -> DataFrame:
-    """Rows before each range, from one scan of the key, counted in each task first.
+def _quoted(column: str) -> Column:
+    return F.col(f"`{column}`")
 
-    Running sums inside a block are followed by running sums over blocks. For the
-    second a block is one row that carries its ranges, so it sees one row for every
-    2**(range_bits + block_bits) keys.
-    """
-    block = F.shiftright("_range", block_bits).alias("_block")
-    keyed = ranged.filter(F.col("_range").isNotNull())
-    counts = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    in_block = counts.select(
-        *by, "_range", block, "_rows"
-    ).withColumn("_before", _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range")))
-    blocks = in_block.groupBy(*by, "_block").agg(
-        F.sum("_rows").alias("_rows"),
-        F.collect_list(F.struct("_range", "_before")).alias("_ranges"),
-    ).withColumn("_block_start", _sum_before("_rows", W.partitionBy(*by).orderBy("_block")))
-    return blocks.select(*by, "_block_start", F.explode("_ranges").alias("_r")).select(
-        *by, F.col("_r._range").alias("_range"),
-        (F.col("_block_start") + F.col("_r._before")).alias("_start"),
-    )
+
+def _starts(counts: DataFrame, by: list[str], bits: int, low: int, high: int) -> DataFrame:
+    """Rows before each range. A block starts where the blocks before it in its own block end;
+    the last level has one block, whose least member is `low`."""
+    if high - low < 2**bits:
+        block = F.shiftright(F.col("_range") - low, bits)  # 0: one block
+        running = _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range"))
+        return counts.withColumn("_block", block).select(*by, "_range", running.alias("_start"))
+    ranges = counts.withColumn("_block", F.shiftright("_range", bits))
+    inside = ranges.withColumn("_before", _sum_before("_rows", W.partitionBy(*by, "_block").orderBy("_range")))
+    blocks = ranges.groupBy(*by, F.col("_block").alias("_range")).agg(F.sum("_rows").alias("_rows"))
+    above = _starts(blocks, by, bits, low >> bits, high >> bits).withColumnRenamed("_range", "_block")
+    return inside.join(above, [*by, "_block"]).select(*by, "_range", (F.col("_start") + F.col("_before")).alias("_start"))
 
 
 def _sum_before(column: str, window: WindowSpec) -> Column:

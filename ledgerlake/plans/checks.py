@@ -299,7 +299,8 @@ def gen_sales_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("customer_key"), ids.customer_id(key).alias("customer_id"), "customer_name", "city"
     )
     numbers = bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_number"))
-    return generate.draw_sales(numbers, RUN_DATE, part_products(spark, sf_dir), buyers)
+    counted = bridge.table(spark, sf_dir, "customer")
+    return generate.draw_sales(numbers, RUN_DATE, part_products(spark, sf_dir), buyers, counted)
 
 
 @query("""

@@ -66,6 +66,55 @@ def test_ordinals_number_each_group_in_key_order(spark, keys, bits):
     assert sorted((r.k, r.ordinal) for r in whole.collect()) == [(k, i) for i, k in enumerate(sorted(keys))]
 
 
+def windows(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in line]
+
+
+def test_hashed_keys_are_numbered_in_small_windows_over_many_tasks(spark, conf):
+    """64-bit hashes use all digits. No window is over everything, and none holds more rows
+    than a block has members."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    df = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    numbered = ordinals.with_ordinal(df, "k")
+    assert len(windows(numbered)) == 7 and "SinglePartition" not in numbered._jdf.queryExecution().toString()
+    got = sorted((r.ordinal, r.k) for r in numbered.collect())
+    keys = sorted(r.k for r in df.collect())
+    assert got == list(enumerate(keys))
+    for shift in range(10, 64, 10):
+        members = Counter()
+        for node in {k >> (shift - 10) for k in keys}:
+            members[node >> 10] += 1
+        assert max(members.values()) <= 1024
+
+
+def test_a_dense_key_needs_few_levels(spark):
+    df = spark.range(0, 3_000_000, 3).withColumnRenamed("id", "k")
+    numbered = ordinals.with_ordinal(df, "k")
+    assert len(windows(numbered)) == 3
+    assert numbered.filter("ordinal <> k div 3").isEmpty()
+
+
+def test_equal_keys_are_ordered_by_what_follows(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (0, "c"), (None, "a")], "k bigint, name string")
+    numbered = ordinals.with_ordinal(df, "k", range_bits=0, then=["name"])
+    assert sorted((r.name, r.ordinal or 0) for r in numbered.filter("k is not null").collect()) == [("a", 1), ("b", 2), ("c", 0)]
+
+
+def test_rows_without_a_key_are_no_hot_window(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("n"))
+    numbered = ordinals.with_ordinal(df, "k")
+    assert numbered.filter("k is null and ordinal is not null").isEmpty()
+    assert numbered.filter("k is not null and ordinal = n div 2").count() == 2500
+    assert numbered.count() == 5000
+
+
+def test_categories_are_numbered_by_name(spark):
+    names = ["b", "", "longer name 2", "longer name 10", "é", "a", "日本語の文章", "z"]
+    sizes = dimensions.category_sizes(spark.createDataFrame([(n,) for n in names * 3] + [(None,)], "category string"))
+    assert [(r.category, r.products) for r in sizes.orderBy("category_number").collect()] == [
+        (n, 3) for n in sorted(names, key=str.encode)]
+
+
 def test_rows_without_key_or_group_are_kept(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (None, "a"), (3, "a")], "k bigint, g string")
     numbered = ordinals.with_ordinal(df, "k", by=["g"]).collect()
