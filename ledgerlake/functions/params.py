@@ -6,6 +6,9 @@ import datetime as dt
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ledgerlake.errors import BadRunDate
 from ledgerlake.fixed_values import RAW_FILE
 
@@ -29,6 +32,11 @@ def raw_path(zone: str, day: dt.date) -> str:
     return f"{zone.rstrip('/')}/sales/{day:%Y/%m/%d}/{RAW_FILE}"
 
 
+def day_of_path(path: Column) -> Column:
+    """The day in the path of a raw file."""
+    return F.to_date(F.regexp_extract(path, r"/sales/(\d{4}/\d{2}/\d{2})/[^/]+/[^/]*$", 1), "yyyy/MM/dd")
+
+
 def days(first: dt.date, last: dt.date) -> Iterator[dt.date]:
     for n in range((last - first).days + 1):
         yield first + dt.timedelta(days=n)

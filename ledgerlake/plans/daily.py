@@ -21,7 +21,7 @@ from ledgerlake.errors import EmptyPublish, MissingInput
 from ledgerlake.functions import params
 from ledgerlake.operators import dimensions, fact, generate, ingest, quality
 from ledgerlake.operators.enrich import enrich
-from ledgerlake.sources import files, table
+from ledgerlake.sources import files, folders, table
 
 Sink = Callable[[DataFrame], None]
 
@@ -36,6 +36,8 @@ class Zones:
     raw: str
     processed: str
     quarantine: str
+    malformed: str
+    rollups: str
     fmt: str = "parquet"
 
     @classmethod
@@ -44,7 +46,8 @@ class Zones:
         return cls(
             dimensions=f"{root}/dimensions", order_numbers=f"{root}/order_numbers",
             source=f"{root}/source", raw=f"{root}/raw",
-            processed=f"{root}/processed/sales", quarantine=f"{root}/quarantine/sales", fmt=fmt,
+            processed=f"{root}/processed/sales", quarantine=f"{root}/quarantine/sales",
+            malformed=f"{root}/quarantine/records", rollups=f"{root}/rollups", fmt=fmt,
         )
 
 
@@ -110,20 +113,52 @@ def generate_day(
 def ingest_day(
     spark: SparkSession, day: dt.date, zones: Zones,
     ingested_on: dt.date | None = None, strict: bool = False,
+    malformed: str = "fail", line_breaks: bool = False,
 ) -> str:
-    raw = files.read_csv(spark, params.raw_path(zones.source, day), schemas.RAW_FILE)
-    return files.land_raw(ingest.stamp(ingest.validate(raw, strict), ingested_on), zones.raw, day)
+    """Check and stamp a day's batch. With `malformed="keep"` records that do not fit the
+    contract's types are put aside, as text, under the quarantine zone and the others go on;
+    a strict run takes none."""
+    if strict and malformed == "keep":
+        raise ValueError("a strict run keeps no malformed records")
+    path = params.raw_path(zones.source, day)
+    raw = files.read_csv(spark, path, schemas.RAW_FILE, malformed=malformed, line_breaks=line_breaks)
+    if malformed == "keep":
+        raw, _ = files.quarantine_malformed(raw, f"{zones.malformed}/{day}")
+    stamped = ingest.stamp(ingest.validate(raw, strict), ingested_on)
+    return files.land_raw(stamped, zones.raw, day, line_breaks)
 
 
 def transform_day(
-    spark: SparkSession, day: dt.date, zones: Zones, loaded_at: Column | None = None
+    spark: SparkSession, day: dt.date, zones: Zones, loaded_at: Column | None = None,
+    line_breaks: bool = False,
 ) -> table.DayWrite:
-    landed = files.read_csv(spark, params.raw_path(zones.raw, day), schemas.LANDED)
+    landed = files.read_csv(spark, params.raw_path(zones.raw, day), schemas.LANDED, line_breaks=line_breaks)
     processed = enrich(landed.select(*schemas.LANDED.names), day, loaded_at)
     schemas.assert_schema(processed, schemas.PROCESSED)
     return table.replace_day(processed, zones.processed, day, zones.quarantine, zones.fmt)
 
 
+def transform_days(
+    spark: SparkSession, first: dt.date, last: dt.date, zones: Zones, loaded_at: Column | None = None,
+    line_breaks: bool = False,
+) -> dict[dt.date, table.DayWrite]:
+    """A backfill: the landed batches from `first` to `last` in one read and one write.
+
+    The day of a batch is taken from its path. A day without a batch, or whose batch has no row
+    of its date, keeps what is stored, so an earlier backfill can be repeated over any range.
+    Raises if no day has a batch."""
+    paths = {day: params.raw_path(zones.raw, day) for day in params.days(first, last)}
+    paths = {day: path for day, path in paths.items() if folders.exists(spark, path)}
+    if not paths:
+        raise MissingInput(f"no input between {first} and {last} in {zones.raw}")
+    landed = files.read_csv(spark, list(paths.values()), schemas.LANDED, line_breaks=line_breaks)
+    day = params.day_of_path(F.col("_metadata.file_path"))
+    batches = landed.select(*schemas.LANDED.names, day.alias(table.BATCH_DAY))
+    processed = enrich(batches, F.col(table.BATCH_DAY), loaded_at)
+    schemas.assert_schema(processed.drop(table.BATCH_DAY), schemas.PROCESSED)
+    return table.replace_days(processed, zones.processed, list(paths), zones.quarantine, zones.fmt)
+
+
 def check_day(
     spark: SparkSession, day: dt.date, zones: Zones, scope: str = "day", strict: bool = False
 ) -> DataFrame:
@@ -167,13 +202,14 @@ def run_day(
     spark: SparkSession, run_date: str | dt.date, zones: Zones, sink: Sink,
     rows: int | None = None, ingested_on: dt.date | None = None, scope: str = "day",
     strict: bool = False, id_type: T.DataType = T.IntegerType(), since: dt.date | None = None,
+    malformed: str = "fail", line_breaks: bool = False,
 ) -> DaySummary:
     """All five steps of a day. Any failed gate raises and leaves the rest undone. The
     options are those of the single steps."""
     day = params.run_date(run_date)
     generate_day(spark, day, zones, rows)
-    ingest_day(spark, day, zones, ingested_on, strict)
-    written = transform_day(spark, day, zones)
+    ingest_day(spark, day, zones, ingested_on, strict, malformed, line_breaks)
+    written = transform_day(spark, day, zones, line_breaks=line_breaks)
     check_day(spark, day, zones, scope, strict)
     published = publish(spark, zones, sink, id_type, since=since)
     return DaySummary(day, written.rows_seen, written.rows_off_day, published)

@@ -20,6 +20,14 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The files directly under a path; none if it is not there."""
+    system, place = _at(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(str(s.getPath()) for s in system.listStatus(place) if s.isFile())
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes stored under a path; 0 if there is nothing."""
     system, place = _at(spark, path)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas
-from ledgerlake.errors import EmptyBatch, MissingInput, SchemaMismatch
+from ledgerlake.errors import EmptyBatch, SchemaMismatch
 from ledgerlake.sources import folders
-from ledgerlake.sources.files import loading
+from ledgerlake.sources.files import loading, observed
 
 MONTH_KEYS = ["order_year", "order_month"]
 DAY_KEYS = ["order_year", "order_month", "order_day"]
@@ -41,6 +43,10 @@ class DayWrite:
     rows_off_day: int
 
 
+# The day whose batch a row came in; not stored.
+BATCH_DAY = "_batch_day"
+
+
 def replace_day(
     df: DataFrame, path: str, day: dt.date, quarantine: str, fmt: str = "parquet"
 ) -> DayWrite:
@@ -48,27 +54,67 @@ def replace_day(
 
     Only directories that receive rows are replaced. A row of another day would
     wipe that day, so rows whose date is not `day`, or is unreadable, are kept out
-    and go to the day's directory under `quarantine`, in place of an earlier run's. The counts that decide this
-    are an aggregate over the date alone, exact also when tasks are repeated. A
+    and go to the day's directory under `quarantine`, in place of an earlier run's. A
     batch with nothing for the day leaves the stored day as it was and raises.
     """
+    written = replace_days(df.withColumn(BATCH_DAY, F.lit(day)), path, [day], quarantine, fmt)[day]
+    if written.rows_seen == written.rows_off_day:
+        raise EmptyBatch(f"no rows dated {day} in the batch")
+    return written
+
+
+def replace_days(
+    df: DataFrame, path: str, days: Sequence[dt.date], quarantine: str, fmt: str = "parquet"
+) -> dict[dt.date, DayWrite]:
+    """`replace_day` for the batches of many days, in one read and one write.
+
+    BATCH_DAY names the batch of each row and is one of `days`. The rows of a batch that bear
+    its date replace that day, and a day without any stays as it was. All other rows go to the
+    batch's directory under `quarantine`.
+
+    The jobs that write also count. Rows are counted behind the last shuffle, where Spark takes
+    a task's count from the one attempt that succeeded. Only whether a batch has strays is seen
+    before the shuffle, where a repeated task may count twice; if it has, they are written, and
+    counted, by a job of their own.
+    """
     spark = df.sparkSession
     _check_layout(spark, path, DAY_KEYS, fmt)
-    strays = f"{quarantine}/{day.isoformat()}"
-    on_day = F.coalesce(F.col("order_date") == F.lit(day), F.lit(False))
-    rows, off_day = df.agg(F.count(F.lit(1)), F.count_if(~on_day)).first()
-    if off_day:
-        df.filter(~on_day).write.mode("overwrite").parquet(strays)
-    else:
-        folders.remove(spark, strays)
-    if rows == off_day:
-        raise EmptyBatch(f"no rows dated {day} in the batch")
+    on_day = F.coalesce(F.col("order_date") == F.col(BATCH_DAY), F.lit(False))
+    days = sorted(set(days))
+    looked, stored = Observation(), Observation()
+    rows = df.observe(looked, *(F.count_if(~on_day & _of(day)).alias(day.isoformat()) for day in days)).filter(on_day)
+    # One day goes to one directory, and needs no keys to shuffle by. The rows of several are
+    # brought together by day, so that a day gets few files.
+    rows = rows.hint("rebalance") if len(days) == 1 else rows.hint("rebalance", *(F.col(k) for k in DAY_KEYS))
     (
-        df.filter(on_day).hint("rebalance")  # all rows go to one directory: no keys to shuffle by
+        rows.observe(stored, *(F.count_if(_of(day)).alias(day.isoformat()) for day in days)).drop(BATCH_DAY)
         .write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*DAY_KEYS).save(path)
     )
-    return DayWrite(rows, off_day)
+    # Where nothing is stored, planning drops the write and the counts with it; then all is looked at.
+    seen, counts = observed(looked), observed(stored)
+    written = {}
+    for day in days:
+        strays = 0
+        if seen.get(day.isoformat(), 1):
+            strays = _quarantined(df.filter(~on_day & _of(day)).drop(BATCH_DAY), f"{quarantine}/{day.isoformat()}")
+        else:
+            folders.remove(spark, f"{quarantine}/{day.isoformat()}")
+        written[day] = DayWrite(counts.get(day.isoformat(), 0) + strays, strays)
+    return written
+
+
+def _of(day: dt.date) -> Column:
+    return F.col(BATCH_DAY) == F.lit(day)
+
+
+def _quarantined(df: DataFrame, path: str) -> int:
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    rows = observed(counted).get("rows", 0)
+    if not rows:
+        folders.remove(df.sparkSession, path)
+    return rows
 
 
 def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -81,23 +127,35 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def check_stored(spark: SparkSession, path: str, day: dt.date, scope: str = "day", fmt: str = "parquet") -> None:
-    """Raise if the files of the day (or of a day of its month) lack a column or declare it
-    of another type. A reader that is given the schema fills such a column with nulls, so
-    the files are asked themselves. A day is written by one job; one footer speaks for it."""
+    """Raise if files of the day (or of a day of its month) lack a column or declare it of
+    another type. A reader that is given the schema fills such a column with nulls, so the
+    files are asked themselves. All files of one write job have one layout and carry the job's
+    id in their name, so one file of each job speaks for it; the first odd one is named."""
     if fmt == "delta":  # the table itself holds and enforces its schema
         return
     wanted = schemas.T.StructType([f for f in schemas.PROCESSED.fields if f.name not in DAY_KEYS])
     days = range(1, 32) if scope == "month" else [day.day]
     for number in days:
         at = f"{path}/order_year={day.year}/order_month={day.month}/order_day={number}"
-        if not folders.exists(spark, at):
-            continue
-        try:
-            found = loading(lambda: spark.read.format(fmt).load(at), at)
-        except MissingInput:
+        for job, file in sorted(_file_of_each_job(folders.files(spark, at)).items()):
+            found = loading(lambda file=file: spark.read.format(fmt).load(file), file)
+            names = [n for n in wanted.names if n in found.columns]
+            try:
+                schemas.assert_schema(found.select(*names), wanted)
+            except SchemaMismatch as e:
+                raise SchemaMismatch(f"{file}, of write job {job}: {e}") from e
+
+
+def _file_of_each_job(paths: Sequence[str]) -> dict[str, str]:
+    """A file for each job; one whose name does not tell is taken as a job of its own."""
+    found: dict[str, str] = {}
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if name.startswith(("_", ".")):
             continue
-        names = [n for n in wanted.names if n in found.columns]
-        schemas.assert_schema(found.select(*names), wanted)
+        told = re.fullmatch(r"part-\d+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[.-].*", name)
+        found.setdefault(told.group(1) if told else name, path)
+    return found
 
 
 def since(df: DataFrame, first: dt.date) -> DataFrame:
