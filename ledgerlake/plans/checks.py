@@ -20,7 +20,7 @@ from ledgerlake.operators import (
     dimensions, fact, generate, ingest, ordinals, quality, reports, rules,
 )
 from ledgerlake.operators.enrich import enrich
-from ledgerlake.plans import bridge, daily
+from ledgerlake.plans import bridge, daily, rollups
 from ledgerlake.sources import files, table, workspace
 
 RUN_DATE = dt.date(2001, 8, 1)
@@ -393,8 +393,86 @@ def scan_processed_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(table.scan(spark, path))
 
 
+@query(f"WITH {PROCESSED} SELECT * FROM processed")
+def append_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, one appended to what the other left, months of both among them."""
+    path = workspace.fresh(spark)
+    whole = processed(spark, sf_dir)
+    first = F.coalesce(F.dayofmonth("order_date") <= 15, F.lit(False))
+    table.append(whole.filter(first), path)
+    table.append(whole.filter(~first), path)
+    return comparable(table.scan(spark, path))
+
+
+BACKFILL = [RUN_DATE + dt.timedelta(n) for n in range(3)]
+
+
+@query(f"""
+    WITH {SALES}
+    SELECT order_id, product_id, quantity, price,
+           CASE WHEN l_orderkey % 7 <> 0 THEN DATE '2001-08-01' + CAST(l_orderkey % 3 AS INTEGER) END AS order_date,
+           strftime(DATE '2001-08-01' + CAST(l_orderkey % 3 AS INTEGER), '%Y-%m-%d') AS processing_date,
+           l_orderkey % 7 = 0 AS quarantined
+    FROM sales_raw
+""")
+def backfill_processed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of three days in one read and one write; the day of a batch is that of its path.
+    Rows whose date cannot be read go to their batch's quarantine."""
+    zones = daily.Zones.under(workspace.fresh(spark))
+    raw = bridge.sales_raw(spark, sf_dir, ["l_orderkey", *schemas.RAW.names])
+    for n, day in enumerate(BACKFILL):
+        text = F.when(F.col("l_orderkey") % 7 == 0, "garbage").otherwise(F.lit(day.isoformat()))
+        batch = raw.filter(F.col("l_orderkey") % 3 == n).withColumn("order_date", text).drop("l_orderkey")
+        files.land_raw(ingest.stamp(batch, INGESTED_ON), zones.raw, day)
+    daily.transform_days(spark, BACKFILL[0], BACKFILL[-1], zones)
+    columns = ["order_id", "product_id", "quantity", "price", "order_date", "processing_date"]
+    strays = spark.read.schema(schemas.PROCESSED).parquet(*(f"{zones.quarantine}/{day}" for day in BACKFILL))
+    stored = table.scan(spark, zones.processed).select(*columns, F.lit(False).alias("quarantined"))
+    return stored.union(strays.select(*columns, F.lit(True).alias("quarantined")))
+
+
+@query(f"""
+    WITH {SALES}
+    SELECT order_id, product_id, replace(product_name, ' ', chr(10)) AS product_name, quantity FROM sales_raw
+""")
+def scan_csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that runs over lines, written and read as such."""
+    path = workspace.fresh(spark)
+    raw = bridge.sales_raw(spark, sf_dir, ["order_id", "product_id", "product_name", "quantity"])
+    broken = raw.withColumn("product_name", F.replace("product_name", F.lit(" "), F.lit("\n")))
+    files.write_csv(broken, path, line_breaks=True)
+    return files.read_csv(spark, path, line_breaks=True)
+
+
 # Ingest checks and stamps.
 
+@query(f"""
+    WITH {SALES}, written AS (
+        SELECT l_orderkey, order_id, product_id,
+               CASE WHEN l_orderkey % 11 = 0 THEN 'q' || l_orderkey ELSE CAST(quantity AS VARCHAR) END AS text_quantity
+        FROM sales_raw)
+    SELECT CASE WHEN l_orderkey % 11 <> 0 THEN order_id END AS order_id,
+           CASE WHEN l_orderkey % 11 <> 0 THEN CAST(l_orderkey AS INTEGER) END AS key,
+           TRY_CAST(text_quantity AS INTEGER) AS quantity,
+           CASE WHEN l_orderkey % 11 = 0 THEN order_id || ',' || l_orderkey || ',' || text_quantity END AS record
+    FROM written
+""")
+def ingest_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that are none, in every eleventh order: their records are put aside as text and
+    the others go on."""
+    path = workspace.fresh(spark)
+    raw = bridge.sales_raw(spark, sf_dir, ["l_orderkey", "order_id", "quantity"])
+    bad = F.concat(F.lit("q"), F.col("l_orderkey").cast("string"))
+    quantity = F.when(F.col("l_orderkey") % 11 == 0, bad).otherwise(F.col("quantity").cast("string"))
+    files.write_csv(raw.select("order_id", F.col("l_orderkey").alias("key"), quantity.alias("quantity")), f"{path}/raw")
+    contract = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("quantity", T.IntegerType())])
+    found = files.read_csv(spark, f"{path}/raw", contract, malformed="keep")
+    whole, _ = files.quarantine_malformed(found, f"{path}/aside")
+    aside = spark.read.schema(found.schema).parquet(f"{path}/aside")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema]
+    return whole.withColumn("record", F.lit(None).cast("string")).union(aside.select(*nothing, files.RECORD))
+
+
 @query(f"{INGEST_REPORT} SELECT * FROM report")
 def ingest_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.validation_report(defects(spark, sf_dir))
@@ -526,6 +604,18 @@ def dq_partition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoped.select("order_id", "order_date", "quantity", "price")
 
 
+@query(f"""
+    WITH {PROCESSED}
+    SELECT order_id, product_id, order_date, total_amount FROM processed WHERE order_year = 1998 AND order_month = 3
+""")
+def dq_stored_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a check of one month reads: only that month's directories of the stored table."""
+    path = workspace.fresh(spark)
+    table.append(processed(spark, sf_dir), path)
+    scoped = quality.in_scope(table.scan(spark, path), MONTH, scope="month")
+    return scoped.select("order_id", "product_id", "order_date", "total_amount")
+
+
 @query(f"{QUALITY_REPORT} SELECT * FROM report")
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(with_total(defects(spark, sf_dir)))
@@ -572,6 +662,18 @@ def publish_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schemas.fact(T.LongType())).parquet(f"{root}/fact")
 
 
+@query(f"{typed_sql('BIGINT')} WHERE order_date >= DATE '1998-03-01'")
+def publish_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the days from one on are sent; earlier months are not read."""
+    root = workspace.fresh(spark)
+    zones = daily.Zones.under(root)
+    table.append(processed(spark, sf_dir), zones.processed)
+    daily.publish(
+        spark, zones, lambda df: df.write.mode("overwrite").parquet(f"{root}/fact"), T.LongType(), since=MONTH
+    )
+    return spark.read.schema(schemas.fact(T.LongType())).parquet(f"{root}/fact")
+
+
 @query(f"{typed_sql('BIGINT')} ORDER BY {', '.join(map(str, range(1, 12)))} LIMIT 5")
 def preview_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.preview(fact_typed_wide(spark, sf_dir))
@@ -582,6 +684,14 @@ def count_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.count(enriched_lines(spark, sf_dir))
 
 
+@query(f"WITH {SALES} SELECT count(*) AS rows_to_load FROM sales_raw")
+def count_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored table, which reads no column of it."""
+    path = workspace.fresh(spark)
+    table.append(processed(spark, sf_dir), path)
+    return fact.count(table.scan(spark, path))
+
+
 # Reports.
 
 @query(f"WITH {PROCESSED} SELECT order_date, {ROLLUP} FROM processed GROUP BY ALL")
@@ -628,3 +738,26 @@ def report_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def report_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_average(reports.in_money(bridge.measured_customers(spark, sf_dir)))
+
+
+# Reports from stored sums. A day is first stored with wrong quantities and then replaced.
+
+def replaced_sums(spark: SparkSession, sf_dir: str, store: str) -> DataFrame:
+    path = workspace.fresh(spark)
+    raw = bridge.sales_raw(spark, sf_dir, ["order_date", "quantity", "price", *({"category", "product_id"} if store == "product" else ())])
+    sold = enrich(raw, RUN_DATE)
+    replaced = F.col("order_date") == F.lit(MONTH)
+    wrong = F.when(replaced, F.col("total_amount") * 3).otherwise(F.col("total_amount"))
+    rollups.store_sums(sold.withColumn("total_amount", wrong), store, path)
+    rollups.store_sums(sold.filter(replaced), store, path)
+    return rollups.sums(spark, path, store)
+
+
+@query(f"WITH {PROCESSED} SELECT order_date, {ROLLUP} FROM processed GROUP BY ALL")
+def report_daily_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.daily_sales(replaced_sums(spark, sf_dir, "bucket"))
+
+
+@query(f"WITH {PROCESSED} SELECT category, product_id, {ROLLUP} FROM processed GROUP BY ALL")
+def report_products_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.product_sales(replaced_sums(spark, sf_dir, "product"))

@@ -121,10 +121,11 @@ def observed(seen: Observation) -> dict[str, int]:
 
 def quarantine_malformed(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """Split what `read_csv(malformed="keep")` found: the whole records, and the number of
-    the others, whose text is stored under `path` in place of an earlier run's."""
+    the others, which are stored under `path`, text and what could be read of it, in place of
+    an earlier run's."""
     spark = df.sparkSession
     counted = Observation()
-    broken = df.filter(F.col(RECORD).isNotNull()).select(F.col(RECORD).alias("record"))
+    broken = df.filter(F.col(RECORD).isNotNull())
     broken.observe(counted, F.count(F.lit(1)).alias("records")).write.mode("overwrite").parquet(path)
     records = observed(counted).get("records", 0)
     if not records:

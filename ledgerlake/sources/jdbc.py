@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlake import fixed_values as fv
 from ledgerlake import schemas
 from ledgerlake.errors import PublishMismatch
+from ledgerlake.sources.files import observed
 
 
 def url(server: str, database: str) -> str:
@@ -55,3 +57,25 @@ def check_count(spark: SparkSession, target: Mapping[str, str], sent: int) -> No
     published = row_count(spark, target)
     if published != sent:
         raise PublishMismatch(f"sent {sent} rows, target holds {published}")
+
+
+def publish_staged(
+    df: DataFrame, folder: str, target: Mapping[str, str], staging: str, swap: Callable[[], None],
+    connections: int = 16, batch_size: int = 10_000,
+) -> int:
+    """Replace the target so that its readers see the old rows or the new ones, never a part.
+
+    All tasks write the rows to `folder` first, as many at a time as the cluster has room for, and
+    count them; the few connections then only copy finished files into the table `staging`. When the
+    database counts as many rows there as were written, `swap` is called, which puts the staging table
+    in the target's place as the database does that (renames in one transaction). A failure before
+    that leaves the target as it was. Returns the rows."""
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(folder)
+    rows = observed(counted).get("rows", 0)
+    staged = df.sparkSession.read.schema(df.schema).parquet(folder)
+    beside = {**target, "dbtable": staging}
+    replace_table(staged, beside, connections, batch_size)
+    check_count(df.sparkSession, beside, rows)
+    swap()
+    return rows

@@ -11,8 +11,9 @@ from conftest import SMALL
 from ledgerlake.plans import bridge, checks
 
 QUERIES = checks.queries()
-LAZY = [q for q in QUERIES if not q.startswith(("scan_", "land_", "append_", "replace_", "publish_"))
-        and q != "ingest_required_columns"]
+LAZY = [q for q in QUERIES if not q.startswith(("scan_", "land_", "append_", "replace_", "publish_", "backfill_"))
+        and not q.endswith(("_stored", "_stored_month", "_from_store"))
+        and q not in ("ingest_required_columns", "ingest_malformed")]
 
 
 def plan(df) -> str:
