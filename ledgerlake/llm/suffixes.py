@@ -195,7 +195,7 @@ class Dealer:
             return
         data = b"".join([*groups, bytes(8)])
         at, lengths, minimizer, anchor, document, key, start = (np.concatenate(c) for c in zip(*found))
-        first = self._first_of_equals(data, at, lengths)
+        first = _first_of_equals(data, at, lengths)
         known = document[first] != document
         if known.any():
             spans = np.empty(int(known.sum()), _SPANS)
@@ -217,24 +217,24 @@ class Dealer:
             body = b"".join([data[a:e] for a, e in zip(at[own].tolist(), (at[own] + lengths[own]).tolist())])
             yield shard, False, _packed(*_columns(numbers), *_columns(held), body)
 
-    @staticmethod
-    def _first_of_equals(data: bytes, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each piece the first one of the same bytes, found by hash and then compared."""
-        words = _words(data, 8)
-        hash_ = lengths.astype(np.uint64)
-        for word in _chained(words, at, lengths):
-            hash_ = mix(hash_ * MULTIPLIERS[1] + word)
-        order = np.argsort(hash_, kind="stable")
-        new = np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])
-        first = np.empty(len(at), np.int64)
-        first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        asked = np.flatnonzero(first != np.arange(len(at)))
-        other = first[asked]
-        same = lengths[asked] == lengths[other]
-        for one, two in zip(_chained(words, at[asked], lengths[asked]), _chained(words, at[other], lengths[asked])):
-            same &= one == two
-        first[asked[~same]] = asked[~same]  # stands for itself
-        return first
+
+def _first_of_equals(data: bytes, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each piece the first one of the same bytes, found by hash and then compared."""
+    words = _words(data, 8)
+    hash_ = lengths.astype(np.uint64)
+    for word in _chained(words, at, lengths):
+        hash_ = mix(hash_ * MULTIPLIERS[1] + word)
+    order = np.argsort(hash_, kind="stable")
+    new = np.concatenate([[True], hash_[order][1:] != hash_[order][:-1]])
+    first = np.empty(len(at), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    asked = np.flatnonzero(first != np.arange(len(at)))
+    other = first[asked]
+    same = lengths[asked] == lengths[other]
+    for one, two in zip(_chained(words, at[asked], lengths[asked]), _chained(words, at[other], lengths[asked])):
+        same &= one == two
+    first[asked[~same]] = asked[~same]  # stands for itself
+    return first
 
 
 def _counted(counts: np.ndarray) -> np.ndarray:
@@ -420,23 +420,41 @@ class Judge:
         return pa.table({"bucket": pa.array([b for b, _ in packs], pa.int64()), "pack": pa.array([p for _, p in packs], pa.binary())})
 
     def _judged(self, numbers: np.ndarray, places: np.ndarray, body: bytes) -> Iterator[np.ndarray]:
-        lengths = numbers["length"].astype(np.int64)
+        lengths, documents = numbers["length"].astype(np.int64), numbers["document"]
         starts = np.cumsum(lengths) - lengths
-        held = np.flatnonzero(_shared(body, starts, lengths, numbers["anchor"].astype(np.int64), numbers["document"]))
-        if not len(held):
+        # Equal pieces of several batches become one, of the least document; the others repeat it whole.
+        first = _first_of_equals(body + bytes(8), starts, lengths)
+        least = documents.copy()
+        np.minimum.at(least, first, documents)
+        repeats = documents > least[first]
+        whole = np.flatnonzero(repeats)
+        yield self._spans(numbers, places, whole, np.zeros(len(whole), np.int64), lengths[whole])
+        own = np.flatnonzero(first == np.arange(len(first)))
+        own = own[_shared(body, starts[own], lengths[own], numbers["anchor"][own].astype(np.int64), least[own])]
+        if not len(own):
             return
-        kept = b"".join(body[a:e] for a, e in zip(starts[held].tolist(), (starts + lengths)[held].tolist()))
-        before = np.cumsum(numbers["copies"]) - numbers["copies"]
-        for piece, begin, end in _repeats(kept, lengths[held], numbers["document"][held]):
-            piece = held[piece]
-            copies = numbers["copies"][piece].astype(np.int64)
+        kept = b"".join([body[a:e] for a, e in zip(starts[own].tolist(), (starts + lengths)[own].tolist())])
+        members = np.flatnonzero(~repeats)
+        members = members[np.argsort(first[members], kind="stable")]
+        begin, end = (np.searchsorted(first[members], own, side) for side in ("left", "right"))
+        for piece, start, stop in _repeats(kept, lengths[own], least[own]):
+            copies = (end - begin)[piece]
             row = np.repeat(np.arange(len(piece)), copies)
-            place = before[piece][row] + _counted(copies)
-            spans = np.empty(len(row), _SPANS)
-            spans["document"], spans["key"] = numbers["document"][piece][row], places["key"][place]
-            spans["start"] = places["start"][place] + begin[row]
-            spans["end"] = places["start"][place] + end[row]
-            yield spans
+            member = members[begin[piece][row] + _counted(copies)]
+            yield self._spans(numbers, places, member, start[row], stop[row])
+
+    @staticmethod
+    def _spans(numbers: np.ndarray, places: np.ndarray, piece: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Spans of pieces, at each of their places."""
+        before = np.cumsum(numbers["copies"]) - numbers["copies"]
+        copies = numbers["copies"][piece].astype(np.int64)
+        row = np.repeat(np.arange(len(piece)), copies)
+        place = before[piece][row] + _counted(copies)
+        spans = np.empty(len(row), _SPANS)
+        spans["document"], spans["key"] = numbers["document"][piece][row], places["key"][place]
+        spans["start"] = places["start"][place] + start[row]
+        spans["end"] = places["start"][place] + stop[row]
+        return spans
 
 
 def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
