@@ -17,12 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where none is named, as in
-    tests, one beside the session's tables."""
+    """The folder the cluster names in spark.checkpoint.dir. Only where none is named and all
+    runs in one process, as in tests, one beside the session's tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 
+def spare(name: str, df: DataFrame) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read back: lineage ends there, so
     a lost executor costs at most the step after it. Removed when the session ends."""
@@ -48,9 +58,9 @@ def forget(df: DataFrame) -> None:
 def held(df: DataFrame, **columns: Column) -> DataFrame:
     """With these columns, each worked out once per row: the optimiser does not copy an
     expression past the generator that yields its one value."""
-    once = F.explode_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    once, made = F.explode_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))), spare("held", df)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    return df.select("*", once.alias("_held")).select(*kept, *(F.col(f"_held.{n}") for n in columns))
+    return df.select("*", once.alias(made)).select(*kept, *(F.col(f"{made}.{n}") for n in columns))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlake.llm.common import durable, small_batches
+from ledgerlake.llm.common import durable, small_batches, spare
 
 TRAIN_DOCS = 2_000  # distinct labelled texts sampled per language, on average
 MAX_WORDS = 25_000  # entries of the word table for each language
 MAX_GRAMS = 50_000  # entries of the n-gram table for each language
 LONGEST = 4  # characters in the longest n-gram
 EVIDENCE = 20  # words that count as independent evidence, for the score
+GROUP = 1_000_000  # characters of text that are worked on at once
 CACHED = 50_000  # unseen words whose backed-off score is remembered
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,6 +43,7 @@ class Model:
     languages: list[str]
     words: Table
     grams: Table
+    commonest: int = 0  # the language with most of the sample, for texts that no table knows
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,7 +113,12 @@ def trained(labelled: DataFrame, docs_per_language: int = TRAIN_DOCS) -> Model:
     shorter = _commonest(grams, MAX_GRAMS).toArrow()
     # A label none of whose texts has a word is no language.
     languages = sorted(set(pc.unique(shorter["lang"]).to_pylist()))
-    return Model(languages, _table(known, languages, 0.5), _table(shorter, languages, 0.5))
+    size = dict.fromkeys(languages, 0)
+    for row in words.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        if row["lang"] in size:
+            size[row["lang"]] = row["n"]
+    commonest = max(range(len(languages)), key=lambda k: size[languages[k]], default=0)
+    return Model(languages, _table(known, languages, 0.5), _table(shorter, languages, 0.5), commonest)
 
 
 def _ranges(bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -166,33 +174,58 @@ class Rows(dict):
             super().clear()
             super().update(self.model.words.entries)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The gains of each language, summed over the words."""
-        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        at = _ranges(self.bounds, rows)
-        return np.bincount(self.langs[at], self.gains[at], minlength=len(self.model.languages))
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        """For each text the gains of each language, summed over its words."""
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        rows = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(sizes.sum()))
+        text = np.repeat(np.repeat(np.arange(len(texts)), sizes), self.bounds[rows + 1] - self.bounds[rows])
+        at, many = _ranges(self.bounds, rows), len(self.model.languages)
+        return np.bincount(text * many + self.langs[at], self.gains[at], minlength=len(texts) * many).reshape(len(texts), many)
+
+
+def predicted(texts: list[str | None], rows: Rows) -> list[tuple[str, float]]:
+    """Of each text the likeliest language and its share of the likelihood. Of equally likely
+    languages the first by name is named. Where no language knows a piece of any word, that is the
+    commonest one, with an even share; `und` without letters."""
+    many = len(rows.model.languages)
+    words = [WORD.findall(text.lower()) if text and many else [] for text in texts]
+    rows.trim()
+    found: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    lettered = [k for k, w in enumerate(words) if w]
+    if not lettered:
+        return found
+    scores = rows.of([words[k] for k in lettered])
+    sizes = np.array([len(words[k]) for k in lettered])
+    best = np.where(scores.any(1), scores.argmax(1), rows.model.commonest)
+    scores = scores * (np.minimum(sizes, EVIDENCE) / sizes)[:, None]
+    shares = np.exp(scores - scores.max(1, keepdims=True))
+    share = shares[np.arange(len(best)), best] / shares.sum(1)
+    for k, language, value in zip(lettered, best.tolist(), share.tolist()):
+        found[k] = rows.model.languages[language], value
+    return found
 
 
 def predict(text: str | None, rows: Rows) -> tuple[str, float]:
-    """The likeliest language and its share of the likelihood; `und` without letters, and
-    where no language knows a piece of any word."""
-    words = WORD.findall(text.lower()) if text else []
-    if not words or not rows.model.languages:
-        return UNKNOWN, 0.0
-    rows.trim()
-    scores = rows.of(words)
-    if not scores.any():
-        return UNKNOWN, 0.0
-    scores *= min(len(words), EVIDENCE) / len(words)
-    shares = np.exp(scores - scores.max())
-    best = int(scores.argmax())
-    return rows.model.languages[best], float(shares[best] / shares.sum())
+    return predicted([text], rows)[0]
+
+
+def _in_groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts that are worked on at once, of about GROUP characters together."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if size >= GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns, with `lang_pred` and `score` (0 to 1); columns of these names
-    are replaced. A text that is null, empty, has no letter or none of the model's characters
-    is `und` with score 0, as is every text when there was nothing to learn from. Whole texts count; only `text` is read."""
+    are replaced. A text that is null, empty or without a letter is `und` with score 0, as is
+    every text when there was nothing to learn from. Whole texts count; only `text` is read."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -201,15 +234,16 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def named(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = Rows(shared.value)
         for part in texts:
-            found = [predict(t, rows) for t in part.to_pylist()]
+            found = [x for group in _in_groups(part.to_pylist()) for x in predicted(group, rows)]
             yield pa.StructArray.from_arrays(
                 [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=["lang_pred", "score"],
             )
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), named(F.col("text").cast("string")).alias("_named"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), "_named.lang_pred", "_named.score")
+    made = spare("named", docs)
+    out = docs.select(*(F.col(f"`{c}`") for c in kept), named(F.col("text").cast("string")).alias(made))
+    return out.select(*(F.col(f"`{c}`") for c in kept), f"{made}.lang_pred", f"{made}.score")
 
 
 def learn_from(docs: DataFrame) -> Model:

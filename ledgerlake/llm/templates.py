@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import durable, held, text_key
+from ledgerlake.llm.common import durable, held, spare, text_key
 
 WIDTH = 5  # words in a window
 PERCENT = 80  # share of a benchmark item's windows that a document must hold
@@ -132,9 +132,9 @@ def _consistency(near: DataFrame, hits: DataFrame, keyed: DataFrame, items: Data
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows whose text is not contaminated, with their columns."""
     bad = durable(contaminated(docs, benchmark, width, percent).filter("consistent").select("node").distinct())
-    columns = docs.columns
-    keyed = docs.withColumn("_node", text_key())
-    return keyed.join(bad.withColumnRenamed("node", "_node"), "_node", "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+    columns, made = docs.columns, spare("node", docs)
+    keyed = docs.withColumn(made, text_key())
+    return keyed.join(bad.withColumnRenamed("node", made), made, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
