@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import langid, secret_scan, segmentation, superminhash, templates
-from ledgerlake.llm.common import durable, shared_folder, table, text_key
+from ledgerlake.llm.common import durable, shared_folder, spare, table, text_key
 
 LEAST_SCORE = 0.5  # of a language prediction that is believed
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no one language, go."""
-    named = langid.identified(docs, langid.learn_from(docs))
-    kept = named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    named = langid.identified(whole, langid.learn_from(docs))
+    return named.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,15 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stays. Blank texts are no copies and all stay."""
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
-    rows = docs.filter(worded).withColumn("_node", text_key())
-    rows = rows.withColumn("_row", F.unhex(F.md5(F.concat(F.col("_node"), others.cast("binary")))))
+    node, row = spare("node", docs), spare("row", docs)
+    rows = docs.filter(worded).withColumn(node, text_key())
+    rows = rows.withColumn(row, F.unhex(F.md5(F.concat(F.col(node), others.cast("binary")))))
     # The best row of each text, then of each group: copies never meet in one task.
-    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "_node", "_row")
-    best = durable(rows.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("best")))
+    order = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", node, row)
+    best = durable(rows.groupBy(F.col(node).alias("node")).agg(F.min(order).alias("best")))
     group = superminhash.families(docs, width=5, percent=80)
-    stays = durable(best.join(group, "node").groupBy("root").agg(F.min("best").alias("best")).select("best._row"))
-    one = rows.dropDuplicates(["_row"]).join(stays, "_row", "left_semi").drop("_node", "_row")
+    stays = durable(best.join(group, "node").groupBy("root").agg(F.min("best").alias("best")).select(f"best.{row}"))
+    one = rows.dropDuplicates([row]).join(stays, row, "left_semi").drop(node, row)
     return one.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(~worded))
 
 
