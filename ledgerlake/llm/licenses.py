@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,12 @@ TEMPLATES = {
         "documentation files the software to deal in the software without restriction including without limitation "
         "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
         "released under the mit license",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the software the software is provided as is without warranty of any kind express or implied including but not "
+        "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+        "shall the authors or copyright holders be liable for any claim damages or other liability whether in an action "
+        "of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software",
     ),
     "apache": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
@@ -36,71 +43,136 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that "
         "the following conditions are met redistributions of source code must retain the above copyright notice this "
         "list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution neither the "
+        "name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission",
     ),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license",),
     "cc-by-nc": ("licensed under cc by nc 4 0",),
+    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license",),
+    "cc0": (
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and "
+        "related or neighboring rights to this work",
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
+        "general public license as published by the free software foundation either version 2 1 of the license or at "
+        "your option any later version",
+    ),
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero "
+        "general public license as published by the free software foundation either version 3 of the license or at "
+        "your option any later version",
+    ),
+    "mpl": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was "
+        "not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software "
+        "is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with "
+        "the use or performance of this software",
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held "
+        "liable for any damages arising from the use of this software permission is granted to anyone to use this "
+        "software for any purpose including commercial applications and to alter it and redistribute it freely subject "
+        "to the following restrictions",
+    ),
+    "boost": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use reproduce display distribute execute and transmit "
+        "the software and to prepare derivative works of the software",
+        "distributed under the boost software license version 1 0",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish "
+        "use compile sell or distribute this software either in source code form or as a compiled binary for any "
+        "purpose commercial or non commercial and by any means",
+    ),
 }
 MANDATORY = {
-    "mit": ("mit license", "permission is hereby granted free of charge"),
+    "mit": (
+        "mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to",
+    ),
     "apache": ("apache license",),
     "gpl": ("general public license",),
-    "bsd": ("redistribution and use in source and binary forms",),
+    "bsd": ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce"),
     "cc-by": ("creative commons attribution 4 0",),
     "cc-by-nc": ("cc by nc",),
+    "cc-by-sa": ("creative commons attribution sharealike",),
+    "cc0": ("cc0",),
+    "lgpl": ("lesser general public license",),
+    "agpl": ("affero general public license",),
+    "mpl": ("mozilla public license",),
+    "isc": ("with or without fee is hereby granted",),
+    "zlib": ("without any express or implied warranty",),
+    "boost": ("boost software license", "to any person or organization obtaining a copy of the software"),
+    "unlicense": ("free and unencumbered software",),
 }
 SEEDS = 8  # rarest words of each template, of those a text holds, that are looked up
 NEAR = 4  # words by which an aligned template may shift
 AGREE = 0.6  # share of a template's seeds in the text that must agree on its place
 
-SPLITTER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+# What stands between words once A-Z are lower-cased.
+SPLITTER = r"[^0-9a-z\x80-\x{10FFFF}]++"
 VOCABULARY = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()})
+# A template in the index: its words, rarest first, and where each of them stands in it.
+INDEX = "array<struct<label:string,phrases:array<string>,words:array<string>,places:array<array<int>>>>"
 
 
-def words(text: Column) -> Column:
-    """Runs of digits, letters and characters beyond ASCII, with A-Z lower-cased."""
+def spaced(text: Column) -> Column:
+    """The words of a text, each between single blanks: runs of digits, letters and characters
+    beyond ASCII, with A-Z lower-cased. A text without words is one blank."""
     capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    pieces = F.split(F.translate(text, capitals, capitals.lower()), SPLITTER, -1)
-    # Only the first and the last piece can be empty.
-    return F.filter(pieces, lambda w: w != "")
+    # Of all other characters only these two have small forms with ASCII letters.
+    odd = text.contains("K") | text.contains("İ")
+    small = F.when(odd, F.translate(text, capitals, capitals.lower())).otherwise(F.lower(text))
+    return F.regexp_replace(F.concat(F.lit(" "), small, F.lit(" ")), SPLITTER, " ")
 
 
-def _places(at: Column, phrase: str) -> Column:
-    """Where the words of a phrase stand consecutively."""
-    parts = phrase.split()
-    last = F.size(at) - len(parts)
+def _blanks(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
-    def starts(i: Column) -> Column:
-        hit = F.get(at, i) == parts[0]
-        for k, part in enumerate(parts[1:], 1):
-            hit = hit & (F.get(at, i + k) == part)
-        return hit
 
-    found = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), starts)
-    return F.when(last >= 0, found).otherwise(F.array().cast("array<int>"))
-
-
-def _all_places(text: Column, at: Column, phrases) -> Column:
-    """_places of several phrases; the words are walked only where a text may hold one."""
-    none = F.array().cast("array<int>")
-    columns = []
-    for phrase in phrases:
-        loose = "(?i)" + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(phrase.split())
-        columns.append(F.when(text.rlike(loose), _places(at, phrase)).otherwise(none))
-    return F.concat(*columns)
+def _holds(norm: Column, phrase: Column) -> Column:
+    return F.contains(norm, F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
 def rarities(worded: DataFrame) -> list[tuple[str, float]]:
-    """(word, IDF) of the licence words over all rows with an array column `words`, rarest
-    first; ties by word. One aggregate over the table; the driver gets one number per word
-    of the templates."""
-    listed = F.array(*(F.lit(w) for w in VOCABULARY))
-    present = worded.select(F.explode(F.array_intersect(listed, F.col("words"))).alias("word"))
+    """(word, IDF) of the licence words over all rows with a column `norm` as spaced() gives,
+    rarest first; ties by word. One aggregate over the table; the driver gets one number for
+    each word of the templates."""
+    listed = F.array(*(F.lit(w) for w in VOCABULARY), F.lit(""))  # each row ends in an empty word
+    present = worded.select(F.explode(F.array_intersect(listed, F.split("norm", " "))).alias("word"))
     counts = {r["word"]: r["n"] for r in present.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    total = worded.count()
+    total = counts.get("", 0)
     idf = {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in VOCABULARY}
     return sorted(idf.items(), key=lambda x: (-x[1], x[0]))
 
 
+def index(ranked: list[str]) -> Column:
+    """The postings of all templates as one constant: word, template and place."""
+    rank = {w: k for k, w in enumerate(ranked)}
+    entries = []
+    for label, texts in TEMPLATES.items():
+        for template in texts:
+            postings: dict[str, list[int]] = {}
+            for place, word in enumerate(template.split()):
+                postings.setdefault(word, []).append(place)
+            known = sorted(postings, key=rank.__getitem__)
+            entries.append({
+                "label": label, "phrases": MANDATORY[label], "words": known, "places": [postings[w] for w in known]})
+    return F.from_json(F.lit(json.dumps(entries)), INDEX)
+
+
 def scanned(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, by row.
 
@@ -111,84 +183,68 @@ def scanned(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     begin, and the part of the seeds that agree on a place (within NEAR words) is the score; base
     labels score 1. Each template has seeds of its own, however common its words are: a text
     that holds all of a template scores 1. Null and empty texts have no words, no label and
-    score 0. Other columns are ignored."""
+    score 0. Repeated rows are judged alike, each by itself. Texts are read whole in their row,
+    whatever their length. Other columns are ignored."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    worded = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words(F.col("text")).alias("words"))
-    ranked = [w for w, _ in rarities(worded)]
-    # Only a text that may hold a mandatory phrase can get a label by its words.
-    loose = "|".join(SPLITTER.join(phrase.split()) for phrases in MANDATORY.values() for phrase in phrases)
-    worded = held(worded, hinted=F.col("text").rlike(f"(?i){loose}"))
-    # Where the licence words stand.
-    vocabulary = F.array(*(F.lit(w) for w in VOCABULARY))
-    standing = F.filter(
-        F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-        lambda x: F.array_contains(vocabulary, x["word"]),
-    )
-    worded = held(worded, standing=F.when(F.col("hinted"), standing))
-    counted = held(
-        worded, n_words=F.size("words").cast("long"), found=_aligned(F.col("text"), F.col("words"), ranked, seeds),
-        **{f"p{k}": _all_places(F.col("text"), F.col("words"), [p]) for k, p in enumerate(PHRASES)},
-    )
-    places = [f"p{k}" for k in range(len(PHRASES))]
-    labels = [F.when(F.size(p) > 0, F.lit(label)) for p, label in zip(places, PHRASES.values())]
+    worded = held(docs.select("doc_id", text.alias("text")), norm=spaced(F.col("text"))).drop("text")
+    postings = index([w for w, _ in rarities(worded)])
+    norm = F.col("norm")
+    around = {f"around{k}": F.when(_holds(norm, F.lit(p)), F.split(norm, f" {p}(?= )", -1)) for k, p in enumerate(PHRASES)}
+    # Only a template one of whose mandatory phrases is there can give a label.
+    wanted = F.filter(postings, lambda t: F.exists(t["phrases"], lambda p: _holds(norm, p)))
+    texts = held(worded, n_words=(_blanks(norm) - 1).cast("long"), wanted=wanted, **around)
+    texts = held(texts, words=F.when(F.size("wanted") > 0, F.filter(F.split(norm, " "), lambda w: w != ""))).drop("norm")
+    texts = held(texts, found=_agreed(F.col("wanted"), F.col("words"), seeds)).drop("wanted", "words")
+    # Pieces of a text around a phrase: blanks count the words before and after it.
+    first, last, labels, places = [], [], [], F.lit(0)
+    for k, (phrase, label) in enumerate(PHRASES.items()):
+        pieces = F.col(f"around{k}")
+        first.append(_blanks(F.get(pieces, F.lit(0))))
+        last.append(F.col("n_words") + 1 - _blanks(F.element_at(pieces, -1)) - len(phrase.split()))
+        labels.append(F.when(pieces.isNotNull(), F.lit(label)))
+        places = places + F.coalesce(F.size(pieces) - 1, F.lit(0))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))
-    starts = F.concat(*places)
-    counted = held(counted.drop("text", "words", "hinted", "standing"), base=base, starts=starts)
+    texts = held(
+        texts, base=base, n_base=places.cast("long"),
+        first_word=F.least(*first).cast("long"), last_word=F.greatest(*last).cast("long"))
     every = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"]))))
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["score"])), F.lit(0.0))
-    return counted.select(
-        "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
-        F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
-        F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+    return texts.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"), F.when(F.size("base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
     )
 
 
-def _aligned(text: Column, at: Column, ranked: list[str], seeds: int) -> Column:
-    """(label, score) of each template that the rarest words of a text agree on.
-
-    The templates are a fixed list, so their postings travel as literals and each text is
-    judged in its row: nothing is shuffled, whatever words are common."""
-    found = []
-    for label, texts in TEMPLATES.items():
-        needed = F.lit(False)
-        for phrase in MANDATORY[label]:
-            loose = "(?i)" + SPLITTER.join(phrase.split())
-            needed = needed | F.when(text.rlike(loose), F.size(_places(at, phrase)) > 0).otherwise(False)
-        scores = [_agreement(template.split(), at, ranked, seeds) for template in texts]
-        score = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        found.append(F.when(needed, F.struct(F.lit(label).alias("label"), score.alias("score"))))
-    agreed = F.filter(F.array_compact(F.array(*found)), lambda x: x["score"] >= AGREE)
-    return F.when(F.col("hinted"), agreed).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
-
-
-def _agreement(template: list[str], at: Column, ranked: list[str], seeds: int) -> Column:
-    """The largest part of the seeds, the rarest words of the template that the text holds,
-    which put its beginning at one place."""
-    postings: dict[str, list[int]] = {}
-    for place, word in enumerate(template):
-        postings.setdefault(word, []).append(place)
-    known = F.array(*(F.lit(w) for w in postings))
-    where = F.array(*(F.array(*(F.lit(p) for p in places)) for places in postings.values()))
-    rarest = F.array(*(F.lit(w) for w in ranked if w in postings))
-    chosen = F.slice(F.array_intersect(rarest, at), 1, seeds)
-    # The beginnings that each standing word votes for.
-    begins = F.flatten(F.transform(
-        F.filter("standing", lambda x: F.array_contains(chosen, x["word"])),
-        lambda x: F.transform(
-            F.get(where, F.array_position(known, x["word"]).cast("int") - 1),
-            lambda p: F.struct((x["place"] - p).alias("begin"), x["word"].alias("word")))))
-    # Votes in order of their beginning: those of a stretch of NEAR words are neighbours.
-    best = F.aggregate(
-        F.array_sort(begins),
-        F.struct(F.array().cast("array<struct<begin:int,word:string>>").alias("near"), F.lit(0).alias("most")),
-        lambda at, b: _step(at, b),
-        lambda at: at["most"],
-    )
-    return F.when(F.size(chosen) > 0, F.coalesce(best, F.lit(0)) / F.size(chosen)).otherwise(F.lit(0.0))
+def _agreed(wanted: Column, at: Column, seeds: int) -> Column:
+    """(label, score) of the templates whose seeds agree on a place: see scanned(). Each step
+    is an array of its own, so that nothing is worked out once for every word."""
+    looked_up = F.transform(wanted, lambda t: F.struct(
+        t["label"].alias("label"), t["words"].alias("known"), t["places"].alias("places"),
+        F.slice(F.array_intersect(t["words"], at), 1, seeds).alias("chosen")))
+    standing = F.transform(looked_up, lambda t: F.struct(
+        t["label"].alias("label"), F.size(t["chosen"]).alias("size"),
+        F.transform(t["chosen"], lambda w: F.get(t["places"], F.array_position(t["known"], w).cast("int") - 1)).alias("places"),
+        F.filter(
+            F.transform(at, lambda w, i: F.struct(F.array_position(t["chosen"], w).cast("int").alias("seed"), i.alias("place"))),
+            lambda x: x["seed"] > 0).alias("seen")))
+    # The beginnings that each standing word votes for, in order: those of a stretch of NEAR
+    # words are neighbours.
+    voted = F.transform(standing, lambda t: F.struct(
+        t["label"].alias("label"), t["size"].alias("size"),
+        F.array_sort(F.flatten(F.transform(t["seen"], lambda x: F.transform(
+            F.get(t["places"], x["seed"] - 1),
+            lambda p: F.struct((x["place"] - p).alias("begin"), x["seed"].alias("seed")))))).alias("votes")))
+    none = F.array().cast("array<struct<begin:int,seed:int>>")
+    scored = F.transform(voted, lambda t: F.struct(
+        t["label"].alias("label"),
+        F.when(t["size"] > 0, F.aggregate(
+            t["votes"], F.struct(none.alias("near"), F.lit(0).alias("most")), _step, lambda s: s["most"]) / t["size"],
+        ).otherwise(F.lit(0.0)).alias("score")))
+    return F.when(F.size(wanted) > 0, F.filter(scored, lambda t: t["score"] >= AGREE)).otherwise(
+        F.array().cast("array<struct<label:string,score:double>>"))
 
 
 def _step(at: Column, vote: Column) -> Column:
     near = F.concat(F.filter(at["near"], lambda x: x["begin"] >= vote["begin"] - NEAR), F.array(vote))
-    words_near = F.size(F.array_distinct(F.transform(near, lambda x: x["word"])))
-    return F.struct(near.alias("near"), F.greatest(at["most"], words_near).alias("most"))
+    different = F.size(F.array_distinct(F.transform(near, lambda x: x["seed"])))
+    return F.struct(near.alias("near"), F.greatest(at["most"], different).alias("most"))
