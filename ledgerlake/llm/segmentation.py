@@ -23,6 +23,7 @@ BYTE_LOSS = 3.0  # a byte is so much (natural log) less likely than the rarest p
 LONGEST = 16  # characters in the longest piece
 CODES = 1 << 21  # more than there are code points
 STORED = 4_000_000  # edges of lattices that are remembered
+DRAWS = 999_983  # tells a row's further random numbers from those of its walks
 CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 EDGE_KINDS = (("reached", np.float64), ("to", np.int32), ("id", np.int32), ("log", np.float64))
 
@@ -155,6 +156,12 @@ class Lattices:
             late = late[reached[edge[late]] <= u[late]]
         return edge
 
+    def picked_one(self, node: int, u: float) -> int:
+        reached, edge = self.edges["reached"], int(self.begin[node])
+        while reached[edge] <= u:
+            edge += 1
+        return edge
+
     def siblings(self, edge: int) -> np.ndarray:
         """All edges of the node that an edge leaves."""
         node = int(np.searchsorted(self.begin, edge, side="right")) - 1
@@ -187,89 +194,95 @@ def _walk(lattices: Lattices, starts: np.ndarray, seeds: np.ndarray, counters: n
     return edges, bounds
 
 
-class _Draws:
-    """The further random numbers of one row, in order."""
-
-    def __init__(self, seed: int):
-        self.seed, self.count = np.array([seed], dtype=np.uint64), 0
-
-    def one(self) -> float:
-        return float(self.many(1)[0])
-
-    def many(self, n: int) -> np.ndarray:
-        at = np.arange(self.count, self.count + n)
-        self.count += n
-        return _uniform(self.seed, at, 999_983)
-
-
-def _top(lattices: Lattices, paths: list, seed: int, samples: int) -> list[tuple]:
-    """The first `samples` segmentations of one text in order of their perturbed log
-    probability, and the log of each one's inclusion probability.
-
-    A* over subtrees of the lattice's paths: the Gumbel of a subtree's best path is -ln of the
-    arrival time of a Poisson process whose rate is the subtree's probability, so the queue
-    holds arrival times, least first. When a path arrives, every node on it leaves behind the
-    subtree of its other edges, whose next arrival is later by an exponential time of its own
-    rate. The queue's next time, beyond the last sample, is the threshold for inclusion."""
+_ALL = 2**64 - 1
+
+
+def _mixed(x: int) -> int:
+    """mix() of one number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _ALL
+    return x ^ (x >> 31)
+
+
+class _Row:
+    """One text on its way: what was drawn, its queue, and how many random numbers it took."""
+
+    def __init__(self, seed: int, path: np.ndarray):
+        self.seed, self.taken = seed, 0
+        self.queue: list = []
+        self.out = [path]
+        self.time = -math.log(self.draw())
+
+    def draw(self) -> float:
+        """The next number in (0, 1); as _uniform() gives."""
+        drawn = _mixed(_mixed(self.seed + self.taken * int(GOLDEN) & _ALL) + (DRAWS + 1) * int(GOLDEN) & _ALL)
+        self.taken += 1
+        return ((drawn >> 12) + 0.5) * 2.0**-52
+
+
+def _leave(lattices: Lattices, rows: list[_Row], since: list[int], samples: int) -> None:
+    """Queue the side branches of each row's newest path from a position on; only the soonest
+    of a path can ever be wanted. The branches of all rows are weighed at once."""
+    paths = [row.out[-1] for row in rows]
+    sizes = np.array([max(0, len(p) - s) for p, s in zip(paths, since)], dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    if not bounds[-1]:
+        return
+    own, before = np.empty(bounds[-1]), np.empty(bounds[-1])
+    for k, (path, start) in enumerate(zip(paths, since)):
+        logs = lattices.edges["log"][path]
+        own[bounds[k] : bounds[k + 1]] = logs[start:]
+        before[bounds[k] : bounds[k + 1]] = (np.cumsum(logs) - logs)[start:]
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    seeds = np.repeat(np.array([row.seed for row in rows], dtype=np.uint64), sizes)
+    u = _uniform(seeds, place + np.repeat([row.taken for row in rows], sizes), DRAWS)
+    with np.errstate(divide="ignore", over="ignore"):
+        gaps = np.exp(np.log(-np.log(u)) - (before + np.log1p(-np.exp(own))))
+    times = np.repeat([row.time for row in rows], sizes) + gaps
+    for k, (row, path, start) in enumerate(zip(rows, paths, since)):
+        here = times[bounds[k] : bounds[k + 1]]
+        row.taken += len(here)
+        few = min(samples, len(here))
+        for s in np.argpartition(here, few - 1)[:few].tolist() if few else ():
+            if math.isfinite(here[s]):
+                heapq.heappush(row.queue, (float(here[s]), len(row.out) - 1, start + s, (int(path[start + s]),), len(row.queue), path))
+
+
+def _branch(lattices: Lattices, row: _Row) -> tuple[np.ndarray, int, int]:
+    """Take the next arrival off a row's queue: the new path up to the end of the chunk where
+    it leaves its parent, where it does, and how many chunks it has so far."""
     log, to = lattices.edges["log"], lattices.edges["to"]
-    draws = _Draws(seed)
-    queue: list = []
-    out: list = []
-
-    def leave(path: np.ndarray, since: int, time: float) -> None:
-        """Queue the side branches of a path from position `since` on; only the soonest can
-        ever be wanted."""
-        if since >= len(path):
-            return
-        own = log[path]
-        before = (np.cumsum(own) - own)[since:]
-        with np.errstate(divide="ignore", over="ignore"):
-            rate = before + np.log1p(-np.exp(own[since:]))
-            times = time + np.exp(np.log(-np.log(draws.many(len(path) - since))) - rate)
-        few = min(samples, len(times))
-        for s in np.argpartition(times, few - 1)[:few].tolist():
-            if math.isfinite(times[s]):
-                heapq.heappush(queue, (float(times[s]), len(out), since + s, (int(path[since + s]),), len(queue), path))
-
-    time = -math.log(draws.one())
-    path = paths[0]
-    out.append(path)
-    leave(path, 0, time)
-    while queue and len(out) < samples:
-        time, _, at, excluded, _, parent = heapq.heappop(queue)
-        others = np.array([e for e in lattices.siblings(excluded[0]).tolist() if e not in excluded])
-        weight = np.exp(log[others])
-        reached = np.cumsum(weight)
-        chosen = min(int(np.searchsorted(reached, draws.one() * reached[-1])), len(others) - 1)
-        edge = int(others[chosen])
-        tail = [edge]
-        while to[tail[-1]] >= 0:
-            tail.append(int(lattices.picked(to[tail[-1:]], draws.many(1))[0]))
-        fresh = paths[len(out)]
-        chunk = int(np.searchsorted(_ends(lattices, parent), at, side="right"))
-        path = np.concatenate([parent[:at], tail, fresh[_ends(lattices, fresh)[chunk]:]]).astype(np.int64)
-        left = weight.sum() - weight[chosen]
-        if len(others) > 1 and left > 0:
-            rate = float(log[parent[:at]].sum()) + math.log(left)
-            gap = math.log(-math.log(draws.one())) - rate
-            if gap < 700:
-                heapq.heappush(queue, (time + math.exp(gap), len(out), at, (*excluded, edge), len(queue), parent))
-        out.append(path)
-        leave(path, at + 1, time)
-    limit = math.log(queue[0][0]) if queue else math.inf
+    row.time, _, at, excluded, _, parent = heapq.heappop(row.queue)
+    others = np.array([e for e in lattices.siblings(excluded[0]).tolist() if e not in excluded])
+    weight = np.exp(log[others])
+    reached = np.cumsum(weight)
+    chosen = min(int(np.searchsorted(reached, row.draw() * reached[-1])), len(others) - 1)
+    edge = int(others[chosen])
+    tail = [edge]
+    while (node := int(to[tail[-1]])) >= 0:
+        tail.append(lattices.picked_one(node, row.draw()))
+    left = weight.sum() - weight[chosen]
+    if len(others) > 1 and left > 0:
+        rate = float(log[parent[:at]].sum()) + math.log(left)
+        gap = math.log(-math.log(row.draw())) - rate
+        if gap < 700:
+            heapq.heappush(row.queue, (row.time + math.exp(gap), len(row.out), at, (*excluded, edge), len(row.queue), parent))
+    path = np.concatenate([parent[:at], tail]).astype(np.int64)
+    return path, at, int(np.count_nonzero(to[path] < 0))
+
+
+def _scored(lattices: Lattices, row: _Row) -> list[tuple]:
+    """Each path of a row with its log probability and that of its inclusion. The queue's next
+    time, beyond the last sample, is the threshold."""
+    limit = math.log(row.queue[0][0]) if row.queue else math.inf
     scored = []
-    for path in out:
-        total = float(log[path].sum())
+    for path in row.out:
+        total = float(lattices.edges["log"][path].sum())
         reach = total + limit
         scored.append((path, total, 0.0 if reach > 3 else math.log(-math.expm1(-math.exp(reach))) if reach > -30 else reach))
     return scored
 
 
-def _ends(lattices: Lattices, path: np.ndarray) -> np.ndarray:
-    """Where the chunks of a path end."""
-    return np.flatnonzero(lattices.edges["to"][path] < 0) + 1
-
-
 def chunks(text: str) -> list[str]:
     if not text:
         return []
@@ -278,7 +291,14 @@ def chunks(text: str) -> list[str]:
 
 def sampled(lattices: Lattices, texts: Sequence[str], keys: np.ndarray, samples: int) -> list[list[tuple]]:
     """Per text its (ids, log probability, log inclusion probability), best first; `keys`
-    are the rows' 64-bit seeds. An empty text has one segmentation, of no piece."""
+    are the rows' 64-bit seeds. An empty text has one segmentation, of no piece.
+
+    A* over subtrees of the lattice's paths: the Gumbel of a subtree's best path is -ln of the
+    arrival time of a Poisson process whose rate is the subtree's probability, so a row's queue
+    holds arrival times, least first. When a path arrives, every node on it leaves behind the
+    subtree of its other edges, whose next arrival is later by an exponential time of its own
+    rate. All rows of a batch take one sample at a time, each of them walking only the chunks
+    behind the one where it leaves its parent."""
     if len(lattices.edges["to"]) > STORED:
         lattices.forget()
     split = [chunks(t) for t in texts]
@@ -287,18 +307,24 @@ def sampled(lattices: Lattices, texts: Sequence[str], keys: np.ndarray, samples:
     begins = np.concatenate([[0], np.cumsum(sizes)])
     seeds = np.repeat(keys, sizes)
     counters = np.arange(len(starts)) - np.repeat(begins[:-1], sizes)
-    walks = [_walk(lattices, starts, seeds, counters, r) for r in range(samples)]
-    out = []
-    for k in range(len(texts)):
-        if not sizes[k]:
-            out.append([(np.empty(0, dtype=np.int64), 0.0, 0.0)])
-            continue
-        paths = [edges[bounds[begins[k]] : bounds[begins[k + 1]]] for edges, bounds in walks]
-        out.append([
-            (_ids(lattices, path), total, inclusion)
-            for path, total, inclusion in _top(lattices, paths, int(keys[k]), samples)
-        ])
-    return out
+    edges, bounds = _walk(lattices, starts, seeds, counters, 0)
+    rows = {k: _Row(int(keys[k]), edges[bounds[begins[k]] : bounds[begins[k + 1]]]) for k in np.flatnonzero(sizes).tolist()}
+    _leave(lattices, list(rows.values()), [0] * len(rows), samples)
+    for r in range(1, samples):
+        open_rows = [k for k, row in rows.items() if row.queue]
+        branches = [_branch(lattices, rows[k]) for k in open_rows]
+        further = [np.arange(begins[k] + done, begins[k + 1]) for k, (_, _, done) in zip(open_rows, branches)]
+        those = np.concatenate([np.empty(0, dtype=np.int64), *further])
+        edges, bounds = _walk(lattices, starts[those], seeds[those], counters[those], r)
+        ends = np.concatenate([[0], np.cumsum([len(f) for f in further])]).astype(np.int64)
+        for k, (path, _, _), one, other in zip(open_rows, branches, ends[:-1], ends[1:]):
+            rows[k].out.append(np.concatenate([path, edges[bounds[one] : bounds[other]]]))
+        _leave(lattices, [rows[k] for k in open_rows], [at + 1 for _, at, _ in branches], samples)
+    empty = [(np.empty(0, dtype=np.int64), 0.0, 0.0)]
+    return [
+        [(_ids(lattices, path), *numbers) for path, *numbers in _scored(lattices, rows[k])] if k in rows else empty
+        for k in range(len(texts))
+    ]
 
 
 def _ids(lattices: Lattices, path: np.ndarray) -> np.ndarray:
@@ -321,6 +347,16 @@ def decoded(pieces: list[str], ids: Sequence[int]) -> str:
     return raw.decode()[1:]
 
 
+_LATTICES: list[Lattices] = []
+
+
+def _kept(pieces: list[str]) -> Lattices:
+    """The lattices that this worker built for its last task, if of the same vocabulary."""
+    if not _LATTICES or _LATTICES[0].pieces != pieces:
+        _LATTICES[:] = [Lattices(pieces)]
+    return _LATTICES[0]
+
+
 def segmentations(
     docs: DataFrame, pieces: list[str], samples: int = SAMPLES, seed: int = 0, key: str = "doc_id"
 ) -> DataFrame:
@@ -329,7 +365,8 @@ def segmentations(
 
     The draws depend on the row's key, the seed and the text alone, so a repeated row or task
     gives the same again. A null key draws by the text. Null and empty texts have one empty
-    segmentation. Whole texts are encoded; other columns are ignored."""
+    segmentation. Whole texts are encoded, a very long one in its row's task, in memory in
+    proportion to it; repeated rows are drawn alike; other columns are ignored."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 250)
     shared = spark.sparkContext.broadcast(pieces)
@@ -340,7 +377,7 @@ def segmentations(
     )
 
     def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(shared.value)
+        lattices = _kept(shared.value)
         for part in parts:
             keys = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             found = sampled(lattices, part.column("text").to_pylist(), keys, samples)
