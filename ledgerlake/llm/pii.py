@@ -138,10 +138,12 @@ def candidates(text: str) -> list[tuple]:
     """(kind, start, end, strict, votes, features). Loose ones touch no base span."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    taken = list(base)
+    taken = bytearray(len(text))
+    for _, start, end in base:
+        taken[start:end] = b"\x01" * (end - start)
     for kind, start, end in loose_spans(text):
-        if all(end <= s or e <= start for _, s, e in taken):
-            taken.append((kind, start, end))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\x01" * (end - start)
             out.append((kind, start, end, False))
     return [(k, s, e, strict, votes(text, k, s, e, strict), features(text, k, s, e)) for k, s, e, strict in out]
 
