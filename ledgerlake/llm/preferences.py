@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlake.llm.common import durable
+from ledgerlake.llm.sketches import successors
+
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"  # the role whose words a completion teaches
+BLOCK_BITS = 9  # conversations whose ids agree but for so many bits make a block
 
 
 def _rendered(role: Column, text: Column) -> Column:
@@ -37,7 +41,11 @@ def formatted(turns: DataFrame) -> DataFrame:
     )
     said = lambda side: F.transform(
         F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("turn", "said")))), lambda t: t["said"]).alias(side)
-    paired = rows.distinct().groupBy("pair_id").agg(said("chosen"), said("rejected"))
+    return _rendered_pairs(rows.distinct().groupBy("pair_id").agg(said("chosen"), said("rejected")))
+
+
+def _rendered_pairs(paired: DataFrame) -> DataFrame:
+    """formatted() of rows pair_id, chosen, rejected: arrays of (role, text) in order."""
     least = F.least(F.size("chosen"), F.size("rejected"))
     places = F.when(least > 0, F.sequence(F.lit(0), least - 1)).otherwise(F.array().cast("array<int>"))
     differs = F.filter(places, lambda i: F.get("chosen", i) != F.get("rejected", i))
@@ -67,28 +75,53 @@ def _mask(side: str) -> Column:
     return F.aggregate(side, F.struct(F.lit(0).alias("place"), none.alias("spans")), step, lambda at: at["spans"])
 
 
-def pairs_of(conversations: DataFrame) -> DataFrame:
-    """Preference pairs from a table of conversations, as `turns` for formatted(): a
-    conversation as it is was chosen; in the rejected one the last assistant turn says
-    what the assistant says in the turn of the same number of the conversation before it by
-    conv_id, or nothing if there is none. Of different assistant turns with one number the
-    first by text answers to the first, the second to the second. Repeated rows count once.
-    Conversations without assistant have equal sides."""
+def _sides(conversations: DataFrame) -> DataFrame:
+    """pair_id, chosen, rejected: arrays of (turn, role, text) in order; see pairs_of().
+
+    Texts move once, to the block of their conv_id. The conversation before the first of a
+    block is the last one of the nearest block below that has any: its assistant turns are
+    sent along."""
     said = conversations.filter("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).distinct()
-    place = F.row_number().over(Window.partitionBy("conv_id", "turn", "role").orderBy("text"))
-    known = said.withColumn("place", place)
-    taught = known.filter(F.col("role") == TRAINED)
-    last = taught.groupBy("conv_id").agg(F.max(F.struct("turn", "place")).alias("at")).select("conv_id", "at.turn", "at.place")
-    other = taught.select((F.col("conv_id") + 1).alias("conv_id"), "turn", "place", F.col("text").alias("other"))
-    changed = last.join(other, ["conv_id", "turn", "place"], "left").select(
-        "*", F.lit(TRAINED).alias("role"), F.lit(True).alias("last"))
-    rejected = known.join(changed, ["conv_id", "turn", "role", "place"], "left").select(
-        "conv_id", F.lit("rejected").alias("side"), "turn", "role",
-        F.when(F.col("last"), F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"),
     )
-    chosen = known.select("conv_id", F.lit("chosen").alias("side"), "turn", "role", "text")
-    return chosen.union(rejected).withColumnRenamed("conv_id", "pair_id")
+    block = F.shiftright("conv_id", BLOCK_BITS)
+    lasts = durable(said.groupBy(block.alias("block")).agg(F.max("conv_id").alias("conv_id")))
+    lowest, highest = lasts.agg(F.min("block"), F.max("block")).first()
+    above = successors(lasts.select("block"), lowest or 0, highest or 0)
+    sent = durable(lasts.join(above, "block").filter("above is not null").select("conv_id", F.col("above").alias("block")))
+    before = said.filter(F.col("role") == TRAINED).join(sent, "conv_id").select(*said.columns, "block")
+    rows = said.withColumn("block", block).unionByName(before).repartition("block")
+    # Grouping and window keep the rows where they are.
+    talks = rows.groupBy("block", "conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("chosen"))
+    taught = F.filter("chosen", lambda t: t["role"] == TRAINED)
+    talks = talks.withColumn("taught", taught)
+    talks = talks.withColumn("earlier", F.lag("taught").over(Window.partitionBy("block").orderBy("conv_id")))
+    talks = talks.filter(F.col("block") == block).withColumn("last", F.element_at(F.when(F.size("taught") > 0, F.col("taught")), -1))
+    place = F.size(F.filter("taught", lambda t: t["turn"] == F.col("last.turn")))
+    same = F.filter("earlier", lambda t: t["turn"] == F.col("last.turn"))
+    talks = talks.withColumn("other", F.coalesce(F.get(same, place - 1)["text"], F.lit("")))
+    changed = F.transform("chosen", lambda t: F.when(
+        t == F.col("last"), F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
+    return talks.select(F.col("conv_id").alias("pair_id"), "chosen", F.array_sort(F.array_distinct(changed)).alias("rejected"))
+
+
+def pairs_of(conversations: DataFrame) -> DataFrame:
+    """Preference pairs from a table of conversations, as `turns` for formatted(): a
+    conversation as it is was chosen; in the rejected one the last assistant turn says
+    what the assistant says in the turn of the same number of the conversation before it, which
+    has the next smaller conv_id there is, or nothing if there is none. Of different assistant
+    turns with one number the first by text answers to the first, the second to the second.
+    Repeated rows count once. Conversations without assistant have equal sides; rows without
+    conv_id are left out. An empty table gives no rows; other columns are ignored."""
+    sides = _sides(conversations)
+    listed = lambda side: sides.select("pair_id", F.lit(side).alias("side"), F.explode(side).alias("t")).select(
+        "pair_id", "side", "t.turn", "t.role", "t.text")
+    return listed("chosen").union(listed("rejected"))
+
+
+def pairs(conversations: DataFrame) -> DataFrame:
+    """formatted(pairs_of(conversations)), without grouping the turns again."""
+    bare = lambda side: F.transform(side, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(side)
+    return _rendered_pairs(_sides(conversations).select("pair_id", bare("chosen"), bare("rejected")))

@@ -33,7 +33,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.formatted(preferences.pairs_of(table(spark, sf_dir, "conversations")))
+    return preferences.pairs(table(spark, sf_dir, "conversations"))
 
 
 def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
