@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ledgerlake.llm.common import durable, shingle_sets, small_batches, text_bytes, text_key
 
 WIDTH = 5  # words in a shingle
-SCALE = 8  # one hash in so many is kept
+SCALE = 2  # one hash in so many is kept; short texts need many to be seen in long ones
 BLOCK = 512  # doc_ids in a block
 DIGIT = 10  # bits of a block number that one window sees
 
@@ -26,7 +26,8 @@ OUT = {
 
 def sketch(elements: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The hashes below 2^64 / scale, sorted; the least one if none is. Sketches of two
-    sets merge into that of their union: see `merged`."""
+    sets merge into that of their union: see `merged`. A least one above the threshold only
+    tells equal sets from others; of n shingles none is below it once in (scale / (scale - 1))^n."""
     if not len(elements):
         return elements
     kept = elements[elements < np.uint64(2**64 // scale)]
@@ -40,7 +41,8 @@ def merged(one: np.ndarray, other: np.ndarray, scale: int = SCALE) -> np.ndarray
 
 def contained(one: np.ndarray, other: np.ndarray) -> float:
     """How much of the smaller set the larger one holds, 0 to 1, as the sketches tell.
-    Two empty sets are alike; an empty and another one are not."""
+    Two empty sets are alike; an empty and another one are not. Nothing is known of a set
+    without a hash below the threshold but whether it is the same: 0 beside any other."""
     least = min(len(one), len(other))
     if not least:
         return float(len(one) == len(other))
@@ -126,6 +128,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, block:
     doc_id (after the last: the first). The edit replaces the last floor(n_chars / 3) code
     points by the first as many of the next document. Null texts are empty; rows of the same
     doc_id follow each other by text; rows without doc_id come last. Other columns are ignored.
+    Of a text with few shingles (under ten or so) the sketch may hold none: see sketch().
 
     Texts move once: to the block of their doc_id, at most `block` numbers wide. The first
     document of each block also goes to the block above it, whose last document it follows."""
