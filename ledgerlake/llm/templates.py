@@ -2,8 +2,9 @@
 
 A template is a text whose numbers, names and units are replaced by typed placeholders, so a
 question whose figures were changed keeps its template. Windows of template words are joined by
-hash; what stood in the slots is then compared: wherever the benchmark repeats a value, the
-document must repeat its own."""
+hash and counted copy by copy; what stood in the slots of a copy is then compared: wherever the
+benchmark repeats a value, the document must repeat its own. Items of one template are looked up
+once, however many there are."""
 
 from __future__ import annotations
 
@@ -14,8 +15,8 @@ from ledgerlake.llm.common import durable, held, spare, text_key
 
 WIDTH = 5  # words in a window
 PERCENT = 80  # share of a benchmark item's windows that a document must hold
-LITERAL = 2  # words of a window that are no placeholders, at least
-MAX_BROADCAST = 1_000_000  # benchmark windows that are sent to every executor, at most
+LITERAL = 2  # words that are no placeholders, at least, of a window whose figures may change
+MAX_BROADCAST = 1_000_000  # windows of 28 bytes that are sent to every executor, at most
 
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "\u0003"  # placeholders
 # Units of measure and money.
@@ -52,103 +53,159 @@ def _slot(word: Column) -> Column:
     return word.isin(NAME, UNIT, NUMBER)
 
 
-def _templated(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, place, window): where each window of each text stands, by its hash. A window
-    with too few literal words tells nothing and is left out; a template shorter than a
-    window has one window, all of it."""
-    texts = held(rows.select(key, "text"), words=canonical(F.col("text"))).drop("text")
+def _windowed(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, size, windows, bare): of each text how many words it has, a hash for each window, and
+    whether that window is bare, with too few literal words. A bare window would match any list of
+    figures, so its hash is that of the words themselves. A text shorter than a window has one
+    window, all of it; one without words has none and is left out."""
+    texts = held(rows.select(key, "text"), kinds=canonical(F.col("text"))).filter(F.size("kinds") > 0)
     texts = held(
-        texts.filter(F.size("words") > 0),
-        hashes=F.transform("words", lambda w: F.xxhash64(w)),
-        slots=F.transform("words", lambda w: _slot(w).cast("int")),
-    ).drop("words")
-    window = lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(width)))
+        texts,
+        hashes=F.transform("kinds", lambda w: F.xxhash64(w)),
+        slots=F.transform("kinds", lambda w: _slot(w).cast("int")),
+    ).drop("kinds")
     filled = lambda i: sum((F.coalesce(F.get("slots", i + k), F.lit(0)) for k in range(1, width)), F.get("slots", i))
-    windows = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("hashes") - width, F.lit(0))),
-        lambda i: F.when(filled(i) <= width - LITERAL, window(i)),
+    places = F.sequence(F.lit(0), F.greatest(F.size("hashes") - width, F.lit(0)))
+    texts = held(texts, bare=F.transform(places, lambda i: filled(i) > width - LITERAL))
+    # Few texts have bare windows, and only those are cut into words again.
+    texts = held(texts, said=F.when(
+        F.array_contains("bare", True), F.transform(words(F.col("text")), lambda w: F.xxhash64(F.lower(w)))))
+    window = lambda hashes, i, *seed: F.xxhash64(*(F.get(hashes, i + k) for k in range(width)), *seed)
+    windows = F.transform("bare", lambda b, i: F.when(b, window("said", i, F.lit("bare"))).otherwise(window("hashes", i)))
+    return texts.select(key, F.size("hashes").alias("size"), windows.alias("windows"), "bare")
+
+
+def _slots(text: Column) -> Column:
+    """(place, value) of each slot of a text, in order; values in small letters."""
+    both = F.arrays_zip(canonical(text).alias("kind"), words(text).alias("value"))
+    placed = F.transform(both, lambda w, i: F.struct(i.alias("place"), F.lower(w["value"]).alias("value"), _slot(w["kind"]).alias("slot")))
+    return F.filter(placed, lambda w: w["slot"])
+
+
+def shapes(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item_id, shape, template, size, windows, bare, repeats): each item with its template, a
+    digest of its windows, and its shape, the template with the pattern of its values: `repeats` lists
+    the places of each value that stands in several slots. Items of one shape are found
+    alike. Rows without item_id or without words are left out; repeated ones count once."""
+    items = durable(benchmark.filter("item_id is not null and text is not null").select(
+        "item_id", F.col("text").cast("string").alias("text"), text_key().alias("key")).distinct())
+    texts = items.select("key", "text").dropDuplicates(["key"])
+    slots = texts.select("key", F.explode(_slots(F.col("text"))).alias("s")).select("key", "s.value", "s.place")
+    repeats = (
+        slots.groupBy("key", "value").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        .filter(F.size("places") > 1)
+        .groupBy("key").agg(F.sort_array(F.collect_list("places")).alias("repeats"))
     )
-    return texts.select(key, F.posexplode(windows).alias("place", "window")).filter("window is not null")
+    cut = _windowed(texts, "key", width).join(repeats, "key", "left").withColumn(
+        "repeats", F.coalesce("repeats", F.array().cast("array<array<int>>")))
+    digest = F.md5(F.array_join(F.col("windows").cast("array<string>"), " "))
+    pattern = F.to_json("repeats")
+    shaped = cut.select(
+        "key", F.unhex(F.md5(F.concat(digest, pattern))).alias("shape"), F.unhex(digest).alias("template"),
+        "size", "windows", "bare", "repeats",
+    )
+    return items.select("item_id", "key").join(shaped, "key").drop("key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(node, item_id, share, consistent): texts (by text_key) that hold a template of the
-    benchmark. `share` is the part of the item's distinct windows found in the text, at least
-    percent / 100; `consistent` says that the slots fit: the fullest copy of the item's template
-    in the text fills equal slots of the item with equal values of its own. Only those count as
-    contamination. Null and empty texts, and items without words or with too few literal
-    words, match nothing; repeated rows match alike; items without item_id are left out."""
-    items = benchmark.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    of_item = durable(_templated(items, "item_id", width))
-    wanted = of_item.groupBy("item_id").agg(F.countDistinct("window").alias("wanted"))
-    searched = of_item.select("item_id", F.col("place").alias("item_place"), "window")
+    """(node, shape, share): texts (by text_key) that hold a copy of a benchmark template whose
+    slots fit; see `shapes` for the items of a shape. A copy is a place of the text where windows of
+    the template stand as far from each other as in the template, but for words put in or left out: as many as
+    100 - percent in a hundred of the template's, one at least (where they come near twice that, it
+    depends on the place). `share` is the part of the template's distinct windows that the best
+    such copy has, at least percent / 100. Its slots fit if equal slots of the item hold equal values
+    of the text. Any copy that fits is enough.
+
+    Bare windows count only for items at least half of whose windows are bare; their figures must be the item's own.
+    Null and empty texts, and texts without words, match nothing; repeated rows match alike. An
+    item shorter than a window is found only where it is all of a text. Both tables may be empty."""
+    known = durable(shapes(benchmark, width))
+    templates = known.dropDuplicates(["template"]).select("template", "size", F.arrays_zip("windows", "bare").alias("w"))
+    mostly_bare = F.size(F.filter("w", lambda w: w["bare"])) * 2 >= F.size("w")
+    templates = templates.withColumn("all", mostly_bare).select("template", "size", "all", F.posexplode("w").alias("item_place", "w"))
+    templates = durable(templates.filter(F.col("all") | ~F.col("w.bare")).select(
+        "template", "size", "item_place", F.col("w.windows").alias("window")))
+    wanted = templates.groupBy("template", "size").agg(F.countDistinct("window").alias("wanted"))
+    searched = templates.select("template", "item_place", "window")
     if searched.count() <= MAX_BROADCAST:
         searched = F.broadcast(searched)
     texts = docs.filter("text is not null").select(F.col("text").cast("string").alias("text"))
     keyed = texts.select(text_key().alias("node"), "text")
-    hits = _templated(keyed, "node", width).join(searched, "window")
-    hits = durable(hits.select("node", "item_id", "place", "item_place", "window").distinct())
-    found = hits.groupBy("node", "item_id").agg(F.countDistinct("window").alias("found"))
-    near = durable(
-        found.join(wanted, "item_id").filter(F.col("found") * 100 >= F.col("wanted") * percent)
-        .select("node", "item_id", (F.col("found") / F.col("wanted")).alias("share"))
+    placed = _windowed(keyed, "node", width).select("node", F.posexplode("windows").alias("place", "window"))
+    hits = durable(placed.join(searched, "window").distinct())
+    near, hits = _copies(hits, wanted, percent)
+    return _fitting(near, hits, keyed, known, width)
+
+
+def _copies(hits: DataFrame, wanted: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, template, copy, share) of copies that have enough windows, and the hits of each.
+    Windows that say the template begins within one stretch of the text make one copy.
+    Stretches overlap by half, so what is no further apart than that half shares one."""
+    slack = F.greatest(F.lit(1), F.floor(F.col("size") * (100 - percent) / 100)).cast("int")
+    begun = hits.join(wanted, "template").select("*", F.floor((F.col("place") - F.col("item_place")) / slack).alias("part"))
+    copies = begun.select(
+        "node", "template", "place", "item_place", "window", "wanted",
+        F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("copy"),
     )
-    return _consistency(near, hits, keyed, items, width)
-
-
-def _consistency(near: DataFrame, hits: DataFrame, keyed: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """Line up each text with its items, copy by copy, and compare what fills the slots."""
-    # Windows that say the template begins at one place make one copy of it.
-    begins = hits.join(near.select("node", "item_id"), ["node", "item_id"]).select(
-        "node", "item_id", "place", "item_place", (F.col("place") - F.col("item_place")).alias("begin")
+    found = copies.groupBy("node", "template", "copy", "wanted").agg(F.countDistinct("window").alias("found"))
+    near = durable(
+        found.filter(F.col("found") * 100 >= F.col("wanted") * percent)
+        .select("node", "template", "copy", (F.col("found") / F.col("wanted")).alias("share"))
     )
-    pairs = begins.select(
-        "node", "item_id", "begin",
-        F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"), "place", "item_place",
-    ).select("node", "item_id", "begin", (F.col("place") + F.col("k")).alias("place"),
-             (F.col("item_place") + F.col("k")).alias("item_place")).distinct()
-    slots = lambda rows, key: rows.select(
-        key, F.posexplode(F.arrays_zip(canonical(F.col("text")).alias("t"), words(F.col("text")).alias("w")))
-        .alias("place", "both")
-    ).select(key, "place", F.col("both.t").alias("kind"), F.lower("both.w").alias("value")).filter(_slot(F.col("kind")))
-    of_item = slots(items, "item_id").select("item_id", F.col("place").alias("item_place"), F.col("value").alias("asked"))
-    nodes = near.select("node").distinct()
-    of_text = slots(keyed.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "node").select("node", "place", "value")
-    filled = pairs.join(of_item, ["item_id", "item_place"]).join(of_text, ["node", "place"])
-    # Within one copy, a value of the item stands for one value of the text.
+    return near, copies.join(near, ["node", "template", "copy"]).select("node", "template", "copy", "share", "place", "item_place")
+
+
+def _fitting(near: DataFrame, hits: DataFrame, keyed: DataFrame, known: DataFrame, width: int) -> DataFrame:
+    """(node, shape, share) of copies in which equal slots of a shape hold equal values."""
+    copy = ["node", "template", "copy"]
+    kinds = known.select("shape", "template", "repeats").dropDuplicates(["shape"])
+    judged = near.join(kinds, "template")
+    # Only values that the item repeats can clash, and only texts near such an item are cut again.
+    asked = durable(kinds.select("shape", "template", F.posexplode("repeats").alias("value_no", "places"))
+                    .select("shape", "template", "value_no", F.explode("places").alias("item_place")))
+    slots = asked.select("template", "item_place").distinct()
+    aligned = hits.select(
+        *copy, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("k"), "place", "item_place",
+    ).select(*copy, (F.col("place") + F.col("k")).alias("place"), (F.col("item_place") + F.col("k")).alias("item_place"))
+    aligned = durable(aligned.join(slots, ["template", "item_place"]).distinct())
+    nodes = aligned.select("node").distinct()
+    said = keyed.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode(_slots(F.col("text"))).alias("s"))
+    filled = aligned.join(said.select("node", "s.place", "s.value"), ["node", "place"]).join(asked, ["template", "item_place"])
     clashes = (
-        filled.groupBy("node", "item_id", "begin", "asked")
-        .agg(F.min("value").alias("least"), F.max("value").alias("most"))
-        .groupBy("node", "item_id", "begin").agg(F.max(F.col("least") != F.col("most")).alias("clash"))
-    )
-    copies = begins.groupBy("node", "item_id", "begin").agg(F.countDistinct("item_place").alias("windows"))
-    judged = copies.join(clashes, ["node", "item_id", "begin"], "left").groupBy("node", "item_id").agg(
-        F.max(F.struct("windows", (~F.coalesce("clash", F.lit(False))).alias("fits"))).alias("best")
+        filled.groupBy(*copy, "shape", "value_no").agg(F.min("value").alias("least"), F.max("value").alias("most"))
+        .filter("least != most").select(*copy, "shape").distinct()
     )
-    return near.join(judged, ["node", "item_id"]).select(
-        "node", "item_id", "share", F.col("best.fits").alias("consistent"))
+    fits = judged.join(clashes, [*copy, "shape"], "left_anti")
+    return fits.groupBy("node", "shape").agg(F.max("share").alias("share"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows whose text is not contaminated, with their columns."""
-    bad = durable(contaminated(docs, benchmark, width, percent).filter("consistent").select("node").distinct())
+    """The rows whose text is not contaminated, with their columns, whatever their names. Rows
+    with null, empty or equal texts are judged one by one like any other; with an empty benchmark
+    all rows stay."""
+    bad = durable(contaminated(docs, benchmark, width, percent).select("node").distinct())
     columns, made = docs.columns, spare("node", docs)
     keyed = docs.withColumn(made, text_key())
     return keyed.join(bad.withColumnRenamed("node", made), made, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_ids (sorted, comma-joined; empty when clean), n_items, share (the largest),
-    contaminated: one row per document."""
-    bad = contaminated(docs, benchmark, width, percent).filter("consistent")
+    """doc_id, shapes (of each shape found its least item_id, sorted, comma-joined; empty when
+    clean), n_shapes, n_items (all items of those shapes), share (the largest), contaminated: one
+    row per row of docs, repeated ones and those without doc_id or text included. `shapes` gives all
+    items of a shape."""
+    found = contaminated(docs, benchmark, width, percent)
+    of_shape = shapes(benchmark, width).groupBy("shape").agg(
+        F.min("item_id").alias("least"), F.countDistinct("item_id").alias("items"))
     per_text = durable(
-        bad.groupBy("node").agg(
-            F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("item_ids"),
-            F.count("*").alias("n_items"), F.max("share").alias("share"),
+        found.join(of_shape, "shape").groupBy("node").agg(
+            F.array_join(F.array_sort(F.collect_set("least")), ",").alias("shapes"),
+            F.count("*").alias("n_shapes"), F.sum("items").alias("n_items"), F.max("share").alias("share"),
         )
     )
     out = docs.select("doc_id", text_key().alias("node")).join(per_text, "node", "left")
     return out.select(
-        "doc_id", F.coalesce("item_ids", F.lit("")).alias("item_ids"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        "doc_id", F.coalesce("shapes", F.lit("")).alias("shapes"), F.coalesce("n_shapes", F.lit(0)).alias("n_shapes"),
+        F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("share", F.lit(0.0)).alias("share"), F.col("n_items").isNotNull().alias("contaminated"),
     )
