@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import held
+from ledgerlake.llm.common import durable, held, spare
 
 # What the base patterns of the contract match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -19,6 +19,7 @@ KINDS = ("assign", "access", "hex")
 RUN = r"[A-Za-z0-9+/_=-]{16,}"  # what the models judge
 SAMPLE = 20_000  # labelled strings of each class that the models learn from, on average
 THRESHOLD = 12.0  # natural log of the likelihood ratio of a string
+PIECE = 256  # characters of a string that are cut into pairs at a time
 DROP = 6.0  # fall of the log ratio that ends a stretch inside a run
 PER_CHARACTER = 0.5  # and of its characters on average
 SMOOTHING = 0.5
@@ -43,10 +44,13 @@ def trained(samples: DataFrame) -> Models:
     identifiers (false). The counts are made by Spark; the driver gets at most
     2 * (alphabet + 1)^2 of them. Null and empty values teach nothing."""
     size = len(ALPHABET) + 1
-    # Characters after a blank edge mark: pairs of neighbours are substrings of length 2.
-    marked = F.concat(F.lit(" "), F.col("value"))
+    # A blank stands for the edge. A long string is cut into pieces, each with the first
+    # character of the next, so that no pair of neighbours is lost; pairs are substrings of 2.
+    pieces = samples.filter("length(value) > 0").select("random", F.regexp_extract_all(
+        F.concat(F.lit(" "), F.col("value")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"))
+    lapped = F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.left(F.get("pieces", i + 1), F.lit(1)), F.lit(""))))
     pairs = (
-        samples.filter("length(value) > 0").select("random", marked.alias("value"))
+        pieces.select("random", F.explode(lapped).alias("value")).filter("length(value) > 1")
         .select("random", F.explode(F.transform(
             F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2)),
         )).alias("pair"))
@@ -142,8 +146,9 @@ def _base(text: Column) -> dict[str, Column]:
 
 def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Labelled strings (value, random) from texts: what the base patterns catch is random,
-    the other runs of letters, digits and joiners are ordinary. Of each class a sample, by
-    a hash of the string, with `most` members on average if there are more."""
+    the other runs of letters, digits and joiners are ordinary. Values are distinct and whole,
+    so copies neither thin a class out nor fill it. Of each class a sample, by a hash of the
+    string, with `most` members on average if there are more."""
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     caught = texts.filter(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(
         F.explode(F.concat(
@@ -156,26 +161,28 @@ def labelled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
         F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("value")
     )
     both = caught.select("value", F.lit(True).alias("random")).union(plain.select("value", F.lit(False).alias("random")))
-    both = both.withColumn("value", F.substring("value", 1, 256)).withColumn(
-        "draw", F.pmod(F.xxhash64("value"), F.lit(2**31)) / float(2**31)
-    )
+    # Written once: counting and drawing do not search the texts again.
+    both = durable(both.distinct())
     counts = {r["random"]: r["n"] for r in both.groupBy("random").agg(F.count("*").alias("n")).collect()}
     share = {c: min(1.0, most / n) for c, n in counts.items()}
     kept = F.when(F.col("random"), share.get(True, 1.0)).otherwise(share.get(False, 1.0))
-    return both.filter(F.col("draw") < kept).select("value", "random")
+    draw = F.pmod(F.xxhash64("value"), F.lit(2**31)) / float(2**31)
+    return both.filter(draw < kept)
 
 
-def with_spans(docs: DataFrame, models: Models) -> DataFrame:
-    """All rows and columns, with `_spans`: array of (start, end, rank, kind), by start and
+def with_spans(docs: DataFrame, models: Models, into: str) -> DataFrame:
+    """All rows and columns, with a column `into`: array of (start, end, rank, kind), by start and
     then by kind; code points, end exclusive. Kinds are those of the base patterns and
     `markov` for parts of runs, outside the base spans, that the models call random. Null and
-    empty texts have none. Columns `_spans`, `_base` and `_free` are the operator's own."""
+    empty texts have none, repeated rows the same. A column that is named `into` is replaced,
+    all others stay."""
+    base_at, free_at = spare("base", docs), spare("free", docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.array_sort(F.concat(*_base(text).values()))
-    staged = held(docs, _base=base)
+    staged = held(docs, **{base_at: base})
     # What base spans cover is blanked, so that the rest of a run is judged by itself.
     blanked = F.aggregate(
-        "_base",
+        base_at,
         F.struct(F.lit(0).alias("place"), F.lit("").alias("out")),
         lambda at, b: F.when(b["end"] <= at["place"], at).otherwise(F.struct(
             b["end"].alias("place"),
@@ -183,9 +190,9 @@ def with_spans(docs: DataFrame, models: Models) -> DataFrame:
                      F.repeat(F.lit(" "), b["end"] - F.greatest(b["start"], at["place"]))).alias("out"))),
         lambda at: F.concat(at["out"], F.substring(text, at["place"] + 1, F.length(text))),
     )
-    staged = held(staged, _free=F.when(F.size("_base") > 0, blanked).otherwise(text))
-    runs = _matches(F.col("_free"), RUN, lambda m: random_parts(m, models), "markov")
-    return held(staged, _spans=F.array_sort(F.concat("_base", runs))).drop("_base", "_free")
+    staged = held(staged, **{free_at: F.when(F.size(base_at) > 0, blanked).otherwise(text)})
+    runs = _matches(F.col(free_at), RUN, lambda m: random_parts(m, models), "markov")
+    return held(staged, **{into: F.array_sort(F.concat(base_at, runs))}).drop(base_at, free_at)
 
 
 def written(spans: Column) -> Column:
@@ -195,7 +202,7 @@ def written(spans: Column) -> Column:
 
 def report(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans: one row per row."""
-    found = with_spans(docs.select("doc_id", "text"), models).select("doc_id", "_spans")
+    found = with_spans(docs.select("doc_id", "text"), models, "_spans").select("doc_id", "_spans")
     count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("_spans", lambda s: s["rank"] < len(KINDS))
     return found.select(
@@ -207,11 +214,11 @@ def report(docs: DataFrame, models: Models) -> DataFrame:
 def redacted(docs: DataFrame, models: Models) -> DataFrame:
     """All rows and columns, with each secret in `text` replaced by <SECRET>; `n_chars`
     follows if there is one. Texts without secrets stay as they are, null included."""
-    columns = docs.columns
-    found = with_spans(docs, models)
+    columns, spans = docs.columns, spare("spans", docs)
+    found = with_spans(docs, models, spans)
     text = F.col("text").cast("string")
     cut = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).alias("place"), F.lit("").alias("out")),
         lambda at, s: F.when(s["end"] <= at["place"], at).otherwise(F.struct(
             s["end"].alias("place"),
@@ -220,8 +227,8 @@ def redacted(docs: DataFrame, models: Models) -> DataFrame:
         )),
         lambda at: F.concat(at["out"], F.substring(text, at["place"] + 1, F.length(text))),
     )
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(text))
+    out = found.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(text))
     if "n_chars" in columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, changed).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, changed).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in columns))
