@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,11 @@ FIRST_BYTE, FIRST_PIECE = 3, 259  # ids of <0x00> and of the first piece that is
 BYTE_LOSS = 3.0  # a byte is so much (natural log) less likely than the rarest piece
 LONGEST = 16  # characters in the longest piece
 CODES = 1 << 21  # more than there are code points
-STORED = 4_000_000  # edges of lattices that are remembered
+STORED = 1_500_000  # edges of lattices that are remembered
+TOGETHER = 200_000  # characters of texts that are drawn at once; a longer text is drawn alone
 DRAWS = 999_983  # tells a row's further random numbers from those of its walks
-CHUNK = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+CUT = "\udfff"  # stands between chunks; another lone surrogate
+BLANKS = SPACE + CUT + SPACE
 EDGE_KINDS = (("reached", np.float64), ("to", np.int32), ("id", np.int32), ("log", np.float64))
 
 
@@ -36,6 +38,15 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size())]
 
 
+def _longer(column: np.ndarray, more: int) -> np.ndarray:
+    """The same values with undefined ones behind them."""
+    room, size = column if column.base is None else column.base, len(column) + more
+    if len(room) < size:
+        room = np.empty(size + size // 2, dtype=column.dtype)
+        room[: len(column)] = column
+    return room[:size]
+
+
 class Lattices:
     """Lattices of chunks, side by side in arrays. No piece reaches over the end of a chunk (a
     piece has SPACE at its beginning only, and none has a line break), so the lattice of a
@@ -59,36 +70,72 @@ class Lattices:
             for n in range(1, len(piece) + 1):
                 states.setdefault(piece[:n], len(states))
         step = np.array([states[p[:-1]] * CODES + ord(p[-1]) for p in states if p], dtype=np.int64)
-        order = np.argsort(step)
-        self.step, self.after = step[order], order + 1
+        self._file(step, np.arange(1, len(states)))
         self.id_of, self.log_of = np.full(len(states), -1, dtype=np.int32), np.zeros(len(states))
         for i, (piece, log) in enumerate(zip(pieces[FIRST_PIECE:], logs), FIRST_PIECE):
             self.id_of[states[piece]], self.log_of[states[piece]] = i, log
         self.forget()
 
+    def _file(self, step: np.ndarray, after: np.ndarray) -> None:
+        """A hash table of the steps, at least four places for each. A taken place passes on to the next."""
+        bits = (4 * len(step)).bit_length()
+        self.shift, size = np.uint64(64 - bits), (1 << bits) + len(step)
+        self.step, self.after = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        place = self._place(step)
+        while len(step):
+            free = self.step[place] < 0
+            self.step[place[free]] = step[free]
+            here = self.step[place] == step
+            self.after[place[here]] = after[here]
+            step, after, place = step[~here], after[~here], place[~here] + 1
+
+    def _place(self, step: np.ndarray) -> np.ndarray:
+        return ((step.view(np.uint64) * GOLDEN) >> self.shift).view(np.int64)
+
+    def _next(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the states have a step by their character, and the states it leads to."""
+        step = state * CODES + codes
+        place = self._place(step)
+        there = self.step[place]
+        late = np.flatnonzero((there != step) & (there >= 0))
+        while len(late):
+            place[late] += 1
+            there[late] = self.step[place[late]]
+            late = late[(there[late] != step[late]) & (there[late] >= 0)]
+        going = np.flatnonzero(there == step)
+        return going, self.after[place[going]]
+
     def forget(self) -> None:
         self.start: dict[str, int] = {}
         self.begin = np.zeros(1, dtype=np.int64)
         self.edges = {name: np.empty(0, dtype=kind) for name, kind in EDGE_KINDS}
 
+    def _grow(self, nodes: int, edges: int) -> None:
+        """Lengthen the arrays. Each is a view of one with room, so that few calls copy it."""
+        self.begin = _longer(self.begin, nodes)
+        for name, column in self.edges.items():
+            self.edges[name] = _longer(column, edges)
+
     def nodes(self, chunks: list[str]) -> np.ndarray:
         """The first node of each chunk's lattice."""
-        fresh = [c for c in dict.fromkeys(chunks) if c not in self.start]
-        if fresh:
-            self._build(fresh)
-        return np.fromiter(map(self.start.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        first = np.fromiter(map(self.start.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        places = np.flatnonzero(first < 0)
+        if len(places):
+            fresh = [chunks[k] for k in places.tolist()]
+            self._build(list(dict.fromkeys(fresh)))
+            first[places] = np.fromiter(map(self.start.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        return first
 
     def _pieces_at(self, codes: np.ndarray, left: np.ndarray) -> list[tuple]:
         """(positions, length, ids, logs) of the pieces at each position of some chunks; `left`
         is how many characters its chunk has from there. Lengths ascend."""
         at, state, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
         for length in range(1, LONGEST + 1):
-            key = state * CODES + codes[at + length - 1]
-            place = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
-            going = self.step[place] == key
-            at, state = at[going], self.after[place[going]]
-            whole = self.id_of[state] >= 0
-            found.append((at[whole], length, self.id_of[state[whole]], self.log_of[state[whole]]))
+            going, state = self._next(state, codes[at + length - 1])
+            at = at[going]
+            ids = self.id_of[state]
+            whole = np.flatnonzero(ids >= 0)
+            found.append((at[whole], length, ids[whole], self.log_of[state[whole]]))
             if length == 1:  # a character that is no piece: its bytes
                 odd = np.ones(len(codes), dtype=bool)
                 odd[at[whole]] = False
@@ -110,7 +157,8 @@ class Lattices:
         ends = np.cumsum(sizes)
         left = np.repeat(ends, sizes) - np.arange(len(codes))
         number = np.empty(len(codes), dtype=np.int64)
-        number[np.argsort(left, kind="stable")] = np.arange(len(codes))
+        small = left.astype(np.uint16) if sizes.max() < 1 << 16 else left  # sorted by radix
+        number[np.argsort(small, kind="stable")] = np.arange(len(codes))
         found = [(number[at], at, length, ids, logs) for at, length, ids, logs in self._pieces_at(codes, left)]
 
         counts = np.zeros(len(codes), dtype=np.int64)
@@ -118,10 +166,10 @@ class Lattices:
             counts[node] += 1
         begin = np.concatenate([[0], np.cumsum(counts)])
         free = begin[:-1].copy()
-        to, ids, ways = np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1])
+        to, ids, ways = np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1])
         for node, at, length, own, logs in found:
             place = free[node]
-            free[node] += 1
+            free[node] = place + 1
             to[place] = np.where(left[at] > length, number[np.minimum(at + length, len(codes) - 1)], -1)
             ids[place], ways[place] = own, logs
 
@@ -139,11 +187,12 @@ class Lattices:
         before = np.concatenate([[0.0], np.cumsum(np.exp(logs))])
         reached = np.minimum(before[1:] - np.repeat(before[begin[:-1]], counts), 1 - 1e-12)
         reached[begin[1:] - 1] = 1.0
-        nodes = len(self.begin) - 1
+        nodes, edges = len(self.begin) - 1, len(self.edges["to"])
         new = {"reached": reached, "to": np.where(to < 0, -1, to + nodes), "id": ids, "log": np.minimum(logs, 0.0)}
-        self.begin = np.concatenate([self.begin, begin[1:] + self.begin[-1]])
-        self.edges = {
-            name: np.concatenate([self.edges[name], new[name].astype(kind)]) for name, kind in EDGE_KINDS}
+        self._grow(len(codes), len(to))
+        self.begin[nodes + 1 :] = begin[1:] + edges
+        for name, column in new.items():
+            self.edges[name][edges:] = column
         self.start.update(zip(chunks, (nodes + number[ends - sizes]).tolist()))
 
     def picked(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -151,9 +200,12 @@ class Lattices:
         reached = self.edges["reached"]
         edge = self.begin[nodes]
         late = np.flatnonzero(reached[edge] <= u)
+        on, u = edge[late], u[late]
         while len(late):
-            edge[late] += 1
-            late = late[reached[edge[late]] <= u[late]]
+            on += 1
+            edge[late] = on
+            more = np.flatnonzero(reached[on] <= u)
+            late, on, u = late[more], on[more], u[more]
         return edge
 
     def picked_one(self, node: int, u: float) -> int:
@@ -170,7 +222,12 @@ class Lattices:
 
 def _uniform(seed: np.ndarray, a: np.ndarray, b: int) -> np.ndarray:
     """Numbers in (0, 1), the same for the same seed and counters on any machine."""
-    drawn = mix(mix(seed + a.astype(np.uint64) * GOLDEN) + np.uint64((b + 1) * int(GOLDEN) % 2**64))
+    return _drawn(mix(seed + a.astype(np.uint64) * GOLDEN), b)
+
+
+def _drawn(mixed: np.ndarray, b: int) -> np.ndarray:
+    """_uniform() of what its seeds and first counters were mixed to."""
+    drawn = mix(mixed + np.uint64((b + 1) * int(GOLDEN) % 2**64))
     return ((drawn >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
@@ -178,15 +235,15 @@ def _walk(lattices: Lattices, starts: np.ndarray, seeds: np.ndarray, counters: n
     """A random walk through each chunk: the edges, and where each chunk's edges begin."""
     to = lattices.edges["to"]
     going, at, taken, step = np.arange(len(starts)), starts, [], 0
-    counts = np.zeros(len(starts), dtype=np.int64)
+    mixed = mix(seeds + counters.astype(np.uint64) * GOLDEN)
+    counts = np.empty(len(starts), dtype=np.int64)
     while len(going):
-        u = _uniform(seeds[going], counters[going], sample * 1_000_003 + step)
-        edge = lattices.picked(at, u)
+        edge = lattices.picked(at, _drawn(mixed, sample * 1_000_003 + step))
         taken.append((going, edge))
-        counts[going] += 1
-        at = to[edge]
-        on = at >= 0
-        going, at, step = going[on], at[on], step + 1
+        at, step = to[edge], step + 1
+        counts[going] = step
+        on = np.flatnonzero(at >= 0)
+        going, at, mixed = going[on], at[on], mixed[on]
     bounds = np.concatenate([[0], np.cumsum(counts)])
     edges = np.empty(bounds[-1], dtype=np.int64)
     for step, (who, edge) in enumerate(taken):
@@ -284,9 +341,25 @@ def _scored(lattices: Lattices, row: _Row) -> list[tuple]:
 
 
 def chunks(text: str) -> list[str]:
+    """Line breaks, and the words between them, each with the blanks that stand before it."""
     if not text:
         return []
-    return CHUNK.findall(SPACE + text.replace(SPACE, MARK).replace(" ", SPACE))
+    cut = (SPACE + text.replace(SPACE, MARK).replace(" ", SPACE)).replace(SPACE, CUT + SPACE)
+    while BLANKS in cut:  # halves the cuts in a run of blanks
+        cut = cut.replace(BLANKS, SPACE + SPACE)
+    return list(filter(None, cut.replace("\n", f"{CUT}\n{CUT}").split(CUT)))
+
+
+def together(texts: Sequence[str]) -> Iterator[slice]:
+    """Runs of texts that have at most TOGETHER characters, or are one text."""
+    first = size = 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > TOGETHER:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(text)
+    if len(texts):
+        yield slice(first, len(texts))
 
 
 def sampled(lattices: Lattices, texts: Sequence[str], keys: np.ndarray, samples: int) -> list[list[tuple]]:
@@ -366,7 +439,8 @@ def segmentations(
     The draws depend on the row's key, the seed and the text alone, so a repeated row or task
     gives the same again. A null key draws by the text. Null and empty texts have one empty
     segmentation. Whole texts are encoded, a very long one in its row's task, in memory in
-    proportion to it; repeated rows are drawn alike; other columns are ignored."""
+    proportion to it, short ones some TOGETHER; repeated rows are drawn alike; other columns
+    are ignored."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 250)
     shared = spark.sparkContext.broadcast(pieces)
@@ -380,20 +454,21 @@ def segmentations(
         lattices = _kept(shared.value)
         for part in parts:
             keys = part.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            found = sampled(lattices, part.column("text").to_pylist(), keys, samples)
-            ids = [np.asarray(s[0], dtype=np.int32) for own in found for s in own]
-            bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, dtype=np.int32)
-            doc_ids = [d for d, own in zip(part.column("doc_id").to_pylist(), found) for _ in own]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()),
-                 pa.array([r + 1 for own in found for r in range(len(own))], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32())),
-                 pa.array([len(i) for i in ids], pa.int32()),
-                 pa.array([s[1] for own in found for s in own], pa.float64()),
-                 pa.array([s[2] for own in found for s in own], pa.float64())],
-                names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion"],
-            )
+            texts, numbers = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+            for here in together(texts):
+                found = sampled(lattices, texts[here], keys[here], samples)
+                ids = [np.asarray(s[0], dtype=np.int32) for own in found for s in own]
+                bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                doc_ids = [d for d, own in zip(numbers[here], found) for _ in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc_ids, pa.int64()),
+                     pa.array([r + 1 for own in found for r in range(len(own))], pa.int32()),
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids), pa.int32())),
+                     pa.array([len(i) for i in ids], pa.int32()),
+                     pa.array([s[1] for own in found for s in own], pa.float64()),
+                     pa.array([s[2] for own in found for s in own], pa.float64())],
+                    names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion"],
+                )
 
     return rows.mapInArrow(
         draw, "doc_id long, rank int, ids array<int>, n_pieces int, log_prob double, log_inclusion double"

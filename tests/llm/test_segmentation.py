@@ -1,5 +1,9 @@
 """Sampling without replacement against the listed segmentations of a short text."""
 
+import random
+import re
+import tracemalloc
+
 import numpy as np
 
 from ledgerlake.llm import segmentation
@@ -66,3 +70,48 @@ def test_single_numbers_equal_those_of_a_batch():
     one = [row.draw() for _ in range(9)]
     many = segmentation._uniform(np.repeat(KEYS[7:8], 10), np.arange(10), segmentation.DRAWS)
     assert one == many[1:].tolist()
+
+
+def test_memory_follows_the_characters_not_the_rows_of_a_batch():
+    """Long rows of one batch are drawn a few at a time, and lattices that no longer fit go."""
+    words = ["".join(map(chr, np.random.default_rng(k).integers(97, 123, 7))) for k in range(60_000)]
+    texts = [" ".join(words[k : k + 5000]) for k in range(0, len(words), 5000)] + ["", "a b"]
+    runs = list(segmentation.together(texts))
+    assert [k for run in runs for k in range(*run.indices(len(texts)))] == list(range(len(texts)))
+    assert all(
+        run.stop - run.start == 1 or sum(map(len, texts[run])) <= segmentation.TOGETHER for run in runs)
+    assert len(runs) > 1 and list(segmentation.together([])) == []
+    lattices = segmentation.Lattices(segmentation.vocabulary())
+    keys, found = KEYS[: len(texts)], []
+    tracemalloc.start()
+    for run in runs:
+        found += segmentation.sampled(lattices, texts[run], keys[run], 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6, peak
+    assert [segmentation.decoded(lattices.pieces, own[0][0].tolist()) for own in found if len(own[0][0])] == [
+        t for t in texts if t]
+
+
+def test_chunks_are_those_of_the_pattern():
+    space = segmentation.SPACE
+    pattern = re.compile(f"\n|{space}+[^{space}\n]*|[^{space}\n]+")
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("  \nab▁é\t日", k=draw.randint(1, 12))) for _ in range(5000)] + [" " * 999 + "x  "]
+    for text in texts:
+        assert segmentation.chunks(text) == pattern.findall(
+            space + text.replace(space, segmentation.MARK).replace(" ", space))
+
+
+def test_every_step_of_the_vocabulary_is_found():
+    pieces = segmentation.vocabulary()
+    lattices = segmentation.Lattices(pieces)
+    texts = [p for p in pieces[segmentation.FIRST_PIECE :] if len(p) <= segmentation.LONGEST]
+    codes = np.array([ord(c) for p in texts for c in p], dtype=np.int64)
+    sizes = np.array([len(p) for p in texts])
+    starts = np.cumsum(sizes) - sizes
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))
+    got = {}
+    for at, length, ids, _ in lattices._pieces_at(codes, left):
+        got.update({(int(a), length): int(i) for a, i in zip(at, ids)})
+    assert all(pieces[got[int(s), len(p)]] == p for s, p in zip(starts, texts))
