@@ -115,3 +115,18 @@ def test_every_step_of_the_vocabulary_is_found():
     for at, length, ids, _ in lattices._pieces_at(codes, left):
         got.update({(int(a), length): int(i) for a, i in zip(at, ids)})
     assert all(pieces[got[int(s), len(p)]] == p for s, p in zip(starts, texts))
+
+
+def test_lattices_of_many_words_do_not_pile_up():
+    """A worker sees new words without end; what it remembers stays small, and what it draws the same."""
+    pieces = segmentation.vocabulary()
+    letters = np.random.default_rng(3).integers(97, 123, (160_000, 7)).astype(np.uint8)
+    words = [bytes(w).decode() for w in letters]
+    lattices, most = segmentation.Lattices(pieces), 0
+    for k in range(0, len(words), 20_000):
+        text = " ".join(words[k : k + 20_000])
+        found = segmentation.sampled(lattices, [text], KEYS[:1], 2)[0]
+        most = max(most, sum(column.nbytes for column in (lattices.begin, *lattices.edges.values())))
+    assert most < 55e6, most
+    alone = segmentation.sampled(segmentation.Lattices(pieces), [text], KEYS[:1], 2)[0]
+    assert [i.tolist() for i, _, _ in found] == [i.tolist() for i, _, _ in alone]
